@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import fingerprints, language, packing, sharding, simhash, url_filters
+from . import fingerprints, language, lattice, licenses, packing, pseudonyms, sharding, simhash, url_filters
 
 QUERIES = {
     "op1_fingerprints": fingerprints.op1_fingerprints,
+    "op2_pseudonyms": pseudonyms.op2_pseudonyms,
     "op3_simhash": simhash.op3_simhash,
+    "op4_lattice": lattice.op4_lattice,
     "op5_language": language.op5_language,
     "op6_url_filters": url_filters.op6_url_filters,
+    "op7_licenses": licenses.op7_licenses,
     "op9_packing": packing.op9_packing,
     "op10_sharding": sharding.op10_sharding,
 }
