@@ -138,18 +138,19 @@ def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: st
     return Trees(names, [by[n] for n in names])
 
 
-def identify(docs: DataFrame, trees: Trees, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, lang_pred, score): the language of each whole text; score is its posterior probability."""
+def identify(docs: DataFrame, trees: Trees, keep: list[str] | None = None, text: str = "text") -> DataFrame:
+    """The columns `keep` (doc_id) with lang_pred and score: the language of each whole text and its posterior probability."""
     spark = docs.sparkSession
     small_batches(spark)
-    kind = docs.schema[key].dataType.simpleString()
+    keep = keep or ["doc_id"]
+    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     shared = spark.sparkContext.broadcast(trees)  # bounded by the sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         scorer = Scorer(known)
         for b in batches:
-            texts = b.column(1).to_pylist()
+            texts = b.column(len(keep)).to_pylist()
             letters = np.array([bool(x) and _LETTER.search(x) is not None for x in texts], bool)
             names, score = np.full(len(texts), UNDETERMINED, object), np.zeros(len(texts))
             if known.names and letters.any():
@@ -157,9 +158,9 @@ def identify(docs: DataFrame, trees: Trees, key: str = "doc_id", text: str = "te
                 rel = np.exp2(bits.min(axis=1, keepdims=True) - bits)
                 names[letters] = np.array(known.names, object)[bits.argmin(axis=1)]
                 score[letters] = 1 / rel.sum(axis=1)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.string()), pa.array(score)], names=[key, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(names, pa.string()), pa.array(score)], names=[*keep, "lang_pred", "score"])
 
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, lang_pred string, score double")
+    return docs.select(*keep, F.col(text).alias("_text")).mapInArrow(run, f"{schema}, lang_pred string, score double")
 
 
 def fold(key: str = "doc_id"):
