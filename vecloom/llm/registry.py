@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprints, language, lattice, licenses, packing, pseudonyms, sharding, simhash, url_filters
+from . import fingerprints, language, lattice, licenses, packing, pseudonyms, sentencepieces, sharding, simhash, url_filters
 
 QUERIES = {
     "op1_fingerprints": fingerprints.op1_fingerprints,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_language": language.op5_language,
     "op6_url_filters": url_filters.op6_url_filters,
     "op7_licenses": licenses.op7_licenses,
+    "op8_sentencepieces": sentencepieces.op8_sentencepieces,
     "op9_packing": packing.op9_packing,
     "op10_sharding": sharding.op10_sharding,
 }
