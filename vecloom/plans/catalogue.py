@@ -2,5 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from . import evaluation, geometry, profile, texts
+from .registered import QUERIES, SQL
+
+assert evaluation and geometry and profile and texts  # importing them fills the catalogue
+
+__all__ = ["QUERIES", "SQL"]
