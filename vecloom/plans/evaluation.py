@@ -1 +1,220 @@
-"""To come."""
+"""Sampling, training inputs and retrieval quality over the embeddings.
+
+Queries are the rows with id below 20; a document is relevant if it has the query's label.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from ..operators import crowding, evaluate, neighbours, sampling, training
+from ..operators.pairs import top_k
+from .profile import sampled
+from .registered import NEAR, PAIRS, UNIT, phi, query, r6, raw, table, unit
+
+MIXED = "(({0} % 4294967296) * (2654435761 % 1000003) + {1}) % 1000003"
+
+
+def mixed(c: str, seed: int = 0) -> str:
+    return MIXED.format(c, seed * 7919)
+
+
+@query("hash_sample", f"SELECT vec_id AS id FROM embeddings ORDER BY {mixed('vec_id')}, vec_id LIMIT 100")
+def hash_sample(spark, sf_dir):
+    return sampling.sample(raw(spark, sf_dir), 100).select("id")
+
+
+@query("eval_split", f"""WITH d AS (SELECT doc_id, lang, source, row_number() OVER (PARTITION BY lang ORDER BY {mixed('doc_id')}, doc_id) AS r, count(*) OVER (PARTITION BY lang) AS n FROM documents)
+    SELECT doc_id, lang, CASE WHEN r <= floor(n * 0.15::DOUBLE + 0.5::DOUBLE) THEN 'eval' ELSE 'train' END AS part FROM d""")
+def eval_split(spark, sf_dir):
+    return sampling.split(table(spark, sf_dir, "documents").select("doc_id", "lang"), ["lang"], 0.15, "doc_id")
+
+
+@query("stratified_sample", f"""WITH c AS (SELECT lang, count(*) AS n, CAST(floor(count(*) * 120 / sum(count(*)) OVER () + 0.5) AS BIGINT) AS q, row_number() OVER (ORDER BY count(*) DESC, lang) AS o FROM documents GROUP BY lang),
+    q AS (SELECT lang, least(n, q + CASE WHEN o = 1 THEN 120 - (SELECT sum(q) FROM c) ELSE 0 END) AS q FROM c), t AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY {mixed('doc_id')}, doc_id) AS r FROM documents),
+    s AS (SELECT doc_id, lang FROM t JOIN q USING (lang) WHERE r <= q), h AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY {mixed('doc_id', 1)}, doc_id) AS r, count(*) OVER (PARTITION BY lang) AS n FROM s)
+    SELECT doc_id, lang, CASE WHEN r <= floor(n * 0.2::DOUBLE + 0.5::DOUBLE) THEN 'eval' ELSE 'train' END AS part FROM h""")
+def stratified_sample(spark, sf_dir):
+    return sampling.stratified(table(spark, sf_dir, "documents").select("doc_id", "lang"), "lang", 120, 0.2, "doc_id")
+
+
+@query("per_key_cap", "SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents) WHERE r <= 3")
+def per_key_cap(spark, sf_dir):
+    return sampling.capped(table(spark, sf_dir, "documents").select("doc_id", "source"), ["source"], [F.col("doc_id")], 3)
+
+
+@query("rebalanced", f"""WITH d AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang = 'de' ORDER BY {mixed('doc_id')}, doc_id) AS r, (SELECT 2 * count(*) FROM documents WHERE lang = 'de') AS cap FROM documents)
+    SELECT doc_id, lang FROM d WHERE lang = 'de' OR r <= cap""")
+def rebalanced(spark, sf_dir):
+    return sampling.rebalanced(table(spark, sf_dir, "documents").select("doc_id", "lang"), "lang", "de", "doc_id")
+
+
+@query("weighted_sample", f"SELECT doc_id FROM documents WHERE n_chars > 0 ORDER BY -ln((({mixed('doc_id')}) % 1000003 + 1) / 1000004.0::DOUBLE) / n_chars, doc_id LIMIT 50")
+def weighted_sample(spark, sf_dir):
+    return sampling.weighted(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "n_chars", 50, "doc_id").select("doc_id")
+
+
+# training inputs: a batch is the rows of id below 200
+
+_BATCH = f"{PAIRS}, q AS (SELECT * FROM p WHERE i < 200 AND j < 200), g AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY c DESC, j) AS r FROM q), h AS (SELECT i, j FROM g WHERE r <= 3 UNION SELECT j, i FROM g WHERE r <= 3)"
+
+
+def batch(spark, sf_dir):
+    return unit(spark, sf_dir).where("id < 200")
+
+
+@query("guard_pairs", f"WITH {_BATCH} SELECT i, j FROM h")
+def guard_pairs(spark, sf_dir):
+    b = batch(spark, sf_dir)
+    return training.guarded(neighbours.graph(b, 3), 3)
+
+
+@query("confusion_loss", f"WITH {_BATCH} SELECT round(avg({phi('c', '0.3::DOUBLE')}), 6) AS loss FROM q WHERE NOT EXISTS (FROM h WHERE h.i = q.i AND h.j = q.j)")
+def confusion_loss(spark, sf_dir):
+    return training.confusion_loss(training.pair_table(batch(spark, sf_dir)), 0.3, guard_pairs(spark, sf_dir)).select(r6("loss").alias("loss"))
+
+
+@query("uniformity_loss", f"WITH {_BATCH} SELECT round(ln(avg(exp(-2 * (2 - 2 * c)))), 6) AS loss FROM q")
+def uniformity_loss(spark, sf_dir):
+    return training.uniformity_loss(training.pair_table(batch(spark, sf_dir))).select(r6("loss").alias("loss"))
+
+
+@query("preservation_loss", f"""WITH {UNIT}, b AS (SELECT a.id AS i, b.id AS j, list_dot_product(a.v, b.v) AS c, list_dot_product(a.v[1:48], b.v[1:48]) / sqrt(list_dot_product(a.v[1:48], a.v[1:48]) * list_dot_product(b.v[1:48], b.v[1:48])) AS d FROM u a JOIN u b ON a.id <> b.id AND a.id < 200 AND b.id < 200),
+    l AS (SELECT i, c / 0.05::DOUBLE - ln(sum(exp(c / 0.05::DOUBLE)) OVER (PARTITION BY i)) AS o, d / 0.05::DOUBLE - ln(sum(exp(d / 0.05::DOUBLE)) OVER (PARTITION BY i)) AS n FROM b)
+    SELECT round(avg(kl), 6) AS loss FROM (SELECT sum(exp(o) * (o - n)) AS kl FROM l GROUP BY i)""")
+def preservation_loss(spark, sf_dir):
+    from ..functions import vec
+
+    b = batch(spark, sf_dir)
+    return training.preservation_loss(training.pair_table(b), training.pair_table(b.withColumn("vec", vec.truncate(F.col("vec"), 48)))).select(r6("loss").alias("loss"))
+
+
+@query("resolution_weights", f"WITH {PAIRS}, s AS (SELECT i AS id, sum({phi('c', '0.3::DOUBLE')}) AS x FROM p GROUP BY i) SELECT id, round(0.9::DOUBLE * x / sum(x) OVER () + 0.1::DOUBLE / count(*) OVER (), 7) AS weight FROM s")
+def resolution_weights(spark, sf_dir):
+    return training.resolution_weights(crowding.item_collisions(sampled(spark, sf_dir), 0.3)).select("id", r6("weight", 7).alias("weight"))
+
+
+@query("confusable_negatives", f"WITH {_BATCH}, w AS (SELECT i, j, c, row_number() OVER (PARTITION BY i ORDER BY {mixed('j')}, j) AS r FROM q WHERE c BETWEEN 0.1 AND 0.25 AND NOT EXISTS (FROM h WHERE h.i = q.i AND h.j = q.j)) SELECT i, j, round(c, 6) AS cos FROM w WHERE r <= 4")
+def confusable_negatives(spark, sf_dir):
+    return training.confusable_negatives(training.pair_table(batch(spark, sf_dir)), guard_pairs(spark, sf_dir), 0.1, 0.25, 4).select("i", "j", r6("cos").alias("cos"))
+
+
+@query("hard_negatives", f"WITH {NEAR}, n AS (SELECT i AS q, j AS id, row_number() OVER (PARTITION BY i ORDER BY c DESC, j) AS rank FROM k WHERE r <= 20 AND i < 20 AND li <> lj) SELECT q, id, CAST(rank AS INTEGER) AS rank FROM n WHERE rank <= 5")
+def hard_negatives(spark, sf_dir):
+    x = sampled(spark, sf_dir)
+    near = top_k(x.where("id < 20"), x, 20).select(F.col("src").alias("q"), F.col("dst").alias("id"), "cos")
+    gold = x.where("id < 20").select(F.col("id").alias("q"), "label").join(x.select("id", "label"), "label").select("q", "id")
+    return training.hard_negatives(near, gold, 5).select("q", "id", "rank")
+
+
+@query("training_rows", """WITH p AS (SELECT lang AS q, doc_id AS id, source AS text, min(source) OVER (PARTITION BY lang) AS question FROM documents WHERE doc_id < 60), d AS (SELECT id, CAST(row_number() OVER (ORDER BY id) - 1 AS BIGINT) AS number FROM (SELECT DISTINCT id FROM p)),
+    g AS (SELECT q, any_value(question) AS anchor, list(text ORDER BY id)[1:3] AS t, list(number ORDER BY id)[1:3] AS k FROM p JOIN d USING (id) GROUP BY q)
+    SELECT q, anchor, t[1] AS positive_1, t[len(t)] AS positive_last, k[1] AS number_1, CAST(3 AS INTEGER) AS n FROM g""")
+def training_rows(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").where("doc_id < 60")
+    p = d.select(F.col("lang").alias("q"), F.col("doc_id").alias("id"), F.col("source").alias("text"), F.col("source").alias("question"))
+    out = training.training_rows(p, p.select("q", "id", "text"))
+    return out.select("q", "anchor", F.col("positives")[0].alias("positive_1"), F.element_at("positives", -1).alias("positive_last"), F.col("gold_numbers")[0].alias("number_1"), F.size("positives").alias("n"))
+
+
+# retrieval: every query against all rows but itself
+
+_SCORES = f"{UNIT}, s AS (SELECT a.id AS q, b.id AS id, list_dot_product(a.v, b.v) AS c, a.label = b.label AS rel, row_number() OVER (PARTITION BY a.id ORDER BY list_dot_product(a.v, b.v) DESC, b.id) AS r FROM u a JOIN u b ON a.id < 20 AND a.id <> b.id), g AS (SELECT q, min(id) AS id FROM s WHERE rel GROUP BY q)"
+
+
+def scores(spark, sf_dir):
+    x = sampled(spark, sf_dir)
+    q = x.where("id < 20")
+    n = x.count()
+    labels = x.select(F.col("id"), "label")
+    s = top_k(q, x, n).select(F.col("src").alias("q"), F.col("dst").alias("id"), "cos", "rank")
+    return s.join(labels, "id").join(labels.select(F.col("id").alias("q"), F.col("label").alias("ql")), "q").select("q", "id", "cos", "rank", (F.col("label") == F.col("ql")).alias("rel"))
+
+
+def golds(s):
+    return s.where("rel").groupBy("q").agg(F.min("id").alias("id"))
+
+
+@query("gold_rank", f"WITH {_SCORES} SELECT s.q, count(*) FILTER (s.c > o.c) + 1 AS rank FROM s JOIN g USING (q) JOIN s o ON o.q = g.q AND o.id = g.id GROUP BY s.q")
+def gold_rank(spark, sf_dir):
+    s = scores(spark, sf_dir)
+    return evaluate.gold_ranks(s, golds(s))
+
+
+@query("recall_mrr", f"WITH {_SCORES}, k AS (SELECT s.q, count(*) FILTER (s.c > o.c) + 1 AS rank FROM s JOIN g USING (q) JOIN s o ON o.q = g.q AND o.id = g.id GROUP BY s.q) SELECT count(*) AS n, round(avg(CASE WHEN rank <= 1 THEN 1.0::DOUBLE ELSE 0 END), 6) AS recall_1, round(avg(CASE WHEN rank <= 10 THEN 1.0::DOUBLE ELSE 0 END), 6) AS recall_10, round(avg(CASE WHEN rank <= 10 THEN 1.0::DOUBLE / rank ELSE 0 END), 6) AS mrr_10, round(quantile_cont(rank, 0.5), 6) AS median_rank, round(avg(rank), 6) AS mean_rank FROM k")
+def recall_mrr(spark, sf_dir):
+    out = evaluate.rank_summary(gold_rank(spark, sf_dir))
+    return out.select("n", *(r6(c).alias(c) for c in out.columns[1:]))
+
+
+@query("set_recall", f"WITH {_SCORES}, m AS (SELECT q, CAST(count(*) FILTER (r <= 50) AS DOUBLE) / count(*) AS x FROM s WHERE rel GROUP BY q) SELECT round(avg(x), 6) AS set_recall, round(avg(CASE WHEN x = 1 THEN 1.0::DOUBLE ELSE 0 END), 6) AS all_gold FROM m")
+def set_recall(spark, sf_dir):
+    s = scores(spark, sf_dir)
+    return evaluate.set_recall(s, s.where("rel").select("q", "id"), 50).select(r6("set_recall").alias("set_recall"), r6("all_gold").alias("all_gold"))
+
+
+@query("ndcg10", f"WITH {_SCORES}, d AS (SELECT q, sum(CASE WHEN r <= 10 THEN 1 / log2(r + 1) ELSE 0 END) AS dcg, avg(CASE WHEN r <= 100 THEN 1.0::DOUBLE ELSE 0 END) AS recall, least(count(*), 10) AS n FROM s WHERE rel GROUP BY q) SELECT q, round(dcg / list_sum(list_transform(range(1, n + 1), lambda x: 1 / log2(x + 1))), 6) AS ndcg, round(recall, 6) AS recall_100 FROM d")
+def ndcg10(spark, sf_dir):
+    s = scores(spark, sf_dir)
+    return evaluate.ndcg(s, s.select("q", "id", F.col("rel").cast("int").alias("rel"))).select("q", r6("ndcg").alias("ndcg"), r6("recall_100").alias("recall_100"))
+
+
+@query("auc", "WITH l AS (SELECT quality = 1 AS p, CAST(n_chars // 100 AS BIGINT) AS s FROM labels JOIN documents USING (doc_id)) SELECT round(avg(CASE WHEN a.s > b.s THEN 1.0::DOUBLE WHEN a.s = b.s THEN 0.5 ELSE 0 END), 6) AS auc FROM l a JOIN l b ON a.p AND NOT b.p")
+def auc(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", F.floor(F.col("n_chars") / 100).alias("s"))
+    return evaluate.auc(table(spark, sf_dir, "labels").join(d, "doc_id").select("s", (F.col("quality") == 1).alias("p")), "s", "p").select(r6("auc").alias("auc"))
+
+
+@query("spearman", "WITH d AS (SELECT n_chars // 100 AS a, doc_id % 37 AS b FROM documents), r AS (SELECT rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2.0 AS x, rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2.0 AS y FROM d) SELECT round(corr(x, y), 6) AS rho FROM r")
+def spearman(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(F.floor(F.col("n_chars") / 100).alias("a"), (F.col("doc_id") % 37).alias("b"))
+    return evaluate.spearman(d, "a", "b").select(r6("rho").alias("rho"))
+
+
+@query("rank_agreement", "WITH r AS (SELECT n_nationkey AS id, n_nationkey % 7 AS x, n_nationkey % 5 AS y FROM nation) SELECT round(avg(CASE WHEN sign(a.x - b.x) = sign(a.y - b.y) THEN 1.0::DOUBLE ELSE 0 END), 6) AS agreement FROM r a JOIN r b ON a.id < b.id")
+def rank_agreement(spark, sf_dir):
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), (F.col("n_nationkey") % 7).alias("x"), (F.col("n_nationkey") % 5).alias("y"))
+    return evaluate.rank_agreement(n, "x", "y").select(r6("agreement").alias("agreement"))
+
+
+@query("cohort_deltas", "WITH d AS (SELECT n_chars AS b, n_chars * (doc_id % 3) AS a, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS r, count(*) OVER () AS n FROM documents) SELECT count(*) AS n, round(quantile_cont(b, 0.5), 6) AS before, round(quantile_cont(a, 0.5), 6) AS after FROM d WHERE r <= ceil(n * 0.05::DOUBLE)")
+def cohort_deltas(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("n_chars").alias("b"), (F.col("n_chars") * (F.col("doc_id") % 3)).alias("a"))
+    return evaluate.cohort(d, "b", "a", 0.05).select("n", r6("before").alias("before"), r6("after").alias("after"))
+
+
+@query("switched_hits", "SELECT count(*) FILTER (doc_id % 3 <> 0 AND doc_id % 5 = 0) AS fixed, count(*) FILTER (doc_id % 3 = 0 AND doc_id % 5 <> 0) AS broken FROM documents")
+def switched_hits(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select((F.col("doc_id") % 3 == 0).alias("x"), (F.col("doc_id") % 5 == 0).alias("y"))
+    return evaluate.switched(d, "x", "y")
+
+
+@query("mcnemar")
+def mcnemar(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select((F.col("doc_id") % 3 == 0).alias("x"), (F.col("doc_id") % 4 == 0).alias("y"))
+    r = evaluate.mcnemar(d, "x", "y")
+    return spark.createDataFrame([(r["fixed"], r["broken"], float(r["p"]))], "fixed bigint, broken bigint, p double")
+
+
+@query("bootstrap_ci")
+def bootstrap_ci(spark, sf_dir):
+    ranks = np.array([1.0 / r["rank"] for r in gold_rank(spark, sf_dir).collect()])
+    return evaluate.bootstrap(ranks, spark, 2000)
+
+
+@query("dedup_f1", f"WITH {PAIRS}, f AS (SELECT i, j, c FROM p WHERE i < j AND c >= 0.3), g AS (SELECT i, j FROM p WHERE i < j AND li = lj), t AS (SELECT unnest([0.3, 0.35, 0.4]::DOUBLE[]) AS threshold), h AS (SELECT threshold, count(g.i) AS tp, count(*) AS n FROM t JOIN f ON c >= threshold LEFT JOIN g USING (i, j) GROUP BY 1) SELECT threshold, round(tp / CAST(n AS DOUBLE), 6) AS precision, round(tp / CAST((SELECT count(*) FROM g) AS DOUBLE), 6) AS recall, round(2.0::DOUBLE * tp / (n + (SELECT count(*) FROM g)), 6) AS f1 FROM h")
+def dedup_f1(spark, sf_dir):
+    from ..operators.pairs import at_least
+
+    x = sampled(spark, sf_dir)
+    a = x.select(F.col("id").alias("a"), "label")
+    gold = a.join(x.select(F.col("id").alias("b"), "label"), "label").where("a < b").select("a", "b")
+    return evaluate.pair_scores(at_least(x, 0.3), gold, [0.3, 0.35, 0.4]).select("threshold", r6("precision").alias("precision"), r6("recall").alias("recall"), r6("f1").alias("f1"))
+
+
+@query("detection_power", "WITH n AS (SELECT lang AS statistic, quantile_cont(n_chars, 0.99) AS threshold FROM documents WHERE doc_id % 2 = 0 GROUP BY 1) SELECT statistic, round(threshold, 6) AS threshold, round(avg(CASE WHEN n_chars > threshold THEN 1.0::DOUBLE ELSE 0 END), 6) AS power FROM documents JOIN n ON lang = statistic WHERE doc_id % 2 = 1 GROUP BY 1, 2, n.threshold")
+def detection_power(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("statistic"), F.col("n_chars").alias("value"))
+    out = evaluate.power(d.where("doc_id % 2 = 0"), d.where("doc_id % 2 = 1"))
+    return out.select("statistic", r6("threshold").alias("threshold"), r6("power").alias("power"))

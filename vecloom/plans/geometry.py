@@ -1 +1,253 @@
-"""To come."""
+"""Views of points: grids, shells, hexagons, drift and the comparison of two embeddings.
+
+Views with SQL beside them take the first dimensions as coordinates, since principal axes can't
+be put in SQL; those named pca_* take the axes.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from ..functions import vec
+from ..operators import compare, neighbours, project, sampling, schema
+from ..operators.moments import moments
+from .profile import sampled
+from .registered import NEAR, UNIT, query, r6, raw, unit
+
+
+def first(spark, sf_dir):
+    """(id, x, y, z): the first three dimensions."""
+    return raw(spark, sf_dir).select("id", *(F.col("vec")[i].alias(c) for i, c in enumerate("xyz")))
+
+
+def axes(spark, sf_dir):
+    u = unit(spark, sf_dir)
+    return project.pca(u, moments(u), 3)
+
+
+_XYZ = f"WITH {UNIT}, xyz AS (SELECT id, v[1] AS x, v[2] AS y, v[3] AS z FROM e), b AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1, min(z) AS z0, max(z) AS z1 FROM xyz), n AS (SELECT id, (x - x0) / (x1 - x0) AS x, (y - y0) / (y1 - y0) AS y, (z - z0) / (z1 - z0) AS z FROM xyz, b)"
+
+
+def _cell(c: str, size: int) -> str:
+    return f"CAST(least(floor({c} * {size}), {size - 1}) AS BIGINT) AS c{c}"
+
+
+@query("grid_density", f"{_XYZ} SELECT {_cell('x', 48)}, {_cell('y', 32)}, count(*) AS n FROM n GROUP BY 1, 2")
+def grid_density(spark, sf_dir):
+    return project.cells(first(spark, sf_dir), ["x", "y"], [48, 32])
+
+
+@query("grid_hot", f"{_XYZ}, g AS (SELECT {_cell('x', 48)}, {_cell('y', 32)}, count(*) AS n FROM n GROUP BY 1, 2) SELECT cx, cy, n, n >= (SELECT quantile_cont(n, 0.97) FROM g) AS hot FROM g")
+def grid_hot(spark, sf_dir):
+    return project.hot(grid_density(spark, sf_dir), 0.97)
+
+
+@query("voxels", f"{_XYZ} SELECT {_cell('x', 9)}, {_cell('y', 9)}, {_cell('z', 9)}, count(*) AS n FROM n GROUP BY 1, 2, 3")
+def voxels(spark, sf_dir):
+    return project.cells(first(spark, sf_dir), ["x", "y", "z"], [9, 9, 9])
+
+
+@query("hexagons", f"""{_XYZ}, c AS (SELECT x, y, round_even(y / (0.05::DOUBLE * sqrt(3)), 0) AS ar, round_even(x / 0.05::DOUBLE, 0) AS aq, floor(y / (0.05::DOUBLE * sqrt(3))) + 0.5::DOUBLE AS br, floor(x / 0.05::DOUBLE) + 0.5::DOUBLE AS bq FROM n),
+    d AS (SELECT *, power(x - aq * 0.05::DOUBLE, 2) + power(y - ar * 0.05::DOUBLE * sqrt(3), 2) <= power(x - bq * 0.05::DOUBLE, 2) + power(y - br * 0.05::DOUBLE * sqrt(3), 2) AS f FROM c)
+    SELECT CASE WHEN f THEN aq ELSE bq END AS q, CASE WHEN f THEN ar ELSE br END AS r, count(*) AS n FROM d GROUP BY 1, 2""")
+def hexagons(spark, sf_dir):
+    return project.hexagons(first(spark, sf_dir), 0.05)
+
+
+@query("grid_blurred", f"""{_XYZ}, g AS (SELECT {_cell('x', 12)}, {_cell('y', 10)}, count(*) AS n FROM n GROUP BY 1, 2), s AS (SELECT cx + dx AS cx, cy + dy AS cy, n FROM g, (SELECT unnest([-1, 0, 1]) AS dx), (SELECT unnest([-1, 0, 1]) AS dy))
+    SELECT cx, cy, round(CAST(sum(n) AS DOUBLE) / ((CASE WHEN cx IN (0, 11) THEN 2 ELSE 3 END) * (CASE WHEN cy IN (0, 9) THEN 2 ELSE 3 END)), 6) AS v FROM s WHERE cx BETWEEN 0 AND 11 AND cy BETWEEN 0 AND 9 GROUP BY 1, 2""")
+def grid_blurred(spark, sf_dir):
+    return project.blurred(project.cells(first(spark, sf_dir), ["x", "y"], [12, 10]), (12, 10)).select("cx", "cy", r6("v").alias("v"))
+
+
+@query("axis_spread", f"WITH {UNIT} SELECT round(stddev_pop(v[1]), 6) AS x, round(stddev_pop(v[2]), 6) AS y, round(stddev_pop(v[3]), 6) AS z FROM e")
+def axis_spread(spark, sf_dir):
+    return first(spark, sf_dir).agg(*(r6(F.stddev_pop(c)).alias(c) for c in "xyz"))
+
+
+_RADIUS = f"WITH {UNIT}, xyz AS (SELECT id, v[1] AS x, v[2] AS y, v[3] AS z FROM e), m AS (SELECT avg(x) AS mx, avg(y) AS my, avg(z) AS mz FROM xyz), f AS (SELECT id, sqrt(power(x - mx, 2) + power(y - my, 2) + power(z - mz, 2)) AS radius FROM xyz, m)"
+
+
+@query("shells", f"{_RADIUS}, q AS (SELECT quantile_cont(radius, [0.16666666666666666, 0.3333333333333333, 0.5, 0.6666666666666666, 0.8333333333333334]) AS q FROM f) SELECT id, round(radius, 6) AS radius, CAST(len(list_filter(q, lambda c: c < radius)) AS INTEGER) AS shell FROM f, q")
+def shells(spark, sf_dir):
+    return project.shells(first(spark, sf_dir), ["x", "y", "z"]).select("id", r6("radius").alias("radius"), "shell")
+
+
+@query("radial_density", f"{_RADIUS}, t AS (SELECT max(radius) AS r, count(*) AS c FROM f), g AS (SELECT CAST(least(floor(radius / r * 22), 21) AS BIGINT) AS bin, any_value(c) AS c, count(*) AS n FROM f, t GROUP BY 1) SELECT bin, n, round(CAST(n AS DOUBLE) / c / (power((bin + 1.0::DOUBLE) / 22, 3) - power(bin / 22.0::DOUBLE, 3)), 5) AS density FROM g")
+def radial_density(spark, sf_dir):
+    return project.radial(project.shells(first(spark, sf_dir), ["x", "y", "z"])).select("bin", "n", r6("density", 5).alias("density"))
+
+
+@query("density_ratio", f"""WITH {UNIT}, s AS (SELECT v[1] AS x, v[2] AS y FROM e), z AS (SELECT (x - avg(x) OVER ()) / stddev_pop(x) OVER () AS x, (y - avg(y) OVER ()) / stddev_pop(y) OVER () AS y FROM s),
+    g AS (SELECT CAST(floor((x + 3) / 6 * 30) AS BIGINT) AS cx, CAST(floor((y + 3) / 6 * 30) AS BIGINT) AS cy, count(*) AS n FROM z WHERE abs(x) < 3 AND abs(y) < 3 GROUP BY 1, 2), t AS (SELECT sum(n) AS t FROM g)
+    SELECT cx, cy, n, round(greatest(least(log2((CAST(n AS DOUBLE) / t + 1e-6) / (exp(-(power((cx + 0.5::DOUBLE) / 30 * 6 - 3, 2) + power((cy + 0.5::DOUBLE) / 30 * 6 - 3, 2)) / 2) / (2 * pi()) * 0.04::DOUBLE + 1e-6)), 3), -3), 5) AS log_ratio FROM g, t""")
+def density_ratio(spark, sf_dir):
+    p = first(spark, sf_dir)
+    m = p.agg(*(f(c).alias(f"{n}{c}") for c in "xy" for n, f in (("m", F.avg), ("s", F.stddev_pop))))
+    z = p.join(F.broadcast(m)).select(*(((F.col(c) - F.col(f"m{c}")) / F.col(f"s{c}")).alias(c) for c in "xy")).where("abs(x) < 3 AND abs(y) < 3")
+    g = z.groupBy(*(F.floor((F.col(c) + 3) / 6 * 30).alias(f"c{c}") for c in "xy")).agg(F.count(F.lit(1)).alias("n"))
+    return project.log_ratio(g, 30).select("cx", "cy", "n", r6("log_ratio", 5).alias("log_ratio"))
+
+
+@query("camera", f"{_XYZ} SELECT id, round(-sin(radians(35)) * x + cos(radians(35)) * y, 6) AS u, round(-sin(radians(22)) * cos(radians(35)) * x - sin(radians(22)) * sin(radians(35)) * y + cos(radians(22)) * z, 6) AS v, round(cos(radians(22)) * cos(radians(35)) * x + cos(radians(22)) * sin(radians(35)) * y + sin(radians(22)) * z, 6) AS depth FROM xyz")
+def camera(spark, sf_dir):
+    return project.camera(first(spark, sf_dir)).select("id", r6("u").alias("u"), r6("v").alias("v"), r6("depth").alias("depth"))
+
+
+@query("pca_xyz")
+def pca_xyz(spark, sf_dir):
+    return axes(spark, sf_dir)
+
+
+@query("pca_hull")
+def pca_hull(spark, sf_dir):
+    """Area of the outline and the share of cells in use."""
+    p = axes(spark, sf_dir)
+    h = project.hull(np.array([(r["x"], r["y"]) for r in project.hull_candidates(p).collect()]))
+    n = project.cells(p, ["x", "y"], [80, 56]).count()
+    return spark.createDataFrame([(len(h), project.area(h), n / (80 * 56))], "corners int, area double, occupied double")
+
+
+@query("pca_voids")
+def pca_voids(spark, sf_dir):
+    return spark.createDataFrame(project.voids(axes(spark, sf_dir)), "x double, y double, radius double")
+
+
+@query("pca_peaks")
+def pca_peaks(spark, sf_dir):
+    g = project.cells(axes(spark, sf_dir), ["x", "y"], [84, 60])
+    for _ in range(3):
+        g = project.blurred(g, (84, 60)).withColumnRenamed("v", "n")
+    return spark.createDataFrame(project.peaks(project.dense(g, (84, 60)), 0.01), "cx int, cy int, height double, prominence double")
+
+
+@query("pca_contours")
+def pca_contours(spark, sf_dir):
+    g = project.dense(project.blurred(project.cells(axes(spark, sf_dir), ["x", "y"], [96, 60]), (96, 60)), (96, 60), "v")
+    levels = np.quantile(g[g > 0], [0.3, 0.45, 0.6, 0.75, 0.88, 0.96])
+    rows = [(float(q), *map(float, (*a, *b))) for q in levels for a, b in project.contours(g, q)]
+    return spark.createDataFrame(rows, "level double, x0 double, y0 double, x1 double, y1 double")
+
+
+@query("voxel_gap")
+def voxel_gap(spark, sf_dir):
+    """The share of voxels in use, the fullest one, and the longest run of empty ones between two in use."""
+    rows = voxels(spark, sf_dir).collect()
+    g = np.zeros((9, 9, 9), int)
+    for r in rows:
+        g[r["cx"], r["cy"], r["cz"]] = r["n"]
+    longest = 0
+    for axis in range(3):
+        for line in np.moveaxis(g, axis, 2).reshape(-1, 9):
+            used = np.flatnonzero(line)
+            longest = max([longest, *(np.diff(used) - 1)]) if len(used) > 1 else longest
+    return spark.createDataFrame([(len(rows) / 729, int(g.max()), int(longest))], "occupied double, hottest int, longest_gap int")
+
+
+@query("knn_bridges")
+def knn_bridges(spark, sf_dir):
+    """Components of the neighbour graph and sampled betweenness of its nodes."""
+    x = sampled(spark, sf_dir)
+    e = neighbours.undirected(neighbours.graph(x, 6))
+    score = project.betweenness([tuple(r) for r in e.collect()], [r["id"] for r in x.select("id").collect()], 60)
+    table = spark.createDataFrame([(k, float(v)) for k, v in score.items()], "id bigint, betweenness double")
+    return project.graph_components(e, x).join(table, "id")
+
+
+@query("near_dup_groups", f"""WITH RECURSIVE {UNIT}, g AS (SELECT a.id AS a, b.id AS b FROM u a JOIN u b ON a.id <> b.id AND list_dot_product(a.v, b.v) >= 0.4),
+    r(id, root) AS (SELECT id, id FROM u UNION SELECT g.b, r.root FROM r JOIN g ON g.a = r.id) SELECT id, min(root) AS root FROM r GROUP BY id""")
+def near_dup_groups(spark, sf_dir):
+    from ..operators.pairs import at_least
+
+    x = sampled(spark, sf_dir)
+    return project.graph_components(at_least(x, 0.4), x)
+
+
+# two embeddings of the same items: the second is the first with its dimensions turned by one, or cut to 48
+
+
+def other(spark, sf_dir):
+    turned = F.concat(F.slice("vec", 2, F.size("vec") - 1), F.slice("vec", 1, 1))
+    return unit(spark, sf_dir).withColumn("vec", F.transform(F.zip_with("vec", turned, lambda a, b: a + 0.3 * b), lambda x: x)).withColumn("vec", vec.unit(F.col("vec")))
+
+
+def cut(spark, sf_dir):
+    return raw(spark, sf_dir).withColumn("vec", vec.truncate(F.col("vec"), 48))
+
+
+_TWO = UNIT + """, w AS (SELECT id, label, list_transform(list_zip(v, list_concat(v[2:], v[1:1])), lambda z: z[1] + 0.3::DOUBLE * z[2]) AS v FROM u), b AS (SELECT id, label, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM w)"""
+
+
+@query("truncated", f"WITH {UNIT}, t AS (SELECT id, v[1:16] AS v FROM e), l AS (SELECT id, unnest(range(16)) AS pos, unnest(list_transform(v, lambda x: x / sqrt(list_dot_product(v, v)))) AS x FROM t) SELECT id, CAST(pos AS BIGINT) AS pos, round(x, 6) AS x FROM l")
+def truncated(spark, sf_dir):
+    return raw(spark, sf_dir).select("id", F.posexplode(vec.truncate(F.col("vec"), 16)).alias("pos", "x")).select("id", F.col("pos").cast("bigint").alias("pos"), r6("x").alias("x"))
+
+
+@query("cmp_align", f"WITH {UNIT} SELECT count(*) AS n FROM u a JOIN u b ON CAST(a.id AS VARCHAR) = CAST(b.id AS VARCHAR)")
+def cmp_align(spark, sf_dir):
+    return compare.align(unit(spark, sf_dir), cut(spark, sf_dir)).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("cmp_rows_of", "WITH w AS (SELECT CAST(vec_id * 2 AS VARCHAR) AS id FROM embeddings), k AS (SELECT CAST(vec_id AS VARCHAR) AS id, vec_id AS r FROM embeddings) SELECT w.id, coalesce(r, -1) AS row, r IS NOT NULL AS found FROM w LEFT JOIN k USING (id)")
+def cmp_rows_of(spark, sf_dir):
+    x = raw(spark, sf_dir)
+    return compare.rows_of(x.select("id", F.col("id").alias("row")), x.select((F.col("id") * 2).alias("id")))
+
+
+@query("cmp_drift", f"WITH {_TWO} SELECT CAST(u.id AS VARCHAR) AS id, round(list_distance(u.v, b.v), 6) AS drift, round(list_dot_product(u.v, b.v), 6) AS cos FROM u JOIN b USING (id)")
+def cmp_drift(spark, sf_dir):
+    return compare.drift(compare.align(unit(spark, sf_dir), other(spark, sf_dir))).select("id", r6("drift").alias("drift"), r6("cos").alias("cos"))
+
+
+_NEAR2 = f"WITH {_TWO}, pa AS (SELECT x.id AS i, y.id AS j, row_number() OVER (PARTITION BY x.id ORDER BY list_dot_product(x.v, y.v) DESC, y.id) AS r FROM u x JOIN u y ON x.id <> y.id), pb AS (SELECT x.id AS i, y.id AS j, row_number() OVER (PARTITION BY x.id ORDER BY list_dot_product(x.v, y.v) DESC, y.id) AS r FROM b x JOIN b y ON x.id <> y.id)"
+
+
+@query("cmp_overlap", f"{_NEAR2} SELECT pa.i AS id, round(count(pb.j) / 10.0::DOUBLE, 6) AS share FROM pa LEFT JOIN pb ON pa.i = pb.i AND pa.j = pb.j AND pb.r <= 10 WHERE pa.r <= 10 GROUP BY 1")
+def cmp_overlap(spark, sf_dir):
+    a, b = (neighbours.graph(sampling.sample(x), 10) for x in (unit(spark, sf_dir), other(spark, sf_dir)))
+    return neighbours.overlap(a, b, 10).select("id", r6("share").alias("share"))
+
+
+_CKA = f"""WITH {UNIT}, l AS (SELECT id, unnest(range(len(v))) AS pos, unnest(v) AS x FROM u), m AS (SELECT id, unnest(range(48)) AS pos, unnest(list_transform(v[1:48], lambda x: x / sqrt(list_dot_product(v[1:48], v[1:48])))) AS x FROM e),
+    xy AS (SELECT sum(c * c) AS s FROM (SELECT covar_pop(l.x, m.x) * count(*) AS c FROM l JOIN m USING (id) GROUP BY l.pos, m.pos)), xx AS (SELECT sum(c * c) AS s FROM (SELECT covar_pop(a.x, b.x) * count(*) AS c FROM l a JOIN l b USING (id) GROUP BY a.pos, b.pos)),
+    yy AS (SELECT sum(c * c) AS s FROM (SELECT covar_pop(a.x, b.x) * count(*) AS c FROM m a JOIN m b USING (id) GROUP BY a.pos, b.pos)) SELECT round(xy.s / sqrt(xx.s * yy.s), 6) AS cka FROM xy, xx, yy"""
+
+
+@query("cmp_cka_linear", _CKA)
+def cmp_cka_linear(spark, sf_dir):
+    both = compare.align(unit(spark, sf_dir), cut(spark, sf_dir))
+    return spark.createDataFrame([(compare.block_cka(both),)], "cka double").select(r6("cka").alias("cka"))
+
+
+@query("cmp_energy", f"""WITH {_TWO}, d AS (SELECT (SELECT avg(sqrt(greatest(2 - 2 * list_dot_product(x.v, y.v), 0))) FROM u x, b y) AS xy,
+    (SELECT sum(CASE WHEN x.id = y.id THEN 0 ELSE sqrt(greatest(2 - 2 * list_dot_product(x.v, y.v), 0)) END) / count(*) FROM u x, u y) AS xx, (SELECT sum(CASE WHEN x.id = y.id THEN 0 ELSE sqrt(greatest(2 - 2 * list_dot_product(x.v, y.v), 0)) END) / count(*) FROM b x, b y) AS yy)
+    SELECT round(greatest(2 * xy - xx - yy, 0), 6) AS energy FROM d""")
+def cmp_energy(spark, sf_dir):
+    return compare.energy(sampling.sample(unit(spark, sf_dir)), sampling.sample(other(spark, sf_dir))).select(r6("energy").alias("energy"))
+
+
+@query("cmp_scores")
+def cmp_scores(spark, sf_dir):
+    """Kernel scores on a bounded sample, and the rotation's residual."""
+    both = compare.align(unit(spark, sf_dir), other(spark, sf_dir))
+    x, y = compare.matrices(both, 2000)
+    return spark.createDataFrame([(compare.block_cka(both), compare.rbf_cka(x, y), compare.mmd(x, y), compare.procrustes(both))], "cka double, rbf_cka double, mmd double, procrustes double")
+
+
+@query("cmp_drift_grid", f"{_XYZ}, l AS (SELECT n.x, n.y, e.v[4] AS d FROM n JOIN e USING (id)) SELECT {_cell('x', 30)}, {_cell('y', 30)}, count(*) AS n, round(avg(d), 6) AS drift FROM l GROUP BY 1, 2")
+def cmp_drift_grid(spark, sf_dir):
+    """The mean of a value over the cells of a plane; the value here is the fourth dimension."""
+    p = project.boxed(raw(spark, sf_dir).select(F.col("vec")[0].alias("x"), F.col("vec")[1].alias("y"), F.col("vec")[3].alias("d")), ["x", "y"])
+    at = [F.least(F.floor(F.col(c) * 30), F.lit(29)).cast("bigint").alias(f"c{c}") for c in "xy"]
+    return p.groupBy(*at).agg(F.count(F.lit(1)).alias("n"), r6(F.avg("d")).alias("drift"))
+
+
+@query("wide_columns", f"WITH {UNIT} SELECT id, round(sqrt(v[1] * v[1] + v[2] * v[2]), 6) AS norm FROM e")
+def wide_columns(spark, sf_dir):
+    """A table whose numeric columns are the dimensions."""
+    wide = raw(spark, sf_dir).select("id", F.col("vec")[0].alias("a"), F.col("vec")[1].alias("b"))
+    return schema.vectors(wide).select("id", r6(vec.norm(F.col("vec"))).alias("norm"))
+
+
+assert NEAR
