@@ -81,7 +81,7 @@ class Trees:
 class Scorer:
     """Code lengths of texts, with the costs of grams met before in a table of fixed size."""
 
-    SLOTS = 21
+    SLOTS, BLOCK = 20, 1 << 19
 
     def __init__(self, trees: Trees):
         self.trees = trees
@@ -93,10 +93,8 @@ class Scorer:
         out = np.zeros((len(texts), len(self.trees.names)))
         joined = np.frombuffer(b"".join(_START + x for x in texts), np.uint8)
         ends = np.cumsum([len(x) + ORDER for x in texts])
-        block = 1 << 21
-        g = None
-        for lo in range(0, len(joined) - ORDER, block):
-            hi = min(len(joined) - ORDER, lo + block)
+        for lo in range(0, len(joined) - ORDER, self.BLOCK):
+            hi = min(len(joined) - ORDER, lo + self.BLOCK)
             g = grams(joined[lo : hi + ORDER], ORDER + 1)
             slot = (g * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.SLOTS)
             costs = self.costs[slot]

@@ -44,9 +44,9 @@ class PieceIds:
     token's string goes to the library whole. So memory is bounded whatever the texts.
     """
 
-    SLOTS, BLOCK, POOL = 20, 1 << 21, 1 << 23
+    SLOTS, BLOCK, POOL = 19, 1 << 19, 1 << 21
 
-    def __init__(self, path: str, limit: int = 400_000, longest: int = 64):
+    def __init__(self, path: str, limit: int = 200_000, longest: int = 64):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
