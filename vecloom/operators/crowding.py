@@ -58,9 +58,9 @@ def pockets(x: np.ndarray, least: int = 20, core: int | None = None, most: int =
     """Tight groups of unit vectors: size, birth, death, prominence, members (row numbers).
 
     Single linkage over mutual reachability, condensed: a split counts where both sides have
-    `least` rows. Groups of the greatest excess of mass (in 1 / distance) are taken; if nothing
-    ever splits, the rows that leave the one group late stand for it. Death is the distance at
-    which a group joins another, birth the median reach of its members; members lie within their mean.
+    `least` rows. Groups of the greatest excess of mass (in 1 / distance) are taken, of each the
+    part that stays together longest. Death is the distance at which it is joined to anything
+    else, birth the median reach of its members; members lie within their geometric mean.
     """
     n = len(x)
     if n < 2 * least:
@@ -135,24 +135,20 @@ def pockets(x: np.ndarray, least: int = 20, core: int | None = None, most: int =
     _, chosen = choose(0)
     out = []
     for g in chosen:
-        node = groups[g]["node"]
+        # the part of the group that stays together over the widest range of heights: rows that
+        # chain themselves to it one by one are no members
+        at, above = groups[g]["node"], groups[g]["death"]
+        best, node, death = 1.0, None, 0.0
+        while at >= n and size[at] >= least:
+            if np.isfinite(above) and above / height[at] > best:
+                best, node, death = above / height[at], at, above
+            above, at = height[at], max(kids[at], key=lambda i: size[i])
+        if node is None:
+            continue
         members = leaves(node)
-        reach = np.sort(_reach(node, members, kids, height, n))
-        death = groups[g]["death"] if np.isfinite(groups[g]["death"]) else height[node]
-        if g == 0:
-            # nothing ever split: the part that stays together longest
-            at = node
-            while at >= n and max(size[kids[at][0]], size[kids[at][1]]) >= least:
-                big = max(kids[at], key=lambda i: size[i])
-                if height[big] < 0.5 * height[at] if big >= n else True:
-                    members, death, at = leaves(big), height[at], big
-                    break
-                at = big
-            reach = np.sort(_reach(at, members, kids, height, n))
+        reach = _reach(node, members, kids, height, n)
         birth = float(np.median(reach))
-        edge = np.sqrt(birth * death)
-        member_reach = _reach(groups[g]["node"] if g else at, members, kids, height, n)
-        kept = [m for m, r in zip(members, member_reach, strict=True) if r <= edge]
+        kept = [m for m, r in zip(members, reach, strict=True) if r <= np.sqrt(birth * death)]
         if len(kept) >= max(2, least // 2) and death > birth:
             out.append({"size": len(kept), "birth": birth, "death": float(death), "prominence": float(death - birth), "members": sorted(kept)})
     return sorted(out, key=lambda p: -p["prominence"])[:most]

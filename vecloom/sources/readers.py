@@ -54,7 +54,7 @@ def read_vectors(spark: SparkSession, source: str | np.ndarray | DataFrame, vect
         df = schema.vectors(source, schema.resolve(source.schema, vector, id, label))
         numbered = None
     elif isinstance(source, np.ndarray):
-        numbered = spark.createDataFrame(pd.DataFrame({"row": np.arange(len(source)), "vec": list(np.asarray(source, np.float64))}))
+        numbered = _numbered(spark, source)
     else:
         paths = shards(source)
         kind = Path(paths[0]).suffix
@@ -94,7 +94,11 @@ def _archive(spark, paths, vector, id, label):
         groups.append(flat.get(label or next((k for k in schema.LABELS if k in flat), "")))
     x = np.concatenate(xs).astype(np.float64)
     join = lambda y: None if any(v is None for v in y) else np.concatenate(y).tolist()
-    return spark.createDataFrame(pd.DataFrame({"row": np.arange(len(x)), "vec": list(x)})), (join(names), join(groups))
+    return _numbered(spark, x), (join(names), join(groups))
+
+
+def _numbered(spark, x):
+    return spark.createDataFrame(list(enumerate(np.asarray(x, np.float64).tolist())), "row bigint, vec array<double>")
 
 
 def _sidecar(spark, values, name, n):
