@@ -101,6 +101,10 @@ def _cells(counts: Column, group: int) -> tuple[Column, Column]:
     return cell, F.array_compact(F.array(cell, *(up(first + 2 * s) for s in range(segments))))
 
 
+def _of_group(g: int, cells: Column) -> Column:
+    return F.transform(cells, lambda c: F.struct(F.lit(g).alias("g"), c.alias("c")))
+
+
 def close_pairs(fps: DataFrame, bits: int = BITS) -> DataFrame:
     """(a, b), a < b: the pairs of distinct fingerprints at `bits` (4 at most) or fewer differing bits."""
     if bits > BITS:
@@ -110,7 +114,7 @@ def close_pairs(fps: DataFrame, bits: int = BITS) -> DataFrame:
     for g in range(len(GROUPS)):
         cell, probe = _cells(F.col("v"), g)
         stored.append(F.struct(F.lit(g).alias("g"), cell.alias("c")))
-        probes.append(F.transform(probe, lambda c, g=g: F.struct(F.lit(g).alias("g"), c.alias("c"))))
+        probes.append(_of_group(g, probe))
     left = vectors.select("fp", F.explode(F.concat(*probes)).alias("k")).select(F.col("fp").alias("x"), "k.g", "k.c")
     right = vectors.select("fp", F.explode(F.array(*stored)).alias("k")).select(F.col("fp").alias("y"), "k.g", "k.c")
     x, y = F.col("x"), F.col("y")
