@@ -27,10 +27,10 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each SimHash component: the one with the smallest doc_id."""
-    firsts = simhash.near_duplicates(docs).where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n"))
-    kept = docs.join(firsts, "doc_id").select(*docs.columns, "_n")
-    once = kept.where("_n = 1").select(*docs.columns)
-    repeated = kept.where("_n > 1").select(*docs.columns).dropDuplicates(["doc_id"])
+    firsts = simhash.near_duplicates(docs).where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("_times"))
+    kept = docs.join(firsts, "doc_id").select(*docs.columns, "_times")
+    once = kept.where("_times = 1").select(*docs.columns)
+    repeated = kept.where("_times > 1").select(*docs.columns).dropDuplicates(["doc_id"])
     nameless = docs.where("doc_id IS NULL").dropDuplicates(["text"])
     return once.union(repeated).union(nameless)
 
