@@ -42,8 +42,8 @@ def exceedance(pairs: DataFrame, at: DataFrame) -> DataFrame:
 
 def collisions(pairs: DataFrame, n: Column | int, sigmas: list[float]) -> DataFrame:
     """(sigma, expected): collisions that an item of n expects under noise of each width."""
-    every = F.explode(F.array(*(F.struct(F.lit(float(s)).alias("sigma"), vec.confusion(F.col("cos"), F.lit(float(s))).alias("phi")) for s in sigmas)))
-    long = pairs.select(every.alias("x")).select("x.*")
+    wide = pairs.select("cos", F.explode(F.array(*(F.lit(float(s)) for s in sigmas))).alias("sigma"))
+    long = wide.select("sigma", vec.confusion(F.col("cos"), F.col("sigma")).alias("phi"))
     return long.groupBy("sigma").agg(((F.lit(n) - 1) * F.avg("phi")).alias("expected"))
 
 
@@ -93,3 +93,29 @@ def rank_test(cos: np.ndarray, nulls: DataFrame, at: np.ndarray, alpha: float =
     own = numeric.exceedance(cos, at)
     got = numeric.rank_envelope(own, curves, alpha)
     return {"p": got["p"], "reps": got["reps"], "lift_off": numeric.lift_off(at, own, got["upper"], got["p"], alpha), "pointwise_lift_off": numeric.lift_off(at, own, curves.max(axis=0))}
+
+
+def refit_bootstrap(spark: SparkSession, cos: np.ndarray, fit: Moments, at: float, reps: int, rows: int = 4096, seed: int = 0) -> tuple[float, float, int]:
+    """(excess, p, reps): share of pairs at or above `at` less that of the fit; replicates refit their own mean and covariance."""
+    mean, cov, pairs, n = fit.mean, fit.cov, len(cos), min(rows, max(2, fit.n))
+
+    def excess(c: np.ndarray, mu: np.ndarray, sigma: np.ndarray, random: np.random.Generator) -> float:
+        return float((c >= at).mean() - (numeric.fitted_cosines(mu, sigma, pairs, random) >= at).mean())
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        values, vectors = np.linalg.eigh(cov)
+        root = vectors * np.sqrt(np.clip(values, 0, None))
+        for b in batches:
+            out = []
+            for rep in b["id"]:
+                random = np.random.default_rng([seed, int(rep)])
+                x = mean + random.standard_normal((n, len(cov))) @ root.T
+                x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+                i, j = random.integers(0, n, (2, pairs))
+                c = np.einsum("ij,ij->i", x[i[i != j]], x[j[i != j]])
+                out.append(excess(c, x.mean(axis=0), np.cov(x.T), random))
+            yield pd.DataFrame({"e": out})
+
+    own = excess(cos, mean, cov, np.random.default_rng([seed, reps]))
+    more = spark.range(0, reps, 1, min(reps, 64)).mapInPandas(run, "e double").where(F.col("e") >= own).count()
+    return own, (1 + more) / (1 + reps), reps

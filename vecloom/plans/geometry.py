@@ -251,3 +251,30 @@ def wide_columns(spark, sf_dir):
 
 
 assert NEAR
+
+
+@query("knn_mesh", f"WITH {NEAR}, m AS (SELECT least(i, j) AS a, greatest(i, j) AS b, min(greatest(1 - c, 1e-6)) AS d FROM k WHERE r <= 6 GROUP BY 1, 2), g AS (SELECT a AS id FROM m UNION ALL SELECT b FROM m) SELECT (SELECT count(*) FROM m) AS edges, round((SELECT max(d) FROM m), 6) AS longest, (SELECT max(n) FROM (SELECT count(*) AS n FROM g GROUP BY id)) AS hub_degree")
+def knn_mesh(spark, sf_dir):
+    e = neighbours.undirected(neighbours.graph(sampled(spark, sf_dir), 6))
+    ends = e.select(F.col("a").alias("id")).union(e.select("b")).groupBy("id").count()
+    return e.agg(F.count(F.lit(1)).alias("edges"), r6(F.max("dist")).alias("longest")).join(ends.agg(F.max("count").alias("hub_degree")))
+
+
+_SHIFT = f"""WITH {_TWO}, r AS (SELECT u.id, u.v AS va, b.v AS vb, row_number() OVER (ORDER BY u.id) - 1 AS n FROM u JOIN b USING (id)),
+    t AS (SELECT (t * 7919 + 13) % m AS i, (t * 104729 + t * t * 31 + 7) % m AS j FROM range(20000) x(t), (SELECT count(*) AS m FROM u)),
+    s AS (SELECT list_dot_product(a.va, b.va) AS ca, list_dot_product(a.vb, b.vb) AS cb FROM t JOIN r a ON a.n = t.i JOIN r b ON b.n = t.j WHERE t.i <> t.j)
+    SELECT 'a' AS side, round(avg(ca), 6) AS mean, round(stddev_pop(ca), 6) AS sd, round(ln(avg(exp(-2 * (2 - 2 * ca)))), 6) AS uniformity FROM s UNION ALL SELECT 'b', round(avg(cb), 6), round(stddev_pop(cb), 6), round(ln(avg(exp(-2 * (2 - 2 * cb)))), 6) FROM s"""
+
+
+@query("cmp_shift", _SHIFT)
+def cmp_shift(spark, sf_dir):
+    """The pair cosines of both embeddings, over the same pairs."""
+    from ..operators import occupancy
+    from .registered import DRAWS
+
+    out = None
+    for side, rows in (("a", unit(spark, sf_dir)), ("b", other(spark, sf_dir))):
+        s = occupancy.summary(sampling.pair_cosines(sampling.sample(rows), DRAWS))
+        s = s.select(F.lit(side).alias("side"), r6("mean_cos").alias("mean"), r6("sd_cos").alias("sd"), r6("uniformity").alias("uniformity"))
+        out = s if out is None else out.union(s)
+    return out

@@ -353,3 +353,49 @@ def eigengap(spark, sf_dir):
     x = sampling.sample(unit(spark, sf_dir), 1200)
     e = neighbours.graph(x, 10).toPandas()
     return spark.createDataFrame([(separability.eigengap(e, [r["id"] for r in x.select("id").collect()]),)], "n_modes int")
+
+
+# curves and records
+
+_WIDTHS = [round(0.02 * (1.5 / 0.02) ** (i / 59), 6) for i in range(60)]
+
+
+@query("bandwidth_curve", f"WITH {DRAWN}, g AS (SELECT unnest({_WIDTHS}::DOUBLE[]) AS sigma) SELECT sigma, round((any_value(m) - 1) * avg({phi('c', 'sigma')}), 4) AS expected FROM s, g GROUP BY sigma")
+def bandwidth_curve(spark, sf_dir):
+    n = sampled(spark, sf_dir).count()
+    return occupancy.collisions(drawn(spark, sf_dir), n, _WIDTHS).select("sigma", r6("expected", 4).alias("expected"))
+
+
+@query("structured_noise", f"WITH {DRAWN} SELECT round(avg({phi('c', '0.3::DOUBLE')}), 6) AS phi FROM s")
+def structured_noise(spark, sf_dir):
+    """Confusion under noise of any covariance; here the same in every direction, which SQL can put."""
+    from ..functions import vec
+
+    r = vec.chord(F.col("cos"))
+    return occupancy.structured_collisions(drawn(spark, sf_dir), 0.09 * r * r, r).agg(r6(F.avg("phi")).alias("phi"))
+
+
+@query("dtm_null_band")
+def dtm_null_band(spark, sf_dir):
+    """1st and 99th percentile of the distance to measure of uniform rows, 2048 at most."""
+    x = sampled(spark, sf_dir)
+    n, d = x.count(), x.select(F.size("vec")).first()[0]
+    u = crowding.uniform(min(n, 2048), d, 11)
+    near = -np.sort(-(u @ u.T - 4 * np.eye(len(u))), axis=1)[:, : max(2, math.ceil(0.05 * len(u)))]
+    dtm = np.sqrt(np.maximum(2 - 2 * near, 0).mean(axis=1))
+    return spark.createDataFrame([(float(np.quantile(dtm, 0.01)), float(np.quantile(dtm, 0.99)))], "p1 double, p99 double")
+
+
+@query("refit_test")
+def refit_test(spark, sf_dir):
+    """Excess of close pairs over a Gaussian fit, against replicates that are drawn from the fit and fitted anew."""
+    m = moments(unit(spark, sf_dir))
+    p = occupancy.refit_bootstrap(spark, occupancy.cosines(drawn(spark, sf_dir)), m, 0.3, 39)
+    return spark.createDataFrame([p], "excess double, p double, reps int")
+
+
+@query("readout")
+def readout(spark, sf_dir):
+    """One row of the scalars that a run is recorded by."""
+    d = diagnose(spark, sf_dir).select("n", "dim", "mean_cos", "isoscore", "effective_rank", "uniformity", "verdict")
+    return d.join(sigma_star(spark, sf_dir).select("sigma_star")).join(stolarsky_z(spark, sf_dir).select("z", "reps")).join(hub_skew(spark, sf_dir)).join(pockets(spark, sf_dir).agg(F.count(F.lit(1)).alias("pockets"), F.max("size").alias("largest_pocket")))
