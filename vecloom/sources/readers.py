@@ -65,9 +65,9 @@ def read_vectors(spark: SparkSession, source: str | np.ndarray | DataFrame, vect
             ids, labels = ids if ids is not None else own[0], labels if labels is not None else own[1]
         else:
             numbered = None
-            # one row's surrogate id must not depend on how a reader splits the file, so that one is taken from the content
-            form = {".parquet": spark.read.parquet, ".pq": spark.read.parquet, ".jsonl": spark.read.json, ".csv": lambda p: spark.read.csv(p, header=True, inferSchema=True)}
-            got = form[kind](paths) if kind != ".pq" else spark.read.parquet(*paths)
+            parquet = lambda p: spark.read.parquet(*p)
+            form = {".parquet": parquet, ".pq": parquet, ".jsonl": spark.read.json, ".csv": lambda p: spark.read.csv(p, header=True, inferSchema=True)}
+            got = form[kind](paths)
             df = schema.vectors(got, schema.resolve(got.schema, vector, id, label))
     if numbered is None:
         return df
