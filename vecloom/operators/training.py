@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -18,33 +20,52 @@ def pair_table(rows: DataFrame) -> DataFrame:
     return up.union(up.select("j", "i", "cos"))
 
 
+def batched_pairs(rows: DataFrame, size: int) -> DataFrame:
+    """(batch, i, j, cos) of all ordered pairs of every batch of unit rows: batch k holds the ids from k * size to (k + 1) * size - 1."""
+    kind = rows.schema["id"].dataType.simpleString()
+
+    def pairs(x: pd.DataFrame) -> pd.DataFrame:
+        v, id = np.stack(x["vec"].to_list()), x["id"].to_numpy()
+        i, j = np.nonzero(id[:, None] != id[None, :])
+        return pd.DataFrame({"batch": x["batch"].iloc[0], "i": id[i], "j": id[j], "cos": (v @ v.T)[i, j]})
+
+    dealt = rows.select(F.floor(F.col("id") / size).cast("bigint").alias("batch"), "id", "vec")
+    return dealt.groupBy("batch").applyInPandas(pairs, f"batch bigint, i {kind}, j {kind}, cos double")
+
+
+def batched_edges(pairs: DataFrame) -> DataFrame:
+    """(src, dst, cos, rank): the pairs of batched_pairs() as ranked edges, ties by id."""
+    rank = F.row_number().over(Window.partitionBy("i").orderBy(F.col("cos").desc(), "j"))
+    return pairs.select(F.col("i").alias("src"), F.col("j").alias("dst"), "cos", rank.alias("rank"))
+
+
 def guarded(edges: DataFrame, top: int) -> DataFrame:
     """(i, j): pairs of which either has the other among its first `top` neighbours."""
     near = edges.where(F.col("rank") <= top)
     return near.select(F.col("src").alias("i"), F.col("dst").alias("j")).union(near.select(F.col("dst").alias("i"), F.col("src").alias("j"))).distinct()
 
 
-def confusion_loss(pairs: DataFrame, sigma: float, guard: DataFrame | None = None) -> DataFrame:
-    """One row (loss): the mean confusion of the pairs that the guard doesn't hold back."""
+def confusion_loss(pairs: DataFrame, sigma: float, guard: DataFrame | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """One row (loss), or one for each value of `by`: the mean confusion of the pairs that the guard doesn't hold back."""
     kept = pairs if guard is None else pairs.join(guard, ["i", "j"], "left_anti")
     c = F.sqrt(F.greatest(2 - 2 * F.col("cos"), F.lit(1e-12)))
-    return kept.agg(F.avg(vec.normal_cdf(-c / (2.0 * sigma))).alias("loss"))
+    return kept.groupBy(*by).agg(F.avg(vec.normal_cdf(-c / (2.0 * sigma))).alias("loss"))
 
 
-def uniformity_loss(pairs: DataFrame, t: float = 2.0) -> DataFrame:
-    return pairs.agg(F.ln(F.avg(F.exp(-t * (2 - 2 * F.col("cos"))))).alias("loss"))
+def uniformity_loss(pairs: DataFrame, t: float = 2.0, by: tuple[str, ...] = ()) -> DataFrame:
+    return pairs.groupBy(*by).agg(F.ln(F.avg(F.exp(-t * (2 - 2 * F.col("cos"))))).alias("loss"))
 
 
-def preservation_loss(before: DataFrame, after: DataFrame, temperature: float = 0.05) -> DataFrame:
-    """One row (loss): mean over rows of the divergence of the old neighbour softmax from the new."""
+def preservation_loss(before: DataFrame, after: DataFrame, temperature: float = 0.05, by: tuple[str, ...] = ()) -> DataFrame:
+    """One row (loss), or one for each value of `by`: mean over rows of the divergence of the old neighbour softmax from the new."""
 
     def log_softmax(p: DataFrame, name: str) -> DataFrame:
         w = Window.partitionBy("i")
         z = p.withColumn("z", F.col("cos") / temperature).withColumn("m", F.max("z").over(w))
-        return z.select("i", "j", (F.col("z") - F.col("m") - F.ln(F.sum(F.exp(F.col("z") - F.col("m"))).over(w))).alias(name))
+        return z.select(*by, "i", "j", (F.col("z") - F.col("m") - F.ln(F.sum(F.exp(F.col("z") - F.col("m"))).over(w))).alias(name))
 
-    both = log_softmax(before, "old").join(log_softmax(after, "new"), ["i", "j"])
-    return both.groupBy("i").agg(F.sum(F.exp("old") * (F.col("old") - F.col("new"))).alias("kl")).agg(F.avg("kl").alias("loss"))
+    both = log_softmax(before, "old").join(log_softmax(after, "new"), [*by, "i", "j"])
+    return both.groupBy(*by, "i").agg(F.sum(F.exp("old") * (F.col("old") - F.col("new"))).alias("kl")).groupBy(*by).agg(F.avg("kl").alias("loss"))
 
 
 def resolution_weights(collisions: DataFrame, floor: float = 0.1) -> DataFrame:
@@ -74,7 +95,9 @@ def training_rows(positives: DataFrame, negatives: DataFrame, n_positive: int =
     numbers = positives.select("id").distinct().withColumn("number", (F.row_number().over(Window.orderBy("id")) - 1).cast("bigint"))
 
     def gathered(x: DataFrame, what: str, n: int, name: str) -> DataFrame:
-        got = x.groupBy("q").agg(F.slice(F.transform(F.sort_array(F.collect_set(F.struct("id", what))), lambda s: s[what]), 1, n).alias("g"))
+        r = F.row_number().over(Window.partitionBy("q").orderBy("id", what))  # cut before they are gathered: a q may have any number of rows
+        first = x.select("q", "id", what).distinct().withColumn("_r", r).where(F.col("_r") <= n)
+        got = first.groupBy("q").agg(F.transform(F.sort_array(F.collect_list(F.struct("id", what))), lambda s: s[what]).alias("g"))
         last = F.element_at("g", -1)
         return got.select("q", F.concat("g", F.array_repeat(last, F.lit(n) - F.size("g"))).alias(name))
 

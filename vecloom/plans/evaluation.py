@@ -1,13 +1,19 @@
 """Sampling, training inputs and retrieval quality over the embeddings.
 
-Queries are the rows with id below 20; a document is relevant if it has the query's label.
+Where SQL stands beside a retrieval query, its searches are the rows with id below 20, as the SQL
+says; a document is relevant if it has the query's label. Likewise a batch of the training inputs
+is the rows with id below 200. The queries of the same names with _all take every hundredth id as
+searches, and all batches of 200 ids; bootstrap_ci, which has no SQL, does as well.
 """
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 from pyspark.sql import functions as F
 
+from ..functions import vec
 from ..operators import crowding, evaluate, neighbours, sampling, training
 from ..operators.pairs import top_k
 from .profile import sampled
@@ -55,6 +61,9 @@ def weighted_sample(spark, sf_dir):
     return sampling.weighted(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "n_chars", 50, "doc_id").select("doc_id")
 
 
+#: Searches of the retrieval queries: those of the SQL, and those of the queries named _all.
+FIRST, HUNDREDTH = "id < 20", "id % 100 = 0"
+
 # training inputs: a batch is the rows of id below 200
 
 _BATCH = f"{PAIRS}, q AS (SELECT * FROM p WHERE i < 200 AND j < 200), g AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY c DESC, j) AS r FROM q), h AS (SELECT i, j FROM g WHERE r <= 3 UNION SELECT j, i FROM g WHERE r <= 3)"
@@ -84,8 +93,6 @@ def uniformity_loss(spark, sf_dir):
     l AS (SELECT i, c / 0.05::DOUBLE - ln(sum(exp(c / 0.05::DOUBLE)) OVER (PARTITION BY i)) AS o, d / 0.05::DOUBLE - ln(sum(exp(d / 0.05::DOUBLE)) OVER (PARTITION BY i)) AS n FROM b)
     SELECT round(avg(kl), 6) AS loss FROM (SELECT sum(exp(o) * (o - n)) AS kl FROM l GROUP BY i)""")
 def preservation_loss(spark, sf_dir):
-    from ..functions import vec
-
     b = batch(spark, sf_dir)
     return training.preservation_loss(training.pair_table(b), training.pair_table(b.withColumn("vec", vec.truncate(F.col("vec"), 48)))).select(r6("loss").alias("loss"))
 
@@ -101,31 +108,66 @@ def confusable_negatives(spark, sf_dir):
 
 
 @query("hard_negatives", f"WITH {NEAR}, n AS (SELECT i AS q, j AS id, row_number() OVER (PARTITION BY i ORDER BY c DESC, j) AS rank FROM k WHERE r <= 20 AND i < 20 AND li <> lj) SELECT q, id, CAST(rank AS INTEGER) AS rank FROM n WHERE rank <= 5")
-def hard_negatives(spark, sf_dir):
+def hard_negatives(spark, sf_dir, searches=FIRST):
     x = sampled(spark, sf_dir)
-    near = top_k(x.where("id < 20"), x, 20).select(F.col("src").alias("q"), F.col("dst").alias("id"), "cos")
-    gold = x.where("id < 20").select(F.col("id").alias("q"), "label").join(x.select("id", "label"), "label").select("q", "id")
+    near = top_k(x.where(searches), x, 20).select(F.col("src").alias("q"), F.col("dst").alias("id"), "cos")
+    gold = x.where(searches).select(F.col("id").alias("q"), "label").join(x.select("id", "label"), "label").select("q", "id")
     return training.hard_negatives(near, gold, 5).select("q", "id", "rank")
 
 
 @query("training_rows", """WITH p AS (SELECT lang AS q, doc_id AS id, source AS text, min(source) OVER (PARTITION BY lang) AS question FROM documents WHERE doc_id < 60), d AS (SELECT id, CAST(row_number() OVER (ORDER BY id) - 1 AS BIGINT) AS number FROM (SELECT DISTINCT id FROM p)),
     g AS (SELECT q, any_value(question) AS anchor, list(text ORDER BY id)[1:3] AS t, list(number ORDER BY id)[1:3] AS k FROM p JOIN d USING (id) GROUP BY q)
     SELECT q, anchor, t[1] AS positive_1, t[len(t)] AS positive_last, k[1] AS number_1, CAST(3 AS INTEGER) AS n FROM g""")
-def training_rows(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where("doc_id < 60")
+def training_rows(spark, sf_dir, which="doc_id < 60"):
+    d = table(spark, sf_dir, "documents").where(which)
     p = d.select(F.col("lang").alias("q"), F.col("doc_id").alias("id"), F.col("source").alias("text"), F.col("source").alias("question"))
     out = training.training_rows(p, p.select("q", "id", "text"))
     return out.select("q", "anchor", F.col("positives")[0].alias("positive_1"), F.element_at("positives", -1).alias("positive_last"), F.col("gold_numbers")[0].alias("number_1"), F.size("positives").alias("n"))
 
 
+# the same for all rows: every batch of 200 ids by itself, and every document
+
+query("training_rows_all")(partial(training_rows, which="true"))
+
+
+def batches(spark, sf_dir, dims=None):
+    x = unit(spark, sf_dir)
+    return training.batched_pairs(x if dims is None else x.withColumn("vec", vec.truncate(F.col("vec"), dims)), 200)
+
+
+@query("guard_pairs_all")
+def guard_pairs_all(spark, sf_dir):
+    return training.guarded(training.batched_edges(batches(spark, sf_dir)), 3)
+
+
+@query("confusion_loss_all")
+def confusion_loss_all(spark, sf_dir):
+    return training.confusion_loss(batches(spark, sf_dir), 0.3, guard_pairs_all(spark, sf_dir), ("batch",)).select("batch", r6("loss").alias("loss"))
+
+
+@query("uniformity_loss_all")
+def uniformity_loss_all(spark, sf_dir):
+    return training.uniformity_loss(batches(spark, sf_dir), by=("batch",)).select("batch", r6("loss").alias("loss"))
+
+
+@query("preservation_loss_all")
+def preservation_loss_all(spark, sf_dir):
+    return training.preservation_loss(batches(spark, sf_dir), batches(spark, sf_dir, 48), by=("batch",)).select("batch", r6("loss").alias("loss"))
+
+
+@query("confusable_negatives_all")
+def confusable_negatives_all(spark, sf_dir):
+    return training.confusable_negatives(batches(spark, sf_dir), guard_pairs_all(spark, sf_dir), 0.1, 0.25, 4).select("i", "j", r6("cos").alias("cos"))
+
+
 # retrieval: every query against all rows but itself
 
 _SCORES = f"{UNIT}, s AS (SELECT a.id AS q, b.id AS id, list_dot_product(a.v, b.v) AS c, a.label = b.label AS rel, row_number() OVER (PARTITION BY a.id ORDER BY list_dot_product(a.v, b.v) DESC, b.id) AS r FROM u a JOIN u b ON a.id < 20 AND a.id <> b.id), g AS (SELECT q, min(id) AS id FROM s WHERE rel GROUP BY q)"
 
 
-def scores(spark, sf_dir):
+def scores(spark, sf_dir, searches=FIRST):
     x = sampled(spark, sf_dir)
-    q = x.where("id < 20")
+    q = x.where(searches)
     n = x.count()
     labels = x.select(F.col("id"), "label")
     s = top_k(q, x, n).select(F.col("src").alias("q"), F.col("dst").alias("id"), "cos", "rank")
@@ -137,29 +179,33 @@ def golds(s):
 
 
 @query("gold_rank", f"WITH {_SCORES} SELECT s.q, count(*) FILTER (s.c > o.c) + 1 AS rank FROM s JOIN g USING (q) JOIN s o ON o.q = g.q AND o.id = g.id GROUP BY s.q")
-def gold_rank(spark, sf_dir):
-    s = scores(spark, sf_dir)
+def gold_rank(spark, sf_dir, searches=FIRST):
+    s = scores(spark, sf_dir, searches)
     return evaluate.gold_ranks(s, golds(s))
 
 
 @query("recall_mrr", f"WITH {_SCORES}, k AS (SELECT s.q, count(*) FILTER (s.c > o.c) + 1 AS rank FROM s JOIN g USING (q) JOIN s o ON o.q = g.q AND o.id = g.id GROUP BY s.q) SELECT count(*) AS n, round(avg(CASE WHEN rank <= 1 THEN 1.0::DOUBLE ELSE 0 END), 6) AS recall_1, round(avg(CASE WHEN rank <= 10 THEN 1.0::DOUBLE ELSE 0 END), 6) AS recall_10, round(avg(CASE WHEN rank <= 10 THEN 1.0::DOUBLE / rank ELSE 0 END), 6) AS mrr_10, round(quantile_cont(rank, 0.5), 6) AS median_rank, round(avg(rank), 6) AS mean_rank FROM k")
-def recall_mrr(spark, sf_dir):
-    out = evaluate.rank_summary(gold_rank(spark, sf_dir))
+def recall_mrr(spark, sf_dir, searches=FIRST):
+    out = evaluate.rank_summary(gold_rank(spark, sf_dir, searches))
     return out.select("n", *(r6(c).alias(c) for c in out.columns[1:]))
 
 
 @query("set_recall", f"WITH {_SCORES}, m AS (SELECT q, CAST(count(*) FILTER (r <= 50) AS DOUBLE) / count(*) AS x FROM s WHERE rel GROUP BY q) SELECT round(avg(x), 6) AS set_recall, round(avg(CASE WHEN x = 1 THEN 1.0::DOUBLE ELSE 0 END), 6) AS all_gold FROM m")
-def set_recall(spark, sf_dir):
-    s = scores(spark, sf_dir)
+def set_recall(spark, sf_dir, searches=FIRST):
+    s = scores(spark, sf_dir, searches)
     return evaluate.set_recall(s, s.where("rel").select("q", "id"), 50).select(r6("set_recall").alias("set_recall"), r6("all_gold").alias("all_gold"))
 
 
 @query("ndcg10", f"WITH {_SCORES}, d AS (SELECT q, sum(CASE WHEN r <= 10 THEN 1 / log2(r + 1) ELSE 0 END) AS dcg, avg(CASE WHEN r <= 100 THEN 1.0::DOUBLE ELSE 0 END) AS recall, least(count(*), 10) AS n FROM s WHERE rel GROUP BY q) SELECT q, round(dcg / list_sum(list_transform(range(1, n + 1), lambda x: 1 / log2(x + 1))), 6) AS ndcg, round(recall, 6) AS recall_100 FROM d")
-def ndcg10(spark, sf_dir):
-    s = scores(spark, sf_dir)
+def ndcg10(spark, sf_dir, searches=FIRST):
+    s = scores(spark, sf_dir, searches)
     return evaluate.ndcg(s, s.select("q", "id", F.col("rel").cast("int").alias("rel"))).select("q", r6("ndcg").alias("ndcg"), r6("recall_100").alias("recall_100"))
 
 
+for _f in (hard_negatives, gold_rank, recall_mrr, set_recall, ndcg10):
+    query(f"{_f.__name__}_all")(partial(_f, searches=HUNDREDTH))
+
+
 @query("auc", "WITH l AS (SELECT quality = 1 AS p, CAST(n_chars // 100 AS BIGINT) AS s FROM labels JOIN documents USING (doc_id)) SELECT round(avg(CASE WHEN a.s > b.s THEN 1.0::DOUBLE WHEN a.s = b.s THEN 0.5 ELSE 0 END), 6) AS auc FROM l a JOIN l b ON a.p AND NOT b.p")
 def auc(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", F.floor(F.col("n_chars") / 100).alias("s"))
@@ -199,7 +245,7 @@ def mcnemar(spark, sf_dir):
 
 @query("bootstrap_ci")
 def bootstrap_ci(spark, sf_dir):
-    ranks = np.array([1.0 / r["rank"] for r in gold_rank(spark, sf_dir).collect()])
+    ranks = np.array([1.0 / r["rank"] for r in gold_rank(spark, sf_dir, HUNDREDTH).orderBy("q").collect()])
     return evaluate.bootstrap(ranks, spark, 2000)
 
 
