@@ -5,7 +5,9 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from vecloom.plans.catalogue import QUERIES
+from oracle import same
+from vecloom.operators import sampling
+from vecloom.plans.catalogue import QUERIES, SQL
 
 N, DIM = 450, 64
 
@@ -77,3 +79,10 @@ def test_every_batch(spark, data):
 def test_every_document(spark, data):
     got = {r.q: (r.positive_1, r.positive_last, r.number_1) for r in QUERIES["training_rows_all"](spark, data[0]).collect()}
     assert got == {"de": ("s0", "s2", 0), "en": ("s2", "s4", 100)}
+
+
+@pytest.mark.parametrize("name", ["near_dup_groups", "dedup_f1", "gold_rank", "recall_mrr", "set_recall", "ndcg10", "hard_negatives"])
+def test_no_sample(spark, data, monkeypatch, name):
+    whole = sampling.sample
+    monkeypatch.setattr(sampling, "sample", lambda rows, size=100, **k: whole(rows, size, **k))
+    same(QUERIES[name](spark, data[0]), SQL[name], data[0])

@@ -111,9 +111,24 @@ def bootstrap(values: np.ndarray, spark, reps: int = 10_000, seed: int = 0, clus
 
 def pair_scores(found: DataFrame, gold: DataFrame, thresholds: list[float]) -> DataFrame:
     """(threshold, precision, recall, f1) of found pairs (a, b, cos) against gold pairs (a, b)."""
-    at = found.select("a", "b", F.explode(F.filter(F.array(*map(F.lit, thresholds)), lambda t: t <= F.col("cos"))).alias("threshold"))
-    hit = at.join(gold.withColumn("_g", F.lit(1)), ["a", "b"], "left").groupBy("threshold").agg(F.count("_g").alias("tp"), F.count(F.lit(1)).alias("n"))
-    out = hit.join(F.broadcast(gold.agg(F.count(F.lit(1)).alias("g"))))
+    marked = found.join(gold.withColumn("_g", F.lit(1)), ["a", "b"], "left")
+    return _scored(marked, gold.agg(F.count(F.lit(1)).alias("g")), thresholds)
+
+
+def label_pair_scores(found: DataFrame, labels: DataFrame, thresholds: list[float]) -> DataFrame:
+    """pair_scores() where the gold pairs are those of one label, counted from the label sizes. labels: id, label."""
+    a = labels.select(F.col("id").alias("a"), F.col("label").alias("_la"))
+    b = labels.select(F.col("id").alias("b"), F.col("label").alias("_lb"))
+    marked = found.join(a, "a").join(b, "b").withColumn("_g", F.when(F.col("_la") == F.col("_lb"), 1))
+    n = labels.where("label IS NOT NULL").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    return _scored(marked, n.agg(F.sum(F.expr("n * (n - 1) div 2")).alias("g")), thresholds)
+
+
+def _scored(marked: DataFrame, golds: DataFrame, thresholds: list[float]) -> DataFrame:
+    """Scores of found pairs whose _g isn't null where they are gold; golds: one row (g), the number of all."""
+    at = marked.select("_g", F.explode(F.filter(F.array(*map(F.lit, thresholds)), lambda t: t <= F.col("cos"))).alias("threshold"))
+    hit = at.groupBy("threshold").agg(F.count("_g").alias("tp"), F.count(F.lit(1)).alias("n"))
+    out = hit.join(F.broadcast(golds))
     p, r = F.col("tp") / F.col("n"), F.col("tp") / F.col("g")
     return out.select("threshold", p.alias("precision"), r.alias("recall"), F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0).alias("f1"))
 

@@ -109,7 +109,7 @@ def confusable_negatives(spark, sf_dir):
 
 @query("hard_negatives", f"WITH {NEAR}, n AS (SELECT i AS q, j AS id, row_number() OVER (PARTITION BY i ORDER BY c DESC, j) AS rank FROM k WHERE r <= 20 AND i < 20 AND li <> lj) SELECT q, id, CAST(rank AS INTEGER) AS rank FROM n WHERE rank <= 5")
 def hard_negatives(spark, sf_dir, searches=FIRST):
-    x = sampled(spark, sf_dir)
+    x = unit(spark, sf_dir)
     near = top_k(x.where(searches), x, 20).select(F.col("src").alias("q"), F.col("dst").alias("id"), "cos")
     gold = x.where(searches).select(F.col("id").alias("q"), "label").join(x.select("id", "label"), "label").select("q", "id")
     return training.hard_negatives(near, gold, 5).select("q", "id", "rank")
@@ -166,7 +166,7 @@ _SCORES = f"{UNIT}, s AS (SELECT a.id AS q, b.id AS id, list_dot_product(a.v, b.
 
 
 def scores(spark, sf_dir, searches=FIRST):
-    x = sampled(spark, sf_dir)
+    x = unit(spark, sf_dir)
     q = x.where(searches)
     n = x.count()
     labels = x.select(F.col("id"), "label")
@@ -253,10 +253,8 @@ def bootstrap_ci(spark, sf_dir):
 def dedup_f1(spark, sf_dir):
     from ..operators.pairs import at_least
 
-    x = sampled(spark, sf_dir)
-    a = x.select(F.col("id").alias("a"), "label")
-    gold = a.join(x.select(F.col("id").alias("b"), "label"), "label").where("a < b").select("a", "b")
-    return evaluate.pair_scores(at_least(x, 0.3), gold, [0.3, 0.35, 0.4]).select("threshold", r6("precision").alias("precision"), r6("recall").alias("recall"), r6("f1").alias("f1"))
+    x = unit(spark, sf_dir)
+    return evaluate.label_pair_scores(at_least(x, 0.3), x.select("id", "label"), [0.3, 0.35, 0.4]).select("threshold", r6("precision").alias("precision"), r6("recall").alias("recall"), r6("f1").alias("f1"))
 
 
 @query("detection_power", "WITH n AS (SELECT lang AS statistic, quantile_cont(n_chars, 0.99) AS threshold FROM documents WHERE doc_id % 2 = 0 GROUP BY 1) SELECT statistic, round(threshold, 6) AS threshold, round(avg(CASE WHEN n_chars > threshold THEN 1.0::DOUBLE ELSE 0 END), 6) AS power FROM documents JOIN n ON lang = statistic WHERE doc_id % 2 = 1 GROUP BY 1, 2, n.threshold")
