@@ -99,6 +99,18 @@ def test_clean_texts_stay():
         assert p.text(text)[0] == text
 
 
+def test_plus_signs_before_short_numbers():
+    p, back = pseudonyms.Pseudonyms(), pseudonyms.Pseudonyms(invert=True)
+    for text in ("up +200 points", "+250%", "a gain of +50000", "+123456 +999999"):
+        assert p.text(text) == (text, Counter())
+    for text in ("+49 12 34", "+8242-19-4", "+4930123456", "+33 1 23 45 67 89"):
+        new, found = p.text(text)
+        assert found == {"phone": 1} and new != text and back.text(new)[0] == text
+    r = random.Random(0)
+    for _ in range(20_000):
+        p.text("+" + "".join(r.choice("0123456789 .-()") for _ in range(r.randint(3, 18))))
+
+
 def test_pseudonyms_link(spark):
     d = docs(spark, [(1, "x a@b.org"), (2, "y a@b.org z"), (3, None), (None, ""), (3, None)])
     out = pseudonyms.pseudonymize(d).collect()

@@ -108,9 +108,12 @@ class Pseudonyms:
         body = self.by_class(digits[:-1], f"card{off}", fixed=1)
         return _put(s, body + str((_luhn(body) + off) % 10))
 
-    def phone(self, s: str) -> str:
+    def phone(self, s: str) -> str | None:
         digits = _digits(s)
-        fixed = 0 if s[0] != "+" else 1 if digits[0] == "1" else len(regex.match(r"\+(\d{1,3}?)(?=\D|\d{6})", s)[1])
+        code = regex.match(r"\+(\d{1,3}?)(?=\D|\d{6})", s)
+        if s[0] == "+" and not code and len(digits) < 7:  # no country code can be told: a percentage or a score
+            return None
+        fixed = 0 if s[0] != "+" else 1 if digits[0] == "1" or not code else len(code[1])
         own = digits[fixed:]
         if len(own) == 10 and own[0] > "1" and own[3] > "1":
             rank = ((int(own[:3]) - 200) * 800 + int(own[3:6]) - 200) * 10_000 + int(own[6:])
