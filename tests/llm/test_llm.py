@@ -111,6 +111,35 @@ def test_plus_signs_before_short_numbers():
         p.text("+" + "".join(r.choice("0123456789 .-()") for _ in range(r.randint(3, 18))))
 
 
+JWT = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.dozjgNryP4J3jVmNHl0w5N_XgL0n"
+
+
+def test_values_are_replaced_whole():
+    p, back = pseudonyms.Pseudonyms(), pseudonyms.Pseudonyms(invert=True)
+    for text, gone, kinds in [
+        ("pay ES91 2100 0418 4502 0005 1332 EUR now", ["2100 0418", "1332"], {"iban": 1}),
+        ("AT61 1904 3002 3457 3201 2020-02-29", ["1904 3002", "2020-02-29"], {"iban": 1, "date": 1}),
+        ("NO93 8601 1117 947 EUR", ["8601 1117"], {"iban": 1}),
+        (f"token={JWT}. Next", JWT.split("."), {"secret": 1}),
+        ("secret: abcd+efgh/ijkl012345==", ["abcd", "efgh", "ijkl"], {"secret": 1}),
+        ("password=" + "a1B2c3D4" * 50, ["a1B2c3D4"], {"secret": 1}),
+        ("at 2024-01-02T10:00 and 1789-07-14, 31/12/1850, 2150-01-01", ["2024-01-02", "1789-07-14", "31/12/1850", "2150-01-01"], {"date": 4}),
+    ]:
+        new, found = p.text(text)
+        assert found == kinds and not [g for g in gone if g in new] and len(new) == len(text), text
+        assert back.text(new)[0] == text
+    assert p.text("pay ES91 2100 0418 4502 0005 1332 EUR")[0].endswith(" EUR") and "T10:00" in p.text("2024-01-02T10:00")[0]
+    assert p.text("token=abcdefgh12.")[0] == p.text("token=abcdefgh12")[0] + "."
+
+
+def test_dates_of_every_span():
+    p, back = pseudonyms.Pseudonyms(), pseudonyms.Pseudonyms(invert=True)
+    for year in (1, 99, 100, 1699, 1700, 1899, 1900, 2099, 2100, 9899, 9900, 9999):
+        for d in (f"{year:04}-12-31", f"31/12/{year:04}", f"01/01/{year:04}", f"31.12.{year:04}"):
+            new = p.date(d)
+            assert new is not None and back.date(new) == d
+
+
 def test_pseudonyms_link(spark):
     d = docs(spark, [(1, "x a@b.org"), (2, "y a@b.org z"), (3, None), (None, ""), (3, None)])
     out = pseudonyms.pseudonymize(d).collect()

@@ -33,22 +33,29 @@ ROUNDS = 10
 _ALPHABETS = ["0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþß", "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ"]
 _CLASS = {c: a for a in _ALPHABETS for c in a}
 _HEX = "0123456789abcdef"
-_FIRST, _DAYS = date(1900, 1, 1).toordinal(), date(2100, 1, 1).toordinal() - date(1900, 1, 1).toordinal()
 
 _FIND = regex.compile(
     r"""
     (?P<iban>(?<!\w)[A-Z]{2}\d{2}(?:\ ?[A-Z0-9]{4}){2,7}(?:\ ?[A-Z0-9]{1,4})?(?!\w))
   | (?P<email>(?<![\w.%+\-])[\w.%+\-]{1,64}@(?:[\w\-]{1,63}\.)+[^\W\d_]{2,24}(?![\w@]))
-  | (?P<secret>(?<!\w)AKIA[0-9A-Z]{16}(?!\w)|(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key)\b\s*[=:]\s*["']?)\K[A-Za-z0-9_\-]{8,128})
+  | (?P<secret>(?<!\w)AKIA[0-9A-Z]{16}(?!\w)|(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key)\b\s*[=:]\s*["']?)\K[A-Za-z0-9_\-./+=]{7,}[A-Za-z0-9_\-/+=])
   | (?P<phone>(?<![\w+])\+1[ .\-]?\(?\d{3}\)?[ .\-]?\d{3}[ .\-]?\d{4}(?!\w)|(?<![\w(+.\-])\(?[2-9]\d\d\)?[ .\-]\ ?[2-9]\d\d[ .\-]\d{4}(?![\w\-])|(?<![\w+])\+[2-9]\d{0,2}(?:[ .\-]?\(?\d{1,4}\)?){2,6}(?!\w))
   | (?P<card>(?<![\w.\-])\d{13,19}(?!\w)|(?<![\w.\-])\d{4}(?P<a>[ \-])\d{4}(?P=a)\d{4}(?P=a)\d{4}(?![\w\-])|(?<![\w.\-])\d{4}(?P<b>[ \-])\d{6}(?P=b)\d{5}(?![\w\-]))
-  | (?P<date>(?<![\w.\-/])\d{4}-\d{2}-\d{2}(?![\w\-/])|(?<![\w.\-/])\d{1,2}(?P<c>[./])\d{1,2}(?P=c)\d{4}(?![\w\-/]))
+  | (?P<date>(?<![\w.\-/])\d{4}-\d{2}-\d{2}(?=[Tt]\d{2}|(?![\w\-/]))|(?<![\w.\-/])\d{1,2}(?P<c>[./])\d{1,2}(?P=c)\d{4}(?![\w\-/]))
   | (?P<ssn>(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w\-]))
   | (?P<ip>(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?!\w|\.\w))
     """,
     regex.VERBOSE,
 )
 _MAY = regex.compile(r"[0-9@=:]")
+#: Characters of an IBAN without spaces, by country.
+_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_IBAN = {c: n for n, names in _LENGTHS.items() for c in names.split()}
+#: Characters of a secret that are permuted at once.
+_AT_ONCE = 128
 
 
 class Pseudonyms:
@@ -154,23 +161,25 @@ class Pseudonyms:
                 day = date(y, a, b) if order == "mdy" else date(y, b, a)
         except ValueError:
             return None
-        rank = day.toordinal() - _FIRST
-        if not 0 <= rank < _DAYS:
-            return None
+        # a date stays within its 200 years, of which 1900 to 2099 are one span
+        start = max(1, 1900 + (day.year - 1900) // 200 * 200)
+        end = min(10_000, 1900 + ((day.year - 1900) // 200 + 1) * 200)
+        tweak, first = "date" if start == 1900 else f"date{start}", date(start, 1, 1).toordinal()
+        rank, days_in = day.toordinal() - first, date(end - 1, 12, 31).toordinal() + 1 - first
         # a slashed month-first date must stay readable as one: all are, as its month is 12 at most
         if order == "dmy" and "/" in s:
             days = [i for i in range(13, 32)]
-            index = ((day.year - 1900) * 12 + day.month - 1) * 19 + days.index(day.day)
+            index = ((day.year - start) * 12 + day.month - 1) * 19 + days.index(day.day)
             while True:
-                index = self.permute(index, 200 * 12 * 19, "date dmy")
+                index = self.permute(index, (end - start) * 12 * 19, f"{tweak} dmy")
                 ym, d = divmod(index, 19)
                 try:
-                    new = date(1900 + ym // 12, ym % 12 + 1, days[d])
+                    new = date(start + ym // 12, ym % 12 + 1, days[d])
                     break
                 except ValueError:
                     continue
         else:
-            new = date.fromordinal(_FIRST + self.permute(rank, _DAYS, "date"))
+            new = date.fromordinal(first + self.permute(rank, days_in, tweak))
         if order == "ymd":
             return new.isoformat()
         sep = "/" if "/" in s else "."
@@ -192,7 +201,8 @@ class Pseudonyms:
         return "".join(n.upper() if c.isupper() else n for c, n in zip(local, new, strict=True)) + "@" + domain if len(new) == len(local) else s
 
     def secret(self, s: str) -> str:
-        return self.by_class(s, "secret", fixed=4 if s.startswith("AKIA") else 0)
+        head = self.by_class(s[:_AT_ONCE], "secret", fixed=4 if s.startswith("AKIA") else 0)
+        return head + "".join(self.by_class(s[i : i + _AT_ONCE], f"secret{i}") for i in range(_AT_ONCE, len(s), _AT_ONCE))
 
     def replace(self, kind: str, value: str) -> str | None:
         """The pseudonym of a found value; None: it fails its format's validation."""
@@ -208,19 +218,30 @@ class Pseudonyms:
         if not _MAY.search(text):
             return text, found
 
-        def one(m) -> str:
-            new = self.replace(kind := next(k for k in _KINDS if m[k] is not None), m.group())
-            if new is None:
-                return m.group()
-            found[kind] += 1
-            return new
-
-        return _FIND.sub(one, text), found
+        out, done = [], 0
+        while m := _FIND.search(text, done):
+            kind, value = next(k for k in _KINDS if m[k] is not None), m.group()
+            if kind == "iban":
+                value = _own_length(value)
+            new = self.replace(kind, value)
+            found.update([kind] if new is not None else [])
+            out += [text[done : m.start()], value if new is None else new]
+            done = m.start() + len(value)
+        return "".join([*out, text[done:]]), found
 
 
 _KINDS = ("iban", "email", "secret", "phone", "card", "date", "ssn", "ip")
 
 
+def _own_length(s: str) -> str:
+    """s up to its country's IBAN length if a group ends there: what follows are words of the text."""
+    end, left = 0, _IBAN.get(s[:2], len(s))
+    while left and end < len(s):
+        left -= s[end] != " "
+        end += 1
+    return s[:end] if s[end : end + 1] == " " else s
+
+
 def _digits(s: str) -> str:
     return "".join(c for c in s if c.isdigit())
 
