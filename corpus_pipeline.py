@@ -1,8 +1,9 @@
-"""A corpus pipeline of four operators: language ID, SimHash near-dedup, pseudonyms, packing.
+"""A corpus pipeline of four operators: language ID, near-dedup, pseudonyms, packing.
 
 Each stage takes the documents its predecessor kept; the last one returns their packed pieces.
 Defined results: texts that are null or have no letter, and those whose best language has a
-probability under one half, go. Of each near-duplicate group the document with the smallest doc_id
+probability under one half, go. Documents whose sets of
+five-word shingles have a similarity of 0.8 or more are near duplicates. Of each group the document with the smallest doc_id
 stays, once; documents without a doc_id are one for each different text. Columns beside doc_id and
 text pass through; n_chars, where it is there, follows the text. Empty tables give empty results.
 """
@@ -12,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecloom.llm import language, packing, pseudonyms, simhash
+from vecloom.llm import language, near_copies, packing, pseudonyms
 from vecloom.llm.common import materialize
 
 LEAST_SCORE = 0.5
@@ -26,8 +27,8 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each SimHash component: the one with the smallest doc_id."""
-    firsts = simhash.near_duplicates(docs).where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("_times"))
+    """Keep one document of each component of near copies: the one with the smallest doc_id."""
+    firsts = near_copies.first_copies(docs).withColumnRenamed("times", "_times")
     kept = docs.join(firsts, "doc_id").select(*docs.columns, "_times")
     once = kept.where("_times = 1").select(*docs.columns)
     repeated = kept.where("_times > 1").select(*docs.columns).dropDuplicates(["doc_id"])

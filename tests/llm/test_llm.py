@@ -506,3 +506,29 @@ def test_pipeline(spark, tmp_path):
     docs(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in out} == {1, 5, 6} and len({r.sequence_id for r in out}) == 1
+
+
+def test_pipeline_drops_edited_copies(spark, tmp_path):
+    import corpus_pipeline
+
+    r = random.Random(8)
+    rows, kept, similar = [], set(), 0
+    five = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    for k in range(40):
+        words = [f"w{r.randint(0, 5000)}" for _ in range(300)]
+        rows.append((10 * k, " ".join(words)))
+        kept.add(10 * k)
+        for c, edits in enumerate((2, 4, 6, 30), 1):
+            copy = list(words)
+            for at in r.sample(range(5, 295), edits):
+                copy[at] = f"x{r.randint(0, 10**9)}"
+            rows.append((10 * k + c, " ".join(copy)))
+            a, b = five(words), five(copy)
+            alike = len(a & b) >= 0.8 * len(a | b)
+            similar += alike
+            kept |= set() if alike else {10 * k + c}
+    got = {x.doc_id for x in corpus_pipeline.without_near_copies(spark, docs(spark, rows), str(tmp_path)).collect()}
+    assert got == kept and similar >= 100
+    odd = docs(spark, [(None, "one text"), (None, "one text"), (7, "one text"), (7, "one text"), (8, None), (9, "")])
+    assert Counter(x.doc_id for x in corpus_pipeline.without_near_copies(spark, odd, str(tmp_path)).collect()) == {None: 1, 7: 1, 8: 1}
+    assert corpus_pipeline.without_near_copies(spark, docs(spark, []), str(tmp_path)).count() == 0

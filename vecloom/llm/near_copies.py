@@ -1,0 +1,99 @@
+"""Near copies for the pipeline: documents whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more.
+
+Words are those of simhash. Documents of equal shingle sets are one node. Nodes that share one of
+24 bands of four minhashes are candidates: a pair of similarity 0.8 is one with chance
+1 - (1 - 0.8 ** 4) ** 24 = 0.999997. Every candidate is verified on the whole sets, and links become
+components. Texts of fewer words are one shingle; those without words are alike.
+"""
+
+from __future__ import annotations
+
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import discard, materialize, small_batches
+from .components import components
+
+WORDS, SIMILARITY, SEED = 5, 0.8, 42
+BANDS, ROWS = 24, 4
+#: Shingles that are permuted at once: bounds memory on long texts.
+BLOCK = 1 << 12
+
+_random = np.random.default_rng(SEED)
+_TIMES = _random.integers(1 << 62, size=BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_PLUS = _random.integers(1 << 62, size=BANDS * ROWS, dtype=np.uint64)
+
+
+def shingle_set(text: str | None) -> np.ndarray:
+    """The sorted distinct hashes of a text's shingles."""
+    tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not tokens:
+        return np.zeros(0, np.uint64)
+    n, size, digest = max(1, len(tokens) - WORDS + 1), min(WORDS, len(tokens)), xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(b" ".join(tokens[i : i + size]), SEED) for i in range(n)), np.uint64, n))
+
+
+def bands(shingles: np.ndarray) -> list[int]:
+    """A signed hash of each band of minhashes."""
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(shingles), BLOCK):
+        least = np.minimum(least, (_TIMES[:, None] * shingles[None, at : at + BLOCK] + _PLUS[:, None]).min(axis=1))
+    return [xxhash.xxh64_intdigest(b.tobytes(), SEED) - (1 << 63) for b in least.reshape(BANDS, ROWS)]
+
+
+def _marked(docs: DataFrame) -> DataFrame:
+    """(doc_id, node, n, bands, shingles): node names the set, n is its size, shingles its bytes."""
+    small_batches(docs.sparkSession)
+    names = ["doc_id", "node", "n", "bands", "shingles"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingle_set(x) for x in b.column(1).to_pylist()]
+            node = pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest() for s in sets], pa.string())
+            n = pa.array([len(s) for s in sets], pa.int64())
+            own = pa.array([bands(s) for s in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), node, n, own, pa.array([s.tobytes() for s in sets], pa.binary())], names=names)
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, node string, n bigint, bands array<bigint>, shingles binary")
+
+
+def _verified(pairs: DataFrame) -> DataFrame:
+    """(a, b): the rows (a, b, x, y) whose sets x and y are similar enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                p, q = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                both = len(np.intersect1d(p, q, assume_unique=True))
+                keep.append(both >= SIMILARITY * (len(p) + len(q) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.select("a", "b", "x", "y").mapInArrow(run, "a string, b string")
+
+
+def first_copies(docs: DataFrame) -> DataFrame:
+    """(doc_id, times): the smallest doc_id of each component, and its number of rows; null ones aside."""
+    rows = materialize(_marked(docs))
+    nodes = materialize(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("bands").alias("bands")))
+    keys = nodes.select("node", "n", F.posexplode("bands").alias("k", "band"))
+    other = keys.select(F.col("node").alias("b"), F.col("n").alias("m"), "k", "band")
+    met = keys.withColumnRenamed("node", "a").join(other, ["k", "band"]).where((F.col("a") < F.col("b")) & (F.least("n", "m") >= SIMILARITY * F.greatest("n", "m")))
+    pairs = materialize(met.select("a", "b").distinct())
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    sets = materialize(rows.select("node", "shingles").join(ends, "node", "left_semi").dropDuplicates(["node"]))
+    both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+    roots = components(_verified(both)).withColumnRenamed("root", "_root")
+    named = nodes.select("node", "least").join(roots, "node", "left").withColumn("_root", F.coalesce("_root", "node"))
+    firsts = named.groupBy("_root").agg(F.min("least").alias("doc_id")).where("doc_id IS NOT NULL").select("doc_id").distinct()
+    out = materialize(rows.select("doc_id").join(firsts, "doc_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("times")))
+    for t in (rows, nodes, pairs, sets):
+        discard(t)
+    return out
