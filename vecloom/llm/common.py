@@ -84,19 +84,50 @@ def parts(spark: SparkSession) -> int:
 def number(df: DataFrame, group: list[str], order: list[str], out: str) -> DataFrame:
     """Number the rows of each group, gapless from 0, without one task per group.
 
-    Rows go to slices by the hash of `order`; each slice of a group is numbered alone and
-    starts where the slices before it end. df is read twice: give a materialized one.
+    df: a table of materialize(). A row is named by its file and its place there, so repeated rows
+    are spread like any others, and a task that runs again meets the same names. Rows go to slices
+    by the hash of their names; each slice of a group is numbered alone, by `order`, and starts where
+    the slices before it end. df is read twice.
     """
     slices = parts(df.sparkSession)
-    sliced = df.withColumn("_slice", F.pmod(F.xxhash64(*order), F.lit(slices)).cast("int"))
+    named = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    sliced = named.withColumn("_slice", F.pmod(F.xxhash64("_file", "_row"), F.lit(slices)).cast("int"))
     key = [*group, "_slice"]
     sizes = sliced.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0).cast("bigint"))).drop("_n")
-    own = Window.partitionBy(*key).orderBy(*order)
-    numbered = sliced.withColumn("_own", F.row_number().over(own).cast("bigint") - 1)
+    own = Window.partitionBy(*key).orderBy(*order, "_file", "_row")
+    numbered = sliced.withColumn("_own", F.row_number().over(own).cast("bigint") - 1).drop("_file", "_row")
     return numbered.join(starts, key).withColumn(out, F.col("_own") + F.col("_start")).drop("_slice", "_own", "_start")
 
 
+def sized(df: DataFrame, most: int = 200_000) -> DataFrame:
+    """df, marked for broadcast if it has at most so many rows; give a materialized table of narrow rows."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def named(docs: DataFrame) -> DataFrame:
+    """docs with `_vecloom_file` and `_vecloom_at`, longs that name a row: a hash of its file's path and its place there.
+
+    Documents that don't come from Parquet files are written first.
+    """
+    from pyspark.errors import AnalysisException
+
+    def names(df: DataFrame) -> DataFrame:
+        return df.withColumns({"_vecloom_file": F.xxhash64("_metadata.file_path"), "_vecloom_at": F.col("_metadata.row_index")})
+
+    try:
+        return names(docs)
+    except AnalysisException:
+        return names(materialize(docs))
+
+
+def free_name(wanted: str, taken: list[str]) -> str:
+    """wanted, with underscores until no column of that name is there."""
+    while wanted.lower() in {c.lower() for c in taken}:
+        wanted += "_"
+    return wanted
+
+
 def unsigned_hex(x: Column) -> Column:
     return F.lpad(F.lower(F.hex(x)), 16, "0")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import discard, materialize
 
@@ -14,12 +13,10 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 
     large: each node links its larger neighbours to its smallest one; small: its smaller ones.
     """
-    if large:
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    else:
-        both = edges
-    least = F.least(F.min("v").over(Window.partitionBy("u")), F.col("u"))
-    near = both.withColumn("m", least)
+    both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
+    # the least neighbour by a partial aggregate, joined back: a node of any degree has no task of its own
+    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
+    near = both.join(least, "u")
     if large:
         out = near.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
