@@ -2,15 +2,17 @@
 
 Numbers and dates that pass their format's validation, and e-mail addresses and credentials, are
 replaced by a keyed permutation of all values of the same format: digits stay digits, check
-digits stay right, separators and domains stay. So equal values get equal pseudonyms in every
-document, and whoever holds the key can undo them.
+digits stay right, separators, widths and domains stay. So equal values get equal pseudonyms in every
+document, and whoever holds the key can undo them. A date has one pseudonym however it is
+written: days stay 1-9, 10-12 or 13-31 and months 1-9 or 10-12, so every notation still fits it.
 
 Permutation: a ten-round Feistel network over the bits of the value's rank, with keyed BLAKE2b
 as round function, walked on until the result is again a rank of the format.
 
 Defined results: a null text stays null with nothing found; an empty one stays empty. Numbers of
-13 to 19 digits that fail the Luhn test are permuted too, and still fail it. Repeated rows and
-null ids keep a row each. Other columns stay as they are.
+13 to 19 digits that fail the Luhn test, impossible dates, addresses and numbers stay as they are.
+Repeated rows and null ids keep a row each. Other columns stay as they are; where one has the name of
+a column that is added, the added one's gets underscores.
 """
 
 from __future__ import annotations
@@ -25,9 +27,11 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, small_batches
+from .common import free_name, read, small_batches
 
-#: For tests and the registered query; give a secret of your own in production.
+#: The setting of a session that holds the key of the registered queries.
+KEY_SETTING = "spark.vecloom.pseudonyms.key"
+#: Their key where the setting is absent: for demonstrations and tests, as everybody can undo it.
 DEMO_KEY = b"vecloom demonstration key"
 ROUNDS = 10
 _ALPHABETS = ["0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþß", "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ"]
@@ -61,7 +65,7 @@ _AT_ONCE = 128
 class Pseudonyms:
     """Keyed permutations of formats. invert=True undoes them."""
 
-    def __init__(self, key: bytes = DEMO_KEY, invert: bool = False, limit: int = 100_000):
+    def __init__(self, key: bytes, invert: bool = False, limit: int = 100_000):
         self.key, self.invert, self.limit = hashlib.blake2b(key, digest_size=32).digest(), invert, limit
         self.memo: dict[tuple[str, str], str | None] = {}
 
@@ -109,11 +113,12 @@ class Pseudonyms:
             out.append(c)
         return "".join(reversed(out))
 
-    def card(self, s: str) -> str:
+    def card(self, s: str) -> str | None:
         digits = _digits(s)
-        off = (int(digits[-1]) - _luhn(digits[:-1])) % 10
-        body = self.by_class(digits[:-1], f"card{off}", fixed=1)
-        return _put(s, body + str((_luhn(body) + off) % 10))
+        if int(digits[-1]) != _luhn(digits[:-1]):
+            return None
+        body = self.by_class(digits[:-1], "card", fixed=1)
+        return _put(s, body + str(_luhn(body)))
 
     def phone(self, s: str) -> str | None:
         digits = _digits(s)
@@ -161,30 +166,27 @@ class Pseudonyms:
                 day = date(y, a, b) if order == "mdy" else date(y, b, a)
         except ValueError:
             return None
-        # a date stays within its 200 years, of which 1900 to 2099 are one span
+        # a date stays within its 200 years, of which 1900 to 2099 are one span, and within its class of days and months
         start = max(1, 1900 + (day.year - 1900) // 200 * 200)
         end = min(10_000, 1900 + ((day.year - 1900) // 200 + 1) * 200)
-        tweak, first = "date" if start == 1900 else f"date{start}", date(start, 1, 1).toordinal()
-        rank, days_in = day.toordinal() - first, date(end - 1, 12, 31).toordinal() + 1 - first
-        # a slashed month-first date must stay readable as one: all are, as its month is 12 at most
-        if order == "dmy" and "/" in s:
-            days = [i for i in range(13, 32)]
-            index = ((day.year - start) * 12 + day.month - 1) * 19 + days.index(day.day)
-            while True:
-                index = self.permute(index, (end - start) * 12 * 19, f"{tweak} dmy")
-                ym, d = divmod(index, 19)
-                try:
-                    new = date(start + ym // 12, ym % 12 + 1, days[d])
-                    break
-                except ValueError:
-                    continue
-        else:
-            new = date.fromordinal(first + self.permute(rank, days_in, tweak))
+        days = next(r for r in _DAYS if day.day in r)
+        months = next(r for r in _MONTHS if day.month in r)
+        size = (end - start) * len(months) * len(days)
+        rank = ((day.year - start) * len(months) + day.month - months[0]) * len(days) + day.day - days[0]
+        while True:  # walked on past the 31st of short months
+            rank = self.permute(rank, size, f"date{start} {months[0]} {days[0]}")
+            ym, d = divmod(rank, len(days))
+            y, m = divmod(ym, len(months))
+            try:
+                new = date(start + y, m + months[0], d + days[0])
+                break
+            except ValueError:
+                continue
         if order == "ymd":
             return new.isoformat()
-        sep = "/" if "/" in s else "."
         first, second = (new.month, new.day) if order == "mdy" else (new.day, new.month)
-        return f"{first:02}{sep}{second:02}{sep}{new.year:04}"
+        fields = iter((first, second, new.year))
+        return regex.sub(r"\d+", lambda m: f"{next(fields):0{len(m[0])}}", s)
 
     def iban(self, s: str) -> str | None:
         plain = s.replace(" ", "")
@@ -230,6 +232,7 @@ class Pseudonyms:
         return "".join([*out, text[done:]]), found
 
 
+_DAYS, _MONTHS = (range(1, 10), range(10, 13), range(13, 32)), (range(1, 10), range(10, 13))
 _KINDS = ("iban", "email", "secret", "phone", "card", "date", "ssn", "ip")
 
 
@@ -261,10 +264,17 @@ def _mod97(s: str) -> int:
     return int("".join(str(int(c, 36)) for c in s)) % 97
 
 
-def pseudonymize(docs: DataFrame, key: bytes = DEMO_KEY, text: str = "text", found: str = "n_found", kinds: str = "kinds", invert: bool = False) -> DataFrame:
+def key_of(spark: SparkSession) -> bytes:
+    """The session's key for the registered queries."""
+    return (spark.conf.get(KEY_SETTING, None) or "").encode() or DEMO_KEY
+
+
+def pseudonymize(docs: DataFrame, key: bytes, text: str = "text", found: str = "n_found", kinds: str = "kinds", invert: bool = False) -> DataFrame:
     """docs with text replaced, and columns for the number found and their kinds ("email:2,ip:1")."""
     small_batches(docs.sparkSession)
-    names = [c for c in docs.columns if c not in (found, kinds)]
+    names = docs.columns
+    found = free_name(found, names)
+    kinds = free_name(kinds, [*names, found])
     at = names.index(text)
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
 
@@ -282,4 +292,4 @@ def pseudonymize(docs: DataFrame, key: bytes = DEMO_KEY, text: str = "text", fou
 
 
 def op2_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymize(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pseudonymize(read(spark, sf_dir, "documents").select("doc_id", "text"), key_of(spark))
