@@ -1,22 +1,33 @@
 """Operator 3: SimHash near-duplicates.
 
-A text's fingerprint is the bitwise majority over the XXH64 (seed 42) of its 4-word shingles.
-Distinct fingerprints at 4 or fewer differing bits link. The join maps a fingerprint to the bit
-counts of its 32 two-bit segments. The Manhattan distance of two such vectors never exceeds
-the Hamming distance, so links lie within 4. The segments form three groups with radii 1, 1
-and 0: a pair beyond all three would be 5 apart, hence each link meets in a group's grid. The
-grid is joined by equal cells, one side also offering its neighbours within the radius; what
-meets is tested by Manhattan distance over all segments, then by Hamming distance.
-
-Defined results: a null text counts as empty; a text without words has fingerprint zero and
-links like any other. Equal fingerprints are one node of the join, so copies never multiply
-it. Null doc_ids keep a row, null ids sort last as a component's name. An empty table gives an
-empty result; other columns are ignored.
+A text's fingerprint is the bitwise majority over the hashes of its word shingles. The join maps a
+fingerprint to the bit counts of its two-bit segments; the Manhattan distance of two such vectors
+never exceeds the Hamming distance. Grids over some of the segments bring pairs together,
+what meets is tested by Manhattan distance over all segments, then verified exactly.
+
+near_duplicates() links fingerprints at 4 or fewer differing bits. The 32 segments form `blocks`
+blocks, and there is a grid for every choice of blocks but four: a pair within Manhattan distance
+four differs in four blocks at most, so it lies in one cell of some grid. More fingerprints
+get more blocks: smaller cells, more grids.
+
+similar() links texts whose shingle sets have a Jaccard similarity of at least `similarity`. Their
+fingerprints are of many words, majorities over the distinct shingles: at similarity 0.8
+two bits differ with chance p = 0.15, so two segments have equal counts with chance
+(1 - p)^2 + p^2 / 2. Disjoint groups of `width` segments are the grids, as many as find a pair at the
+threshold itself with chance RECALL; closer pairs are missed far less. What meets is tested by two
+words of the fingerprints, then verified on the whole sets.
+
+Defined results: a null text counts as empty; a text without words has fingerprint zero (and an
+empty set) and links like any other. Equal fingerprints, or equal sets, are one node of the join, so copies
+never multiply it. Null doc_ids keep a row, null ids sort last as a component's name. An empty
+table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -24,19 +35,54 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, read, small_batches, unsigned_hex
+from .cells import least_links, linked, with_classes
+from .common import discard, materialize, named, read, sized, small_batches, unsigned_hex
 from .components import components
 
 WORDS, SEED, BITS = 4, 42, 4
-#: (first bit, segments of two bits, radius) of each group; radii plus one sum to BITS + 1.
-GROUPS = ((0, 12, 1), (24, 11, 1), (46, 9, 0))
-#: Shingles whose hashes are counted at once: bounds memory on long texts.
-BLOCK = 1 << 16
+SEGMENTS, BLOCKS = 32, range(BITS + 1, 13)
+#: What a row of a grid costs, in pairs that meet.
+ROW_COST = 10
+#: Hashes that are counted at once: bounds memory on long texts.
+BLOCK = 1 << 14
+SET_WORDS, SIMILARITY, RECALL = 5, 0.8, 0.99
+#: Standard deviations beyond the expected distance that the two words' test allows.
+SLACK = 4.0
+#: Fine cells of similar(), and segments that each has at least.
+FINE, FINE_SEGMENTS = 12, 20
+_LANES, _PLACES = np.uint64(0x0101010101010101), np.arange(8, dtype=np.uint64)
+
+
+def bit_counts(hashes: np.ndarray) -> np.ndarray:
+    """(rows, 64): how many hashes of each row have each bit. hashes: (rows, n).
+
+    Bit k of every byte is counted in that byte's lane, up to 255 hashes at once.
+    """
+    rows, n = hashes.shape
+    out = np.zeros((rows, 64), np.int64)
+    step = 255 * max(1, BLOCK // (255 * rows))
+    for at in range(0, n, step):
+        part = hashes[:, at : at + step]
+        if short := -part.shape[1] % 255 if part.shape[1] > 255 else 0:
+            part = np.concatenate([part, np.zeros((rows, short), np.uint64)], axis=1)
+        lanes = ((part[None] >> _PLACES[:, None, None]) & _LANES).reshape(8, rows, -1, min(255, part.shape[1])).sum(axis=3, dtype=np.uint64)
+        each = lanes.view(np.uint8).reshape(8, rows, -1, 8).sum(axis=2, dtype=np.int64)
+        out += each.transpose(1, 2, 0).reshape(rows, 64)
+    return out
+
+
+def majority(counts: np.ndarray, n: int) -> np.ndarray:
+    """The bits that over half of n hashes have, as one unsigned long a row."""
+    return np.packbits(counts * 2 > n, axis=1, bitorder="little").view(np.uint64).reshape(-1)
+
+
+def words_of(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
 def simhash(text: str | None, words: int = WORDS) -> int:
     """The fingerprint, unsigned, of a whole text."""
-    tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    tokens = words_of(text)
     if not tokens:
         return 0
     joined = b" ".join(tokens)
@@ -44,30 +90,30 @@ def simhash(text: str | None, words: int = WORDS) -> int:
     starts = np.concatenate([[0], ends[:-1] + 1])
     n = max(1, len(tokens) - words + 1)
     digest, size = xxhash.xxh64_intdigest, min(words, len(tokens))
-    counts = np.zeros(64, np.int64)
-    for at in range(0, n, BLOCK):
-        to = min(n, at + BLOCK)
-        spans = zip(starts[at:to].tolist(), ends[at + size - 1 : to + size - 1].tolist(), strict=True)
-        h = np.fromiter((digest(joined[a:b], SEED) for a, b in spans), np.uint64, to - at)
-        counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > n, bitorder="little").view(np.uint64)[0])
+    spans = zip(starts[:n].tolist(), ends[size - 1 : size - 1 + n].tolist(), strict=True)
+    h = np.fromiter((digest(joined[a:b], SEED) for a, b in spans), np.uint64, n)
+    return int(majority(bit_counts(h[None, :]), n)[0])
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
     """(key, fp bigint): the fingerprint's 64 bits as a signed long."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.array([simhash(x) for x in b.column(1).to_pylist()], np.uint64).view(np.int64)
+            fp = np.array([simhash(x, words) for x in b.column(1).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], names=[key, "fp"])
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, fp bigint")
 
 
+def _signed(bits: int) -> int:
+    return bits - (1 << 64) if bits >> 63 else bits
+
+
 def _long(bits: int) -> Column:
-    return F.lit(bits - (1 << 64) if bits >> 63 else bits).cast("bigint")
+    return F.lit(_signed(bits)).cast("bigint")
 
 
 def segment_counts(x: Column) -> Column:
@@ -84,61 +130,207 @@ def manhattan(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def _cells(counts: Column, group: int) -> tuple[Column, Column]:
-    """The cell of a group, and the array of cells to probe: its own and, within radius 1, those one count higher.
+def _mask(segments: range) -> int:
+    return sum(3 << 2 * i for i in segments)
 
-    Of two neighbouring cells the lower one probes, so a pair of cells meets once.
-    """
-    first, segments, radius = GROUPS[group]
-    cell = counts.bitwiseAND(_long(((1 << (2 * segments)) - 1) << first))
-    if not radius:
-        return cell, F.array(cell)
 
-    def up(i: int) -> Column:
-        one, two = _long(1 << i), _long(2 << i)
-        return F.when(cell.bitwiseAND(one) == 0, cell.bitwiseOR(one)).when(cell.bitwiseAND(two) == 0, cell.bitwiseOR(two))
+def grids(blocks: int, bits: int = BITS) -> list[int]:
+    """The masks of all choices of blocks but `bits` of them."""
+    cut = [SEGMENTS * i // blocks for i in range(blocks + 1)]
+    own = [_mask(range(a, b)) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+    return [sum(own[i] for i in chosen) for chosen in combinations(range(blocks), blocks - bits)]
 
-    return cell, F.array_compact(F.array(cell, *(up(first + 2 * s) for s in range(segments))))
 
+def blocks_for(n: int, bits: int = BITS) -> int:
+    """The number of blocks with the least rows and meetings for n fingerprints."""
 
-def _of_group(g: int, cells: Column) -> Column:
-    return F.transform(cells, lambda c: F.struct(F.lit(g).alias("g"), c.alias("c")))
+    def cost(blocks: int) -> float:
+        own = grids(blocks, bits)
+        return ROW_COST * len(own) + n / 2 * sum(0.375 ** (m.bit_count() / 2) for m in own)
 
+    return min(range(bits + 1, BLOCKS.stop), key=cost)
 
-def close_pairs(fps: DataFrame, bits: int = BITS) -> DataFrame:
-    """(a, b), a < b: the pairs of distinct fingerprints at `bits` (4 at most) or fewer differing bits."""
+
+def links(fps: DataFrame, n: int, bits: int = BITS) -> DataFrame:
+    """(a, b), a < b: pairs of distinct fingerprints (fp) at `bits` or fewer differing bits that connect all such pairs."""
     if bits > BITS:
-        raise ValueError(f"the grid serves distances up to {BITS}")
-    vectors = fps.select("fp", segment_counts(F.col("fp")).alias("v"))
-    stored, probes = [], []
-    for g in range(len(GROUPS)):
-        cell, probe = _cells(F.col("v"), g)
-        stored.append(F.struct(F.lit(g).alias("g"), cell.alias("c")))
-        probes.append(_of_group(g, probe))
-    left = vectors.select("fp", F.explode(F.concat(*probes)).alias("k")).select(F.col("fp").alias("x"), "k.g", "k.c")
-    right = vectors.select("fp", F.explode(F.array(*stored)).alias("k")).select(F.col("fp").alias("y"), "k.g", "k.c")
-    x, y = F.col("x"), F.col("y")
-    met = left.join(right, ["g", "c"]).where((x != y) & (manhattan(segment_counts(x), segment_counts(y)) <= bits) & (F.bit_count(x.bitwiseXOR(y)) <= bits))
-    return met.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
-
-
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", bits: int = BITS) -> DataFrame:
+        raise ValueError(f"the grids serve distances up to {BITS}")
+    masks = grids(blocks_for(n))
+    v = segment_counts(F.col("fp"))
+    cells = F.transform(F.arrays_zip(F.array(*(F.lit(t) for t in range(len(masks)))).alias("t"), F.array(*map(_long, masks)).alias("m")), lambda g: F.struct(g["t"].alias("t"), F.col("v").bitwiseAND(g["m"]).alias("c")))
+    keys = fps.select("fp", v.alias("v")).select("fp", F.explode(cells).alias("k")).select("k.t", "k.c", *(F.col("fp").alias(c) for c in ("node", "s", "class")))
+    near = lambda x, y: (manhattan(segment_counts(x), segment_counts(y)) <= bits) & (F.bit_count(x.bitwiseXOR(y)) <= bits)
+    return linked(keys, near)
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", bits: int = BITS, words: int = WORDS) -> DataFrame:
     """(key, fp, component_id): component_id is the smallest key reachable over links, its own included."""
-    rows = materialize(fingerprints(docs, key, text))
+    rows = materialize(fingerprints(docs, key, text, words))
     nodes = materialize(rows.groupBy("fp").agg(F.min(key).alias("least")))
-    roots = components(close_pairs(nodes))
-    named = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    names = materialize(named.join(least, "root").select("fp", "component_id"))
+    roots = components(links(nodes, nodes.count(), bits))
+    root = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    least = root.groupBy("root").agg(F.min("least").alias("component_id"))
+    names = materialize(root.join(least, "root").select("fp", "component_id"))
     discard(nodes)
     # equal fingerprints may be a third of all rows: those rows are spread over salts
     hot = rows.groupBy("fp").count().where(F.col("count") >= 1000).select("fp", F.ceil(F.col("count") / 1000).cast("int").alias("salts"))
     salted = names.join(hot, "fp", "left").select("fp", "component_id", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"))
-    marked = rows.join(F.broadcast(hot) if hot.limit(10_001).count() <= 10_000 else hot, "fp", "left")
-    salt = F.pmod(F.xxhash64(key), F.coalesce("salts", F.lit(1))).cast("int").alias("salt")
+    marked = rows.join(sized(hot, 10_000), "fp", "left")
+    salt = F.pmod(F.xxhash64(key, F.monotonically_increasing_id()), F.coalesce("salts", F.lit(1))).cast("int").alias("salt")
     return marked.select(key, "fp", salt).join(salted, ["fp", "salt"]).select(key, "fp", "component_id")
 
 
+# texts of similar shingle sets
+
+
+def differing(similarity: float) -> float:
+    """The chance that a bit differs between two sets of that Jaccard similarity, at most."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def plan(n: int, similarity: float = SIMILARITY, recall: float = RECALL) -> tuple[int, int]:
+    """(segments in a grid, grids): what costs least for n sets and finds a pair at the threshold with chance `recall`."""
+    p = differing(similarity)
+    same = (1 - p) ** 2 + p * p / 2
+    grids = lambda w: math.ceil(math.log(1 - recall) / math.log(1 - same**w))
+    width = min(range(4, SEGMENTS + 1), key=lambda w: grids(w) * (ROW_COST + n / 2 * 0.375**w))
+    return width, grids(width)
+
+
+def shingle_set(text: str | None, words: int = SET_WORDS, known: dict[bytes, int] | None = None) -> np.ndarray:
+    """The sorted distinct hashes of a text's shingles; a text of fewer words is one shingle. known: a memo of words."""
+    tokens = words_of(text)
+    if not tokens:
+        return np.zeros(0, np.uint64)
+    known = {} if known is None else known
+    for w in set(tokens).difference(known):
+        known[w] = xxhash.xxh64_intdigest(w, SEED)
+    h = np.fromiter(map(known.__getitem__, tokens), np.uint64, len(tokens))
+    size = min(words, len(h))
+    out = np.full(len(h) - size + 1, size, np.uint64)
+    for i in range(size):
+        out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + h[i : len(h) - size + 1 + i])
+    return np.unique(out)
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def long_fingerprint(shingles: np.ndarray, longs: int) -> np.ndarray:
+    """`longs` unsigned longs: the majorities over as many hashes of each shingle."""
+    salts = mixed(np.arange(1, longs + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    out, n = np.zeros(longs, np.uint64), len(shingles)
+    for at in range(0, longs if n else 0, 16):
+        some = salts[at : at + 16]
+        counts = sum(bit_counts(mixed(shingles[None, a : a + BLOCK] ^ some[:, None])) for a in range(0, n, BLOCK))
+        out[at : at + 16] = majority(counts, n)
+    return out
+
+
+def _unary(x: np.ndarray) -> np.ndarray:
+    """segment_counts() of an array."""
+    low = np.uint64(0x5555555555555555)
+    even, odd = x & low, (x >> np.uint64(1)) & low
+    return even | odd | ((even & odd) << np.uint64(1))
+
+
+def marked(docs: DataFrame, longs: int, width: int, n_grids: int, words: int = SET_WORDS, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(keep ..., node, s0, s1, cells): node names a text's set, s0 and s1 are longs of its fingerprint, cells its cell in each grid."""
+    small_batches(docs.sparkSession)
+    each = SEGMENTS // width
+    masks = np.array([_mask(range(i * width, (i + 1) * width)) for i in range(each)], np.uint64)
+    names = [*keep, "node", "s0", "s1", "cells"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, int] = {}
+        for b in batches:
+            node, s, cells = [], [], []
+            for x in b.column(len(keep)).to_pylist():
+                if len(known) > 200_000:
+                    known.clear()
+                own = shingle_set(x, words, known)
+                f = long_fingerprint(own, longs)
+                node.append(xxhash.xxh64_intdigest(own.tobytes(), SEED) - (1 << 63))
+                s.append(f[:2].view(np.int64).tolist())
+                cells.append((_unary(f)[:, None] & masks[None, :]).reshape(-1)[:n_grids].view(np.int64))
+            made = [pa.array(node, pa.int64()), *(pa.array([x[i] for x in s], pa.int64()) for i in (0, 1)), pa.array(cells, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *made], names=names)
+
+    fields = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
+    return docs.select(*keep, text).mapInArrow(run, f"{fields}node bigint, s0 bigint, s1 bigint, cells array<bigint>")
+
+
+def _jaccard(pairs: DataFrame, similarity: float, words: int) -> DataFrame:
+    """(a, b): the rows (a, b, x, y) whose texts x and y have similar sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, int] = {}
+        for batch in batches:
+            keep = []
+            last: tuple[str | None, np.ndarray] | None = None
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                if len(known) > 200_000:
+                    known.clear()
+                if last is None or last[0] != x:
+                    last = (x, shingle_set(x, words, known))
+                p, q = last[1], shingle_set(y, words, known)
+                both = len(np.intersect1d(p, q, assume_unique=True))
+                keep.append(both >= similarity * (len(p) + len(q) - both) - 1e-9)
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
+
+
+def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, words: int = SET_WORDS) -> tuple[DataFrame, DataFrame]:
+    """named() documents, and (_file, _at, key, node, component) of their rows: component names what links connect."""
+    rows = named(docs)
+    n = max(1, rows.count())
+    width, n_grids = plan(n, similarity)
+    longs = max(2, -(-n_grids // (SEGMENTS // width)))
+    marks = materialize(marked(rows, longs, width, n_grids, words, text, ("_vecloom_file", "_vecloom_at", key)))
+    first = F.min_by(F.struct("_vecloom_file", "_vecloom_at", "s0", "s1", "cells"), F.struct("_vecloom_file", "_vecloom_at"))
+    nodes = materialize(marks.groupBy("node").agg(first.alias("f")).select("node", "f._vecloom_file", "f._vecloom_at", F.struct("f.s0", "f.s1").alias("s"), "f.cells"))
+    p = differing(similarity)
+    most = int(128 * p + SLACK * math.sqrt(128 * p * (1 - p)))
+    both = lambda f, x, y: f(x["s0"], y["s0"]) + f(x["s1"], y["s1"])
+    near = lambda x, y: (both(lambda a, b: manhattan(segment_counts(a), segment_counts(b)), x, y) <= most) & (both(lambda a, b: F.bit_count(a.bitwiseXOR(b)), x, y) <= most)
+
+    def check(pairs: DataFrame) -> DataFrame:
+        ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        wanted = materialize(nodes.select("node", "_vecloom_file", "_vecloom_at").join(sized(materialize(ends)), "node", "left_semi"))
+        texts = materialize(rows.select("_vecloom_file", "_vecloom_at", F.col(text).alias("text")).join(sized(wanted), ["_vecloom_file", "_vecloom_at"]).select("node", "text"))
+        return materialize(_jaccard(pairs.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b"), similarity, words))
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        """Each node with its least partner first; then only the pairs that this didn't connect."""
+        pairs = materialize(pairs)
+        one = materialize(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+        done = check(one)
+        root = components(done)
+        far = pairs.join(root.toDF("a", "ra"), "a", "left").join(root.toDF("b", "rb"), "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+        return done.union(check(materialize(far.join(one, ["a", "b"], "left_anti"))))
+
+    # copies with few edits share cells of many segments, where hardly anything else lies: they are classes before the grids meet
+    group = -(-FINE_SEGMENTS // width)
+    fine = nodes.select("node", "s", F.posexplode(F.array(*(F.xxhash64(*(F.col("cells")[min(n_grids - 1, i * group + j)] for j in range(group))) for i in range(min(FINE, max(1, n_grids // group)))))).alias("t", "c"))
+    known = materialize(least_links(fine, near, verify))
+    keys = materialize(with_classes(nodes, known)).select("node", "s", "class", F.posexplode("cells").alias("t", "c"))
+    roots = components(linked(keys, near, verify, known))
+    found = marks.select("_vecloom_file", "_vecloom_at", key, "node").join(roots, "node", "left").withColumn("component", F.coalesce("root", "node"))
+    return rows, found.select("_vecloom_file", "_vecloom_at", key, "node", "component")
+
+
+def without_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, words: int = SET_WORDS) -> DataFrame:
+    """docs with one row of each component of similar(): that of the smallest key (null last), then of the first place."""
+    rows, found = similar(docs, key, text, similarity, words)
+    order = F.struct(F.col(key).isNull().alias("null"), F.col(key).alias("k"), "_vecloom_file", "_vecloom_at")
+    kept = materialize(found.groupBy("component").agg(F.min(order).alias("m")).select("m._vecloom_file", "m._vecloom_at"))
+    return rows.join(sized(kept, 500_000), ["_vecloom_file", "_vecloom_at"], "left_semi").select(*docs.columns)
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(read(spark, sf_dir, "documents"))
     return out.select("doc_id", unsigned_hex(F.col("fp")).alias("fingerprint"), "component_id")
