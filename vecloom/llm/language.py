@@ -6,7 +6,9 @@ and the next shorter context, down to one of 256. A whole text's code length is
 language; the shortest wins. Text is lower-cased first; both sides start in a context of newlines.
 
 Training is bounded: of the labelled rows, the `sample_docs` of each language with the least
-hashes of their ids, at most `sample_bytes` bytes of each. Nothing else is sampled.
+hashes of their ids and texts (equal rows count once), at most `sample_bytes` bytes of each, and
+at most `max_languages` labels: more are an error, as no set of languages has as many. Nothing
+else is sampled.
 
 Defined results: a null text, or one without any letter, is `und` with score 0. Ties go to the
 first language in order. Without labelled rows every text is `und`. Null doc_ids and repeated
@@ -26,7 +28,7 @@ from pyspark.sql.window import Window
 
 from .common import read, small_batches
 
-ORDER, SAMPLE_DOCS, SAMPLE_BYTES = 4, 300, 1 << 16
+ORDER, SAMPLE_DOCS, SAMPLE_BYTES, MAX_LANGUAGES = 4, 300, 1 << 16, 256
 UNDETERMINED = "und"
 _LETTER = regex.compile(r"\p{L}")
 _START = b"\n" * ORDER
@@ -120,18 +122,19 @@ class Scorer:
         return out
 
 
-def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES) -> Trees:
-    """Fit on a bounded sample: the rows of least hash, by language; ties by the text's hash."""
-    h = F.xxhash64(F.lit("sample"), key)
-    slim = labelled.where(F.col(lang).isNotNull()).select(key, lang, h.alias("h"))
-    least = slim.withColumn("r", F.row_number().over(Window.partitionBy(lang).orderBy("h"))).where(F.col("r") <= sample_docs).select(key, lang)
-    clip = F.substring(F.col(text).cast("binary"), 1, sample_bytes)
-    picked = labelled.select(key, lang, text).join(F.broadcast(least.distinct()), [key, lang]).select(lang, clip.alias("text"), F.xxhash64(F.lit("sample"), key, text).alias("h"))
+def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES, max_languages: int = MAX_LANGUAGES) -> Trees:
+    """Fit on a bounded sample: the rows of least hash, by language."""
+    known = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.xxhash64(F.lit("sample"), key, text).alias("h"), F.col(text).alias("text"))
+    slim = known.select("lang", "h").distinct()
+    least = slim.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= sample_docs).select("lang", "h")
+    clip = F.substring(F.col("text").cast("binary"), 1, sample_bytes)
+    # repeated rows have one hash and are one before they leave their tasks
+    picked = known.join(F.broadcast(least.limit(sample_docs * max_languages + 1)), ["lang", "h"]).groupBy("lang", "h").agg(F.min(clip).alias("text"))
     by: dict[str, list[bytes]] = {}
-    for r in picked.where("text IS NOT NULL").orderBy(lang, "h").collect():  # sample_docs texts a language, clipped
-        own = by.setdefault(r[lang], [])
-        if len(own) < sample_docs:
-            own.append(bytes(r["text"]).decode("utf-8", "ignore").lower().encode())
+    for r in picked.orderBy("lang", "h").collect():  # sample_docs texts a language, clipped
+        by.setdefault(r["lang"], []).append(bytes(r["text"]).decode("utf-8", "ignore").lower().encode())
+    if len(by) > max_languages:
+        raise ValueError(f"{len(by)} labels are more than {max_languages} languages")
     names = sorted(by)
     return Trees(names, [by[n] for n in names])
 
