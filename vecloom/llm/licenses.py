@@ -1,10 +1,11 @@
 """Operator 7: license scans by a positional index of rare tokens.
 
-Templates of license notices are indexed by their rarest words: a posting is a template and the
+Templates of license notices are indexed by their rarest words: a posting is a template and a
 word's place in it. How rare a licence word is, is counted over all documents. A file looks up
 its own occurrences of those words; postings at one relative position support a placement of the
 template in the file. A placement counts once the template's mandatory key phrase stands where
-it must and at least COVERAGE of its words are in place. Base phrases are found beside it in the
+it must and at least COVERAGE of its words are in place. A template has VOTES postings more than
+such a placement may miss, so each one has VOTES of them in place whichever words are rare. Base phrases are found beside it in the
 same pass, at every place. Long texts are read in blocks that overlap by the longest template.
 
 Defined results: a null text counts as empty: no words, empty labels, null places, score 0.
@@ -14,6 +15,7 @@ word. Empty tables give empty results; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -40,7 +42,7 @@ TEMPLATES = [
     ("unlicense", "this is free and unencumbered software released into the public domain", "unencumbered software"),
     ("reserved", "all rights reserved", "all rights reserved"),
 ]
-ANCHORS, COVERAGE, BLOCK = 2, 0.8, 1 << 20
+VOTES, COVERAGE, BLOCK = 2, 0.8, 1 << 20
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
 
 
@@ -70,14 +72,12 @@ class Index:
             key = phrase.encode().split()
             at = next(i for i in range(len(words)) if words[i : i + len(key)] == key)
             self.templates.append((label, words, at, key))
-            rarest = sorted(set(words), key=lambda w: (seen.get(w.decode(), 0), w))[:ANCHORS]
-            for q, w in enumerate(words):
-                if w in rarest:
-                    self.postings.setdefault(w, []).append((t, q))
-        self.needed = [min(ANCHORS, len(set(words))) for _, words, _, _ in self.templates]
+            spare = len(words) - math.ceil(COVERAGE * len(words) - 1e-9)
+            for q in sorted(range(len(words)), key=lambda q: (seen.get(words[q].decode(), 0), words[q], q))[: spare + VOTES]:
+                self.postings.setdefault(words[q], []).append((t, q))
         self.last = {p[-1] for p, _ in self.base}
         self.wanted = set(self.postings) | self.last
-        self.overlap = max(len(w) for _, w, _, _ in self.templates) + max(len(p) for p, _ in self.base)
+        self.overlap = max(len(w) for _, w, _, _ in self.templates) + max((len(p) for p, _ in self.base), default=0)
 
     def scan(self, text: bytes) -> tuple[int, int, int | None, int | None, set[str], set[str], float, list[tuple[str, int, float]]]:
         """n_words, n_base, first, last, base labels, labels, score, placements (label, word, coverage)."""
@@ -88,8 +88,8 @@ class Index:
         for new in blocks(text):
             words, off = tail + new, n - len(tail)
             n += len(new)
-            if not self.wanted.isdisjoint(new):
-                votes: dict[tuple[int, int], set[bytes]] = {}
+            if not self.wanted.isdisjoint(words):  # a placement may end in a block that holds none of them
+                votes: Counter = Counter()
                 for i, w in enumerate(words):
                     if w not in self.wanted:
                         continue
@@ -102,10 +102,10 @@ class Index:
                                 first = off + a if first is None else min(first, off + a)
                                 last = off + a if last is None else max(last, off + a)
                     for t, q in self.postings.get(w, ()):
-                        votes.setdefault((t, i - q), set()).add(w)
-                for (t, d), own in votes.items():
+                        votes[t, i - q] += 1
+                for (t, d), met in votes.items():
                     label, notice, at, key = self.templates[t]
-                    if len(own) < self.needed[t] or d + at < 0 or words[d + at : d + at + len(key)] != key:
+                    if met < min(VOTES, len(notice)) or d + at < 0 or words[d + at : d + at + len(key)] != key:
                         continue
                     here = sum(0 <= d + q < len(words) and words[d + q] == w for q, w in enumerate(notice)) / len(notice)
                     if here >= COVERAGE:
