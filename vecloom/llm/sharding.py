@@ -1,10 +1,10 @@
 """Operator 10: shards of near equal bytes by Karmarkar-Karp differencing.
 
-Equal texts are one group and stay together. Groups are dealt to tasks by hash; each task
+Equal texts are one group, which is never divided. Groups are dealt to tasks by hash; each task
 differences its groups down to one partial partition of n_shards sums, and the partial
 partitions are differenced in turn (on the driver: one row of sums for each task, of a count
-bounded by max_tasks). A group above a shard's fair share can't be balanced whole: its rows
-are first cut by hash into slices, and the slices are dealt like groups.
+bounded by MAX_TASKS). Sizes are as near as indivisible groups allow: a group above a shard's fair
+share has a shard that holds as much, and the others share the rest evenly.
 
 Defined results: a null text weighs 1 (no bytes, plus 1) and its CRC is that of no bytes; it
 groups with the empty text. Null and repeated doc_ids keep a row each. An empty table gives an
@@ -84,41 +84,32 @@ def shard(docs: DataFrame, n_shards: int = 8, text: str = "text", key: str = "do
     t = F.coalesce(F.col(text), F.lit(""))
     same = F.unhex(F.sha2(t, 256))
     rows = materialize(docs.select(key, (F.octet_length(t) + 1).cast("bigint").alias("size"), F.crc32(t).alias("text_crc32"), same.alias("same")))
-    total, n_rows = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
-    groups = rows.groupBy("same").agg(F.sum("size").alias("w"), F.count(F.lit(1)).alias("n"))
-    groups = materialize(groups)
-    fair = max(1, total // n_shards)
-    # at most n_shards groups can be above a fair share, and 1024 hold a share of HOT_SHARE
-    hot = groups.where((F.col("w") > fair) | (F.col("n") >= max(2, int(n_rows * HOT_SHARE))))
-    hot = hot.select("same", F.when(F.col("w") > fair, F.ceil(64 * F.col("w") / fair)).otherwise(1).cast("int").alias("cut"))
-    hot = spark.createDataFrame(hot.collect(), hot.schema)
-    slice_of = F.pmod(F.xxhash64(key, "size"), F.col("cut")).cast("int").alias("slice")
-    hot_rows = rows.join(F.broadcast(hot), "same").select(key, "size", "text_crc32", "same", slice_of)
-    cut = hot_rows.groupBy("same", "slice").agg(F.sum("size").alias("w"))
-    whole = groups.join(F.broadcast(hot), "same", "left_anti").select("same", F.lit(-1).alias("slice"), "w")
-    units = cut.union(whole)
-    n_units = groups.count()
-    tasks = min(MAX_TASKS, max(1, -(-n_units // TASK_GROUPS)))
-    dealt = units.withColumn("task", F.pmod(F.xxhash64("same", "slice"), F.lit(tasks)).cast("int"))
+    groups = materialize(rows.groupBy("same").agg(F.sum("size").alias("w"), F.count(F.lit(1)).alias("n")))
+    n_rows, n_groups = groups.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    tasks = min(MAX_TASKS, max(1, -(-n_groups // TASK_GROUPS)))
+    dealt = groups.select("same", "w", "n", F.pmod(F.xxhash64("same"), F.lit(tasks)).cast("int").alias("task"))
 
     def partial(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["w", "same", "slice"], ascending=[False, True, True], kind="stable")
+        part = part.sort_values(["w", "same"], ascending=[False, True], kind="stable")
         where, _ = difference_partial([(int(w),) for w in part["w"]], n_shards)
         return part.assign(part=np.array([x[0] for x in where], np.int32))
 
-    placed = materialize(dealt.groupBy("task").applyInPandas(partial, "same binary, slice int, w bigint, task int, part int"))
+    placed = materialize(dealt.groupBy("task").applyInPandas(partial, "same binary, w bigint, n bigint, task int, part int"))
     sums: dict[int, list[int]] = {}
     for r in placed.groupBy("task", "part").agg(F.sum("w").alias("w")).orderBy("task", "part").collect():  # tasks x n_shards rows
         sums.setdefault(r["task"], [0] * n_shards)[r["part"]] = r["w"]
     names = sorted(sums)
     where, _ = difference_partial([tuple(sums[t]) for t in names], n_shards)
     final = spark.createDataFrame([(t, p, where[i][p]) for i, t in enumerate(names) for p in range(n_shards)], "task int, part int, shard int")
-    homes = placed.join(F.broadcast(final), ["task", "part"]).select("same", "slice", "shard")
-    hot_homes = homes.join(F.broadcast(hot.select("same")), "same")  # at most 1024 groups in 64 x n_shards slices or one
-    one = hot_rows.join(F.broadcast(hot_homes), ["same", "slice"])
-    two = rows.join(F.broadcast(hot), "same", "left_anti").join(homes.where("slice = -1").drop("slice"), "same")
+    homes = placed.join(F.broadcast(final), ["task", "part"]).select("same", "n", "shard")
+    # groups of a HOT_SHARE of the rows, 1024 at most, meet their rows by broadcast
+    hot = F.col("n") >= max(2, int(n_rows * HOT_SHARE))
+    few = F.broadcast(homes.where(hot).select("same", F.col("shard").alias("few")))
+    left = rows.join(few, "same", "left")
     columns = [key, "size", "text_crc32", "shard"]
-    return number(materialize(one.select(columns).union(two.select(columns))), ["shard"], [key, "size", "text_crc32"], "slot")
+    one = left.where("few IS NOT NULL").withColumnRenamed("few", "shard").select(columns)
+    two = left.where("few IS NULL").join(homes.where(~hot).select("same", "shard"), "same").select(columns)
+    return number(materialize(one.union(two)), ["shard"], [key, "size", "text_crc32"], "slot")
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
