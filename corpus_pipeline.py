@@ -2,10 +2,11 @@
 
 Each stage takes the documents its predecessor kept; the last one returns their packed pieces.
 Defined results: texts that are null or have no letter, and those whose best language has a
-probability under one half, go. Documents whose sets of
-five-word shingles have a similarity of 0.8 or more are near duplicates. Of each group the document with the smallest doc_id
-stays, once; documents without a doc_id are one for each different text. Columns beside doc_id and
-text pass through; n_chars, where it is there, follows the text. Empty tables give empty results.
+probability under one half, go. Documents whose sets of five-word shingles have a similarity of 0.8
+or more are near duplicates; of each group the row with the smallest doc_id stays (null last),
+whichever doc_ids other groups have. Columns beside doc_id and text pass through; n_chars, where
+it is there, follows the text. Empty tables give empty results. The pseudonyms' key is the
+session's (pseudonyms.KEY_SETTING).
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecloom.llm import language, near_copies, packing, pseudonyms
+from vecloom.llm import language, packing, pseudonyms, simhash
 from vecloom.llm.common import materialize
 
 LEAST_SCORE = 0.5
@@ -28,17 +29,12 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each component of near copies: the one with the smallest doc_id."""
-    firsts = near_copies.first_copies(docs).withColumnRenamed("times", "_times")
-    kept = docs.join(firsts, "doc_id").select(*docs.columns, "_times")
-    once = kept.where("_times = 1").select(*docs.columns)
-    repeated = kept.where("_times > 1").select(*docs.columns).dropDuplicates(["doc_id"])
-    nameless = docs.where("doc_id IS NULL").dropDuplicates(["text"])
-    return once.union(repeated).union(nameless)
+    return simhash.without_copies(docs)
 
 
 def pseudonymous(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace personal data in every text by its pseudonyms."""
-    done = pseudonyms.pseudonymize(docs, found="_found", kinds="_kinds")
+    done = pseudonyms.pseudonymize(docs, pseudonyms.key_of(spark))
     if "n_chars" in docs.columns:
         done = done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return done.select(*docs.columns)
