@@ -260,8 +260,8 @@ def test_hot_cells_lose_no_component(spark):
     centre = [r.getrandbits(64) for _ in range(3)]
     fps = {c ^ sum(1 << k for k in r.sample(range(64), r.randint(0, 5))) for c in centre for _ in range(150)} | {r.getrandbits(64) for _ in range(50)}
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
-    keys = spark.createDataFrame([(t, f % 2, f, f, f) for f in signed for t in range(2)], "t int, c bigint, node bigint, s bigint, class bigint")
-    near = lambda x, y: F.bit_count(x.bitwiseXOR(y)) <= 4
+    keys = spark.createDataFrame([(t, f % 2, f, f) for f in signed for t in range(2)], "t int, c bigint, node bigint, class bigint")
+    near = lambda x, y: F.bit_count(x[0].bitwiseXOR(y[0])) <= 4
     mask = (1 << 64) - 1
     parent = {f: f for f in signed}
 
@@ -277,7 +277,7 @@ def test_hot_cells_lose_no_component(spark):
                 parent[q] = p
     want = {f: top(f) for f in signed}
     for hot in (16, 10**6):
-        got = {x.node: x.root for x in components(cells.linked(keys, near, hot=hot)).collect()}
+        got = {x.node: x.root for x in components(cells.linked(keys, ("node",), near, hot=hot)).collect()}
         assert {f: got.get(f, f) for f in signed} == want
 
 

@@ -106,15 +106,19 @@ def sized(df: DataFrame, most: int = 200_000) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+#: The columns by which named() names a row.
+PLACE = ("_vecloom_file", "_vecloom_at")
+
+
 def named(docs: DataFrame) -> DataFrame:
-    """docs with `_vecloom_file` and `_vecloom_at`, longs that name a row: a hash of its file's path and its place there.
+    """docs with the columns PLACE, longs that name a row: a hash of its file's path and its place there.
 
     Documents that don't come from Parquet files are written first.
     """
     from pyspark.errors import AnalysisException
 
     def names(df: DataFrame) -> DataFrame:
-        return df.withColumns({"_vecloom_file": F.xxhash64("_metadata.file_path"), "_vecloom_at": F.col("_metadata.row_index")})
+        return df.withColumns(dict(zip(PLACE, (F.xxhash64("_metadata.file_path"), F.col("_metadata.row_index")), strict=True)))
 
     try:
         return names(docs)

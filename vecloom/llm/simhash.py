@@ -36,20 +36,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .cells import least_links, linked, with_classes
-from .common import discard, materialize, named, read, sized, small_batches, unsigned_hex
+from .common import PLACE, discard, materialize, named, read, sized, small_batches, unsigned_hex
 from .components import components
 
 WORDS, SEED, BITS = 4, 42, 4
 SEGMENTS, BLOCKS = 32, range(BITS + 1, 13)
-#: What a row of a grid costs, in pairs that meet.
-ROW_COST = 10
+#: What a row of a grid costs, in pairs that meet: of one long, and with a sketch.
+ROW_COST, WIDE_ROW_COST = 10, 30
 #: Hashes that are counted at once: bounds memory on long texts.
 BLOCK = 1 << 14
 SET_WORDS, SIMILARITY, RECALL = 5, 0.8, 0.99
 #: Standard deviations beyond the expected distance that the two words' test allows.
 SLACK = 4.0
 #: Fine cells of similar(), and segments that each has at least.
-FINE, FINE_SEGMENTS = 12, 20
+FINE, FINE_SEGMENTS = 6, 20
 _LANES, _PLACES = np.uint64(0x0101010101010101), np.arange(8, dtype=np.uint64)
 
 
@@ -158,9 +158,9 @@ def links(fps: DataFrame, n: int, bits: int = BITS) -> DataFrame:
     masks = grids(blocks_for(n))
     v = segment_counts(F.col("fp"))
     cells = F.transform(F.arrays_zip(F.array(*(F.lit(t) for t in range(len(masks)))).alias("t"), F.array(*map(_long, masks)).alias("m")), lambda g: F.struct(g["t"].alias("t"), F.col("v").bitwiseAND(g["m"]).alias("c")))
-    keys = fps.select("fp", v.alias("v")).select("fp", F.explode(cells).alias("k")).select("k.t", "k.c", *(F.col("fp").alias(c) for c in ("node", "s", "class")))
-    near = lambda x, y: (manhattan(segment_counts(x), segment_counts(y)) <= bits) & (F.bit_count(x.bitwiseXOR(y)) <= bits)
-    return linked(keys, near)
+    keys = fps.select("fp", v.alias("v")).select("fp", F.explode(cells).alias("k")).select("k.t", "k.c", *(F.col("fp").alias(c) for c in ("node", "class")))
+    near = lambda x, y: (manhattan(segment_counts(x[0]), segment_counts(y[0])) <= bits) & (F.bit_count(x[0].bitwiseXOR(y[0])) <= bits)
+    return linked(keys, ("node",), near)
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", bits: int = BITS, words: int = WORDS) -> DataFrame:
@@ -193,7 +193,7 @@ def plan(n: int, similarity: float = SIMILARITY, recall: float = RECALL) -> tupl
     p = differing(similarity)
     same = (1 - p) ** 2 + p * p / 2
     grids = lambda w: math.ceil(math.log(1 - recall) / math.log(1 - same**w))
-    width = min(range(4, SEGMENTS + 1), key=lambda w: grids(w) * (ROW_COST + n / 2 * 0.375**w))
+    width = min(range(4, SEGMENTS + 1), key=lambda w: grids(w) * (WIDE_ROW_COST + n / 2 * 0.375**w))
     return width, grids(width)
 
 
@@ -237,12 +237,18 @@ def _unary(x: np.ndarray) -> np.ndarray:
     return even | odd | ((even & odd) << np.uint64(1))
 
 
+def cell_numbers(counts: np.ndarray, masks: np.ndarray) -> np.ndarray:
+    """The cell in each grid, as a 32-bit number: two cells of one grid that share a number only bring more pairs together."""
+    own = mixed(counts[:, None] & masks[None, :]).reshape(-1)
+    return (own >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
 def marked(docs: DataFrame, longs: int, width: int, n_grids: int, words: int = SET_WORDS, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(keep ..., node, s0, s1, cells): node names a text's set, s0 and s1 are longs of its fingerprint, cells its cell in each grid."""
+    """(keep ..., set, s0, s1, cells): set names a text's set, s0 and s1 are longs of its fingerprint, cells its cell in each grid."""
     small_batches(docs.sparkSession)
     each = SEGMENTS // width
     masks = np.array([_mask(range(i * width, (i + 1) * width)) for i in range(each)], np.uint64)
-    names = [*keep, "node", "s0", "s1", "cells"]
+    names = [*keep, "set", "s0", "s1", "cells"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, int] = {}
@@ -255,12 +261,12 @@ def marked(docs: DataFrame, longs: int, width: int, n_grids: int, words: int = S
                 f = long_fingerprint(own, longs)
                 node.append(xxhash.xxh64_intdigest(own.tobytes(), SEED) - (1 << 63))
                 s.append(f[:2].view(np.int64).tolist())
-                cells.append((_unary(f)[:, None] & masks[None, :]).reshape(-1)[:n_grids].view(np.int64))
-            made = [pa.array(node, pa.int64()), *(pa.array([x[i] for x in s], pa.int64()) for i in (0, 1)), pa.array(cells, pa.list_(pa.int64()))]
+                cells.append(cell_numbers(_unary(f), masks)[:n_grids])
+            made = [pa.array(node, pa.int64()), *(pa.array([x[i] for x in s], pa.int64()) for i in (0, 1)), pa.array(cells, pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *made], names=names)
 
     fields = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
-    return docs.select(*keep, text).mapInArrow(run, f"{fields}node bigint, s0 bigint, s1 bigint, cells array<bigint>")
+    return docs.select(*keep, text).mapInArrow(run, f"{fields}`set` bigint, s0 bigint, s1 bigint, cells array<int>")
 
 
 def _jaccard(pairs: DataFrame, similarity: float, words: int) -> DataFrame:
@@ -290,45 +296,53 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity
     n = max(1, rows.count())
     width, n_grids = plan(n, similarity)
     longs = max(2, -(-n_grids // (SEGMENTS // width)))
-    marks = materialize(marked(rows, longs, width, n_grids, words, text, ("_vecloom_file", "_vecloom_at", key)))
-    first = F.min_by(F.struct("_vecloom_file", "_vecloom_at", "s0", "s1", "cells"), F.struct("_vecloom_file", "_vecloom_at"))
-    nodes = materialize(marks.groupBy("node").agg(first.alias("f")).select("node", "f._vecloom_file", "f._vecloom_at", F.struct("f.s0", "f.s1").alias("s"), "f.cells"))
+    marks = materialize(marked(rows, longs, width, n_grids, words, text, (*PLACE, key)))
+    first = F.min_by(F.struct(*PLACE, "s0", "s1", "cells"), F.struct(*PLACE))
+    # a written table: a node keeps its number
+    nodes = materialize(marks.groupBy("set").agg(first.alias("f")).select("set", "f.*").withColumn("node", F.monotonically_increasing_id()))
+    slim = materialize(marks.select(*PLACE, key, "set"))
+    discard(marks)
     p = differing(similarity)
     most = int(128 * p + SLACK * math.sqrt(128 * p * (1 - p)))
-    both = lambda f, x, y: f(x["s0"], y["s0"]) + f(x["s1"], y["s1"])
-    near = lambda x, y: (both(lambda a, b: manhattan(segment_counts(a), segment_counts(b)), x, y) <= most) & (both(lambda a, b: F.bit_count(a.bitwiseXOR(b)), x, y) <= most)
+    near = lambda x, y: (sum(manhattan(segment_counts(a), segment_counts(b)) for a, b in zip(x, y, strict=True)) <= most) & (sum(F.bit_count(a.bitwiseXOR(b)) for a, b in zip(x, y, strict=True)) <= most)
+    sketch = ("s0", "s1")
 
     def check(pairs: DataFrame) -> DataFrame:
-        ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        wanted = materialize(nodes.select("node", "_vecloom_file", "_vecloom_at").join(sized(materialize(ends)), "node", "left_semi"))
-        texts = materialize(rows.select("_vecloom_file", "_vecloom_at", F.col(text).alias("text")).join(sized(wanted), ["_vecloom_file", "_vecloom_at"]).select("node", "text"))
-        return materialize(_jaccard(pairs.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b"), similarity, words))
+        ends = materialize(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
+        wanted = materialize(nodes.select("node", *PLACE).join(sized(ends), "node", "left_semi"))
+        texts = materialize(rows.select(*PLACE, F.col(text).alias("text")).join(sized(wanted), list(PLACE)).select("node", "text"))
+        out = materialize(_jaccard(pairs.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b"), similarity, words))
+        for t in (ends, wanted, texts):
+            discard(t)
+        return out
 
     def verify(pairs: DataFrame) -> DataFrame:
         """Each node with its least partner first; then only the pairs that this didn't connect."""
         pairs = materialize(pairs)
         one = materialize(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
         done = check(one)
-        root = components(done)
+        root = sized(materialize(components(done)))
         far = pairs.join(root.toDF("a", "ra"), "a", "left").join(root.toDF("b", "rb"), "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
-        return done.union(check(materialize(far.join(one, ["a", "b"], "left_anti"))))
+        rest = materialize(far.join(one, ["a", "b"], "left_anti"))
+        return done if rest.isEmpty() else done.union(check(rest))
 
     # copies with few edits share cells of many segments, where hardly anything else lies: they are classes before the grids meet
     group = -(-FINE_SEGMENTS // width)
-    fine = nodes.select("node", "s", F.posexplode(F.array(*(F.xxhash64(*(F.col("cells")[min(n_grids - 1, i * group + j)] for j in range(group))) for i in range(min(FINE, max(1, n_grids // group)))))).alias("t", "c"))
-    known = materialize(least_links(fine, near, verify))
-    keys = materialize(with_classes(nodes, known)).select("node", "s", "class", F.posexplode("cells").alias("t", "c"))
-    roots = components(linked(keys, near, verify, known))
-    found = marks.select("_vecloom_file", "_vecloom_at", key, "node").join(roots, "node", "left").withColumn("component", F.coalesce("root", "node"))
-    return rows, found.select("_vecloom_file", "_vecloom_at", key, "node", "component")
+    joint = [F.xxhash64(*(F.col("cells")[min(n_grids - 1, i * group + j)] for j in range(group))) for i in range(min(FINE, max(1, n_grids // group)))]
+    fine = nodes.select("node", *sketch, F.posexplode(F.array(*joint)).alias("t", "c"))
+    known = materialize(least_links(fine, sketch, near, verify))
+    keys = with_classes(nodes, known).select("node", "class", *sketch, F.posexplode("cells").alias("t", "c"))
+    roots = materialize(components(linked(keys, sketch, near, verify, known)))
+    named_sets = nodes.select("set", "node").join(sized(roots), "node", "left").select("set", F.coalesce("root", "node").alias("component"))
+    return rows, slim.join(named_sets, "set").select(*PLACE, key, "set", "component")
 
 
 def without_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, words: int = SET_WORDS) -> DataFrame:
     """docs with one row of each component of similar(): that of the smallest key (null last), then of the first place."""
     rows, found = similar(docs, key, text, similarity, words)
-    order = F.struct(F.col(key).isNull().alias("null"), F.col(key).alias("k"), "_vecloom_file", "_vecloom_at")
-    kept = materialize(found.groupBy("component").agg(F.min(order).alias("m")).select("m._vecloom_file", "m._vecloom_at"))
-    return rows.join(sized(kept, 500_000), ["_vecloom_file", "_vecloom_at"], "left_semi").select(*docs.columns)
+    order = F.struct(F.col(key).isNull().alias("null"), F.col(key).alias("k"), *PLACE)
+    kept = materialize(found.groupBy("component").agg(F.min(order).alias("m")).select(*(F.col(f"m.{c}") for c in PLACE)))
+    return rows.join(sized(kept, 500_000), list(PLACE), "left_semi").select(*docs.columns)
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
