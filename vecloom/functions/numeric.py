@@ -7,11 +7,14 @@ import math
 import numpy as np
 
 
+#: 7.1.26 of Abramowitz and Stegun: p, then the coefficients from the highest power down.
+RATIONAL = (0.3275911, (1.061405429, -1.453152027, 1.421413741, -0.284496736, 0.254829592, 0.0))
+
+
 def erf(x: np.ndarray) -> np.ndarray:
-    a = np.abs(x)
-    t = 1 / (1 + 0.3275911 * a)
-    poly = t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429))))
-    return np.sign(x) * (1 - poly * np.exp(-a * a))
+    size = np.abs(x)
+    tail = np.polyval(RATIONAL[1], 1 / (1 + RATIONAL[0] * size)) * np.exp(-(size**2))
+    return np.copysign(1 - tail, x)
 
 
 def normal_cdf(x: np.ndarray) -> np.ndarray:
@@ -91,6 +94,16 @@ def uniformity(cos: np.ndarray, t: float = 2.0) -> float:
     return float(np.log(np.exp(-t * (2 - 2 * cos)).mean()))
 
 
+def sphere_uniformity(d: int, t: float = 2.0) -> float:
+    """log E exp(-t |x - y|^2) of independent uniform directions: exp(-2t) times a Bessel series in 2t."""
+    term, total, k = 1.0, 0.0, 0
+    while term > 1e-18 * total:
+        total += term
+        k += 1
+        term *= t * t / (k * (d / 2 + k - 1))
+    return -2 * t + math.log(total)
+
+
 def expected_collisions(cos: np.ndarray, n: int, sigma: float) -> float:
     return float((n - 1) * normal_cdf(-np.sqrt(np.maximum(2 - 2 * cos, 0)) / (2 * sigma)).mean())
 
@@ -113,11 +126,15 @@ def sphere_cosines(d: int, pairs: int, random: np.random.Generator) -> np.ndarra
     return 2 * random.beta((d - 1) / 2, (d - 1) / 2, pairs) - 1
 
 
-def fitted_cosines(mean: np.ndarray, cov: np.ndarray, pairs: int, random: np.random.Generator, rows: int = 4096) -> np.ndarray:
-    """Cosines of pairs drawn from a Gaussian fit, at unit length; mean 0 leaves only the spectrum."""
+def square_root(cov: np.ndarray) -> np.ndarray:
+    """R with R R' = cov."""
     values, vectors = np.linalg.eigh(cov)
-    root = vectors * np.sqrt(np.clip(values, 0, None))
-    x = mean + random.standard_normal((rows, len(cov))) @ root.T
+    return vectors * np.sqrt(np.clip(values, 0, None))
+
+
+def fitted_cosines(mean: np.ndarray, root: np.ndarray, pairs: int, random: np.random.Generator, rows: int = 4096) -> np.ndarray:
+    """Cosines of pairs drawn from a Gaussian fit (mean, square_root()), at unit length; mean 0 leaves only the spectrum."""
+    x = mean + random.standard_normal((rows, len(root))) @ root.T
     x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
     i, j = random.integers(0, rows, (2, pairs))
     keep = i != j

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .numeric import RATIONAL
+
+
 def doubles(v: Column) -> Column:
     return v.cast("array<double>")
 
@@ -28,12 +31,13 @@ def chord(cosine: Column) -> Column:
 
 
 def normal_cdf(x: Column) -> Column:
-    """The normal distribution function by the rational approximation 7.1.26 of Abramowitz and Stegun."""
-    z = F.abs(x) / F.sqrt(F.lit(2.0))
-    t = 1 / (1 + 0.3275911 * z)
-    poly = t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429))))
-    erf = 1 - poly * F.exp(-z * z)
-    return 0.5 * (1 + F.signum(x) * erf)
+    """The normal distribution function by numeric.RATIONAL."""
+    size = F.abs(x) / F.sqrt(F.lit(2.0))
+    at = 1 / (1 + RATIONAL[0] * size)
+    tail = F.lit(0.0)
+    for c in RATIONAL[1]:
+        tail = tail * at + c
+    return 0.5 * (1 + F.signum(x) * (1 - tail * F.exp(-size * size)))
 
 
 def confusion(cosine: Column, sigma) -> Column:

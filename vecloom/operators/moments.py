@@ -8,11 +8,14 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Tasks that each keep one Gram matrix; more input makes them longer, not more.
-TASKS = 512
+#: Groups into which the tasks' sums are added up first, so that no task adds all of them.
+GROUPS = 64
+#: Bytes of input that come in few tasks.
+SMALL = 64 << 20
 
 
 @dataclass
@@ -51,7 +54,10 @@ class Moments:
 
 
 def partial(rows: DataFrame) -> DataFrame:
-    """(part, values) whose values add up by part: a Gram row for each dimension, and one row of sums."""
+    """(part, g, values) whose values add up by part: a Gram row for each dimension, and one row of sums.
+
+    Each task sums its own rows; g is the group in which its sums are added up first.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, total, gram, lengths, squares = 0, 0.0, 0.0, 0.0, 0.0
@@ -65,19 +71,24 @@ def partial(rows: DataFrame) -> DataFrame:
             lengths, squares = lengths + np.sqrt(s).sum(), squares + s.sum()
         if n:
             rows = [np.concatenate([[n, lengths, squares], total]), *gram]
-            yield pa.RecordBatch.from_arrays([pa.array(range(-1, len(rows) - 1), pa.int32()), pa.array([r.tolist() for r in rows], pa.list_(pa.float64()))], names=["part", "values"])
+            g = pa.array([TaskContext.get().partitionId() % GROUPS] * len(rows), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(range(-1, len(rows) - 1), pa.int32()), g, pa.array([r.tolist() for r in rows], pa.list_(pa.float64()))], names=["part", "g", "values"])
 
-    return rows.select("vec").coalesce(TASKS).mapInArrow(run, "part int, values array<double>")
+    return rows.select("vec").mapInArrow(run, "part int, g int, values array<double>")
 
 
 def combined(partials: DataFrame) -> DataFrame:
-    add = lambda x: pd.DataFrame({"part": x["part"].iloc[:1], "values": [np.sum(np.stack(x["values"]), axis=0).tolist()]})
-    return partials.groupBy("part").applyInPandas(add, "part int, values array<double>")
+    """(part, g, values), at most one row for each part and group."""
+    add = lambda x: pd.DataFrame({"part": x["part"].iloc[:1], "g": x["g"].iloc[:1], "values": [np.sum(np.stack(x["values"]), axis=0).tolist()]})
+    return partials.groupBy("part", "g").applyInPandas(add, "part int, g int, values array<double>")
 
 
-def collected(partials: DataFrame) -> Moments:
-    """To the driver: dim + 1 rows."""
-    rows = {r["part"]: np.array(r["values"]) for r in combined(partials).collect()}
+def collected(partials: DataFrame, small: bool = False) -> Moments:
+    """To the driver: dim + 1 rows; small: as many for each of a few tasks."""
+    by = partials if small else combined(combined(partials).withColumn("g", F.lit(0)))
+    rows: dict[int, np.ndarray] = {}
+    for r in by.collect():
+        rows[r["part"]] = rows.get(r["part"], 0.0) + np.array(r["values"])
     if -1 not in rows:
         raise ValueError("there are no rows")
     head = rows.pop(-1)
@@ -85,4 +96,5 @@ def collected(partials: DataFrame) -> Moments:
 
 
 def moments(rows: DataFrame) -> Moments:
-    return collected(partial(rows))
+    size = rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return collected(partial(rows), int(size.toString() if hasattr(size, "toString") else size) <= SMALL)

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .order import numbered
+
 #: A question that names its source gives the answer away.
 LEAK = r"§|\bC\.?F\.?R\b|\bU\.?S\.?C\b|(?i:\bpart\s+\d+|\bsection\s+\d+|\bversion\s+\d+)"
 
@@ -53,7 +55,7 @@ def siblings(rows: DataFrame, by: list[str], id: str, take: int = 2) -> DataFram
 def dense_ids(rows: DataFrame, key: str, out: str = "number") -> DataFrame:
     """Whole numbers from 0 for the distinct keys, in their order."""
     keys = rows.select(key).distinct()
-    return rows.join(keys.withColumn(out, (F.row_number().over(Window.orderBy(key)) - 1).cast("bigint")), key)
+    return rows.join(numbered(keys, [key], out), key)
 
 
 def canonical(rows: DataFrame, id: str, text: str) -> DataFrame:

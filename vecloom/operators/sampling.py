@@ -1,28 +1,32 @@
-"""Samples that don't depend on partitions or on the order of rows."""
+"""Samples that don't depend on partitions or on the order of rows: rows are taken by the MD5 of their ids."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions import vec
+from .order import numbered
 
-MIX = 2654435761
 SIZE, PAIRS = 20_000, 200_000
+#: Rows of a group's histogram of hashes: by the first three hexadecimal digits.
+DIGITS, BUCKETS = 3, 4096
 
 
-def mixed(id: Column, kind: T.DataType, seed: int = 0) -> Column:
-    """A number that scatters ids: arithmetic on whole numbers, so that any SQL engine gives the same; a hash of others."""
-    if isinstance(kind, T.IntegralType):
-        return F.pmod((id.cast("bigint") % 4294967296) * F.lit(MIX % 1_000_003) + F.lit(seed * 7919), F.lit(1_000_003).cast("bigint"))
-    return F.pmod(F.xxhash64(id, F.lit(seed)), F.lit(1 << 62))
+def mixed(id: Column, seed: int = 0) -> Column:
+    """32 hexadecimal digits that scatter ids evenly; any SQL engine gives the same."""
+    return F.md5(F.concat(id.cast("string"), F.lit(f":{seed}")))
+
+
+def fraction(id: Column, seed: int = 0) -> Column:
+    """A number from 0 to 1, exclusive, of an id: the first 48 bits of mixed()."""
+    return (F.conv(F.substring(mixed(id, seed), 1, 12), 16, 10).cast("double") + 0.5) / 2.0**48
 
 
 def sample(rows: DataFrame, size: int = SIZE, seed: int = 0, id: str = "id") -> DataFrame:
-    """`size` rows, those of least mixed id: every row of any partition is as likely as any other."""
-    return rows.orderBy(mixed(F.col(id), rows.schema[id].dataType, seed), id).limit(size)
+    """`size` rows, those of least mixed id: any row is as likely as any other."""
+    return rows.orderBy(mixed(F.col(id), seed), id).limit(size)
 
 
 def pair_ranks(n: int, pairs: int, spark) -> DataFrame:
@@ -33,14 +37,22 @@ def pair_ranks(n: int, pairs: int, spark) -> DataFrame:
     return spark.range(pairs).select(t.alias("t"), i.alias("i"), j.alias("j")).where("i <> j")
 
 
+def pair_vectors(rows: DataFrame, pairs: int = PAIRS) -> DataFrame:
+    """(t, a, b, la, lb, va, vb): `pairs` pairs drawn from all unit rows (id, vec, label).
+
+    Only ids are ordered; of the vectors those of the pairs are fetched, so the draw's size bounds them.
+    """
+    ids = rows.select("id")
+    drawn = F.broadcast(pair_ranks(max(1, ids.count()), pairs, rows.sparkSession))
+    ranked = numbered(ids, ["id"], "r")
+    met = drawn.join(ranked.select(F.col("r").alias("i"), F.col("id").alias("a")), "i").join(ranked.select(F.col("r").alias("j"), F.col("id").alias("b")), "j")
+    side = lambda n: rows.select(F.col("id").alias(n), F.col("label").alias(f"l{n}"), F.col("vec").alias(f"v{n}"))
+    return met.select("t", "a", "b").join(side("a"), "a").join(side("b"), "b").select("t", "a", "b", "la", "lb", "va", "vb")
+
+
 def pair_cosines(rows: DataFrame, pairs: int = PAIRS) -> DataFrame:
-    """(t, a, b, la, lb, cos): sampled pairs of a bounded sample of unit rows (id, vec, label)."""
-    n = rows.count()
-    ranked = rows.withColumn("r", (F.row_number().over(Window.orderBy("id")) - 1).cast("bigint"))
-    x = ranked.select(F.col("r").alias("i"), F.col("id").alias("a"), F.col("label").alias("la"), F.col("vec").alias("va"))
-    y = ranked.select(F.col("r").alias("j"), F.col("id").alias("b"), F.col("label").alias("lb"), F.col("vec").alias("vb"))
-    met = pair_ranks(max(1, n), pairs, rows.sparkSession).join(x, "i").join(y, "j")
-    return met.select("t", "a", "b", "la", "lb", vec.dot(F.col("va"), F.col("vb")).alias("cos"))
+    """(t, a, b, la, lb, cos) of pair_vectors()."""
+    return pair_vectors(rows, pairs).select("t", "a", "b", "la", "lb", vec.dot(F.col("va"), F.col("vb")).alias("cos"))
 
 
 def capped(rows: DataFrame, by: list[str], order: list[Column], cap: int | Column) -> DataFrame:
@@ -49,36 +61,52 @@ def capped(rows: DataFrame, by: list[str], order: list[Column], cap: int | Colum
     return rows.withColumn("_r", r).where(F.col("_r") <= cap).drop("_r")
 
 
+def taken(rows: DataFrame, by: list[str], quota: Column, id: str, seed: int = 0, out: str = "taken") -> DataFrame:
+    """rows with `out`: whether a row is among the quota of its group that has the least mixed ids.
+
+    quota: an expression over the group's size `n` and `by`. A histogram of the hashes tells in which of 4096
+    buckets a group's quota ends; only that bucket's rows are ranked, so no task holds a group.
+    """
+    h = mixed(F.col(id), seed)
+    marked = rows.withColumns({"_h": h, "_bucket": F.conv(F.substring(h, 1, DIGITS), 16, 10).cast("int")})
+    counts = marked.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_c"))
+    group = Window.partitionBy(*by)
+    upto = counts.withColumns({"_upto": F.sum("_c").over(group.orderBy("_bucket")), "n": F.sum("_c").over(group)}).withColumn("_quota", F.least(quota, F.col("n")).cast("bigint"))
+    ends = upto.where((F.col("_upto") >= F.col("_quota")) & (F.col("_upto") - F.col("_c") < F.greatest("_quota", F.lit(1)))).select(*by, F.col("_bucket").alias("_end"), (F.col("_quota") - F.col("_upto") + F.col("_c")).alias("_left"))
+    ends = ends.toDF(*(f"_by{i}" for i in range(len(by))), "_end", "_left")
+    same = [F.col(c).eqNullSafe(F.col(f"_by{i}")) for i, c in enumerate(by)]
+    told = marked.join(F.broadcast(ends) if ends.limit(10_001).count() <= 10_000 else ends, same, "left").drop(*(f"_by{i}" for i in range(len(by))))
+    sure = told.where("_bucket <> _end").withColumn(out, F.col("_bucket") < F.col("_end"))
+    last = told.where("_bucket = _end").withColumn(out, F.row_number().over(Window.partitionBy(*by).orderBy("_h", id)) <= F.col("_left"))
+    return sure.union(last).drop("_h", "_bucket", "_end", "_left")
+
+
 def split(rows: DataFrame, by: list[str], share: float, id: str = "id", seed: int = 0) -> DataFrame:
     """rows with `part`: "eval" for round(n * share) rows of each group, "train" for the others."""
-    order = Window.partitionBy(*by).orderBy(mixed(F.col(id), rows.schema[id].dataType, seed), id)
-    n = F.count(F.lit(1)).over(Window.partitionBy(*by))
-    held = F.row_number().over(order) <= F.floor(n * share + 0.5)
-    return rows.withColumn("part", F.when(held, "eval").otherwise("train"))
+    out = taken(rows, by, F.floor(F.col("n") * share + 0.5), id, seed, "_held")
+    return out.withColumn("part", F.when(F.col("_held"), "eval").otherwise("train")).drop("_held")
 
 
 def stratified(rows: DataFrame, by: str, size: int, held: float = 0.2, id: str = "id") -> DataFrame:
     """A sample in proportion to the strata, whose rounding goes to the largest; with `part` by split()."""
-    counts = rows.groupBy(by).agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.agg(F.sum("_n").alias("_t"))
-    quota = counts.join(F.broadcast(total)).withColumn("_q", F.floor(F.col("_n") * size / F.col("_t") + 0.5).cast("bigint"))
-    short = quota.agg((F.lit(size) - F.sum("_q")).alias("_s"))
-    first = F.row_number().over(Window.orderBy(F.col("_n").desc(), by)) == 1
-    quota = quota.join(F.broadcast(short)).withColumn("_q", F.least("_n", F.col("_q") + F.when(first, F.col("_s")).otherwise(0)))
-    order = Window.partitionBy(by).orderBy(mixed(F.col(id), rows.schema[id].dataType), id)
-    taken = rows.join(F.broadcast(quota.select(by, "_q")), by).withColumn("_r", F.row_number().over(order)).where("_r <= _q").drop("_r", "_q")
-    return split(taken, [by], held, id, seed=1)
+    counts = {r[by]: r["n"] for r in rows.groupBy(by).agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each stratum
+    total = sum(counts.values())
+    quota = {k: int(n * size / total + 0.5) for k, n in counts.items()}
+    if quota:
+        first = min(counts, key=lambda k: (-counts[k], k is None, k))
+        quota[first] += size - sum(quota.values())
+    which = F.coalesce(*(F.when(F.col(by).eqNullSafe(F.lit(k)), F.lit(q)) for k, q in quota.items()), F.lit(0))
+    kept = taken(rows, [by], which, id, 0, "_in").where("_in").drop("_in")
+    return split(kept, [by], held, id, seed=1)
 
 
 def weighted(rows: DataFrame, weight: str, size: int, id: str = "id") -> DataFrame:
     """Without replacement, in proportion to weight: the least -ln(u) / weight, u from the id."""
-    u = (mixed(F.col(id), rows.schema[id].dataType) % 1_000_003 + 1) / F.lit(1_000_004.0)
-    return rows.where(F.col(weight) > 0).orderBy(-F.ln(u) / F.col(weight), id).limit(size)
+    return rows.where(F.col(weight) > 0).orderBy(-F.ln(fraction(F.col(id))) / F.col(weight), id).limit(size)
 
 
 def rebalanced(rows: DataFrame, kind: str, many: str, id: str = "id") -> DataFrame:
     """Rows of the kind `many`, and at most twice as many others, so that they are a third."""
-    cap = rows.where(F.col(kind) == many).agg((2 * F.count(F.lit(1))).alias("_cap"))
-    order = Window.partitionBy(F.col(kind) == many).orderBy(mixed(F.col(id), rows.schema[id].dataType), id)
-    marked = rows.withColumn("_r", F.row_number().over(order)).join(F.broadcast(cap))
-    return marked.where((F.col(kind) == many) | (F.col("_r") <= F.col("_cap"))).drop("_r", "_cap")
+    cap = 2 * rows.where(F.col(kind) == many).count()
+    marked = rows.withColumn("_many", F.coalesce(F.col(kind) == many, F.lit(False)))
+    return taken(marked, ["_many"], F.when(F.col("_many"), F.col("n")).otherwise(F.lit(cap)), id, 0, "_in").where("_in").drop("_many", "_in")

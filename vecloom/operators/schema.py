@@ -7,9 +7,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from ..functions import vec
+from ..sources.scratch import kept
+from .order import numbered
 
 VECTORS = ("embedding", "embeddings", "vector", "vectors", "emb", "x")
 IDS = ("id", "ids", "vec_id", "doc_id", "key", "uuid")
@@ -54,9 +55,8 @@ def vectors(df: DataFrame, columns: Columns | None = None) -> DataFrame:
     if c.id:
         return df.select(F.col(c.id).alias("id"), v.alias("vec"), label.alias("label"))
     rows = df.select(v.alias("vec"), label.alias("label"))
-    order = Window.orderBy("_h", "_m")
-    marked = rows.withColumns({"_h": F.xxhash64("vec"), "_m": F.monotonically_increasing_id()})
-    return marked.withColumn("id", (F.row_number().over(order) - 1).cast("bigint")).select("id", "vec", "label")
+    marked = rows.withColumns({"_h": F.xxhash64("vec", "label"), "_m": F.monotonically_increasing_id()})
+    return numbered(kept(marked), ["_h", "_m"], "id").select("id", "vec", "label")
 
 
 def validate(rows: DataFrame) -> DataFrame:

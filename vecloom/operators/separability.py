@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import numeric
+from ..functions import numeric, vec
 from .pairs import sums
 
 
@@ -17,31 +19,64 @@ def labelled(rows: DataFrame) -> DataFrame:
     return kept.where(F.col("label") != -1) if isinstance(rows.schema["label"].dataType, T.IntegralType) else kept
 
 
+def group_sums(rows: DataFrame) -> DataFrame:
+    """(label, n, s, q): rows, sums and sums of squares by dimension of each group; added up in every task before the shuffle."""
+    own = labelled(rows).select("label", "vec")
+    kind = own.schema["label"].dataType.simpleString()
+
+    def add(x: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"label": x["label"].iloc[:1], "n": [x["n"].sum()], "s": [np.sum(np.stack(x["s"]), axis=0)], "q": [np.sum(np.stack(x["q"]), axis=0)]})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: dict = {}
+        for b in batches:
+            for name, at in b.groupby("label").indices.items():
+                x = np.stack(b["vec"].iloc[at].to_list())
+                n, s, q = total.get(name, (0, 0.0, 0.0))
+                total[name] = (n + len(x), s + x.sum(axis=0), q + (x * x).sum(axis=0))
+        if total:
+            yield pd.DataFrame({"label": list(total), "n": [t[0] for t in total.values()], "s": [t[1] for t in total.values()], "q": [t[2] for t in total.values()]})
+
+    schema = f"label {kind}, n bigint, s array<double>, q array<double>"
+    return own.mapInPandas(run, schema).groupBy("label").applyInPandas(add, schema)
+
+
 def centroids(rows: DataFrame) -> DataFrame:
     """(label, n, pos, mean, part): mean by dimension, and the same at unit length."""
-    long = labelled(rows).select("label", F.posexplode("vec").alias("pos", "x"))
-    mean = long.groupBy("label", "pos").agg(F.avg("x").alias("mean"), F.count(F.lit(1)).alias("n"))
-    length = mean.groupBy("label").agg(F.greatest(F.sqrt(F.sum(F.col("mean") * F.col("mean"))), F.lit(1e-12)).alias("length"))
-    return mean.join(length, "label").withColumn("part", F.col("mean") / F.col("length")).drop("length")
+    mean = F.transform("s", lambda x: x / F.col("n"))
+    sums = group_sums(rows).select("label", "n", mean.alias("mean")).withColumn("_l", F.greatest(vec.norm(F.col("mean")), F.lit(1e-12)))
+    return sums.select("label", "n", "_l", F.posexplode("mean").alias("pos", "mean")).select("label", "n", "pos", "mean", (F.col("mean") / F.col("_l")).alias("part"))
 
 
 def centroid_cosines(rows: DataFrame) -> DataFrame:
     """(g1, g2, cos) of every two groups' centroids."""
-    c = centroids(rows)
-    a = c.select(F.col("label").alias("g1"), "pos", F.col("part").alias("p"))
-    b = c.select(F.col("label").alias("g2"), "pos", F.col("part").alias("q"))
-    return a.join(b, "pos").groupBy("g1", "g2").agg(F.sum(F.col("p") * F.col("q")).alias("cos"))
+    own = group_sums(rows).select("label", vec.unit(F.transform("s", lambda x: x / F.col("n"))).alias("c"))
+    a, b = own.select(F.col("label").alias("g1"), F.col("c").alias("p")), own.select(F.col("label").alias("g2"), F.col("c").alias("q"))
+    # one row a group on either side; the result has one for each two groups
+    return a.withColumn("_k", F.lit(1)).join(b.withColumn("_k", F.lit(1)), "_k").select("g1", "g2", vec.dot(F.col("p"), F.col("q")).alias("cos"))
 
 
 def fisher(rows: DataFrame) -> DataFrame:
     """One row: between-group over within-group scatter, by traces; 0 without any within."""
-    long = labelled(rows).select("label", F.posexplode("vec").alias("pos", "x"))
-    by = long.groupBy("label", "pos").agg(F.count("x").alias("n"), F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q"))
-    total = by.groupBy("pos").agg(F.sum("n").alias("N"), F.sum("s").alias("S"), F.sum("q").alias("Q"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("B"))
+    long = group_sums(rows).select("n", F.posexplode(F.arrays_zip("s", "q")).alias("pos", "z")).select("n", "pos", "z.s", "z.q")
+    total = long.groupBy("pos").agg(F.sum("n").alias("N"), F.sum("s").alias("S"), F.sum("q").alias("Q"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("B"))
     out = total.agg(F.sum(F.col("B") - F.col("S") * F.col("S") / F.col("N")).alias("between"), F.sum(F.col("Q") - F.col("B")).alias("within"))
     return out.withColumn("fisher", F.when(F.col("within") > 0, F.col("between") / F.col("within")).otherwise(0.0))
 
 
+def largest_groups(labels: DataFrame, most: int, least_prefix: int = 6) -> DataFrame:
+    """(label, n): the `most` largest groups of text labels, without the beginning that all labels share if it has `least_prefix` characters."""
+    n = labels.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    ends = n.agg(F.min("label").alias("a"), F.max("label").alias("b")).first()
+    shared = 0
+    for p, q in zip(ends["a"] or "", ends["b"] or "", strict=False):
+        if p != q:
+            break
+        shared += 1
+    name = F.expr(f"substring(label, {shared + 1})") if shared >= least_prefix else F.col("label")
+    return n.select(name.alias("label"), "n").orderBy(F.col("n").desc(), "label").limit(most)
+
+
 def silhouette(rows: DataFrame) -> DataFrame:
     """(id, label, silhouette) by cosine distance; a group of one row has 0."""
     own = labelled(rows)
