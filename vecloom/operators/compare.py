@@ -43,17 +43,12 @@ def drift(both: DataFrame) -> DataFrame:
     return both.select("id", d.alias("drift"), F.when(same, vec.dot(F.col("va"), F.col("vb"))).alias("cos"))
 
 
-def linear_cka(both: DataFrame) -> DataFrame:
-    """One row (cka): of the centred matrices; their lengths may differ. Only sums by pairs of dimensions are kept."""
-
-    def cross(p: str, q: str) -> DataFrame:
-        x = both.select("id", F.posexplode(p).alias("i", "x"))
-        y = both.select("id", F.posexplode(q).alias("j", "y"))
-        c = x.join(y, "id").groupBy("i", "j").agg((F.sum(F.col("x") * F.col("y")) - F.sum("x") * F.sum("y") / F.count(F.lit(1))).alias("c"))
-        return c.agg(F.sum(F.col("c") * F.col("c")).alias(f"{p}{q}"))
-
-    parts = cross("va", "vb").join(cross("va", "va")).join(cross("vb", "vb"))
-    return parts.select((F.col("vavb") / F.sqrt(F.col("vava") * F.col("vbvb"))).alias("cka"))
+def drift_cells(points: DataFrame, size: int) -> DataFrame:
+    """(cx, cy, n, drift, dx, dy, over60, over95) of points (x, y in the unit box, d, dx, dy): means by cell."""
+    at = [F.least(F.floor(F.col(c) * size), F.lit(size - 1)).cast("bigint").alias(f"c{c}") for c in "xy"]
+    g = points.groupBy(*at).agg(F.count(F.lit(1)).alias("n"), F.avg("d").alias("drift"), F.avg("dx").alias("dx"), F.avg("dy").alias("dy"))
+    q = g.agg(F.percentile("drift", F.array(F.lit(0.6), F.lit(0.95))).alias("_q"))
+    return g.join(F.broadcast(q)).withColumns({"over60": F.col("drift") >= F.col("_q")[0], "over95": F.col("drift") >= F.col("_q")[1]}).drop("_q")
 
 
 def cross_grams(both: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

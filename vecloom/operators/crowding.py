@@ -205,34 +205,81 @@ def hot_edges(edges: DataFrame, most: int = 600) -> DataFrame:
     return edges.join(F.broadcast(mad)).where("dist <= m - 3 * s").drop("m", "s").orderBy("dist").limit(most)
 
 
-def anisotropy(rows: DataFrame, edges: DataFrame, dim: int, scales: tuple[int, ...] = (10, 50), reference: int = 2000, alpha: float = 0.01) -> tuple[DataFrame, DataFrame]:
-    """Local density at several scales against a uniform null of matched density.
+def field(rows: DataFrame, edges: DataFrame, dim: int, scales: tuple[int, ...] = (10, 50, 200), reference: int = 2000, alpha: float = 0.01, mutual: bool = False) -> DataFrame:
+    """(id, k, density, z, crowded): local density at several scales, its robust z, and whether that is beyond what uniform rows of matched density have.
 
-    edges: the neighbour graph up to the largest scale. Returns the field (id, k, density, z, crowded)
-    and one row for each scale (k, median, mad, cut, spread, scale_star).
+    edges: the neighbour graph up to the largest scale; scales beyond the rows are left out. mutual:
+    density over reciprocal neighbours only.
     """
+    from .neighbours import mean_similarity, mutual_density
+
     spark = rows.sparkSession
     n = rows.count()
+    scales = tuple(k for k in scales if k < n) or (max(1, n - 1),)
     x = uniform(min(reference, n), dim, 5)
     g = np.sort(x @ x.T - 2 * np.eye(len(x)), axis=1)[:, ::-1]
-    null = {}
+    cut = {}
     for k in scales:
         at = max(1, min(len(x) - 1, round(k * len(x) / n)))
         d = g[:, :at].mean(axis=1)
-        med = float(np.median(d))
-        mad = max(1e-9, 1.4826 * float(np.median(np.abs(d - med))))
-        null[k] = (med, mad, float(np.quantile((d - med) / mad, 1 - alpha / len(scales))))
-    table = spark.createDataFrame([(k, *v) for k, v in null.items()], "k int, median double, mad double, cut double")
-    parts = [edges.where(F.col("rank") <= k).groupBy(F.col("src").alias("id")).agg(F.avg("cos").alias("density")).withColumn("k", F.lit(k)) for k in scales]
-    field = parts[0]
-    for p in parts[1:]:
-        field = field.union(p)
-    field = field.join(F.broadcast(table), "k").withColumn("z", (F.col("density") - F.col("median")) / F.col("mad"))
-    field = field.select("id", "k", "density", "z", (F.col("z") > F.col("cut")).alias("crowded"))
-    spread = field.groupBy("k").agg(((F.percentile("z", 0.99) - F.percentile("z", 0.5))).alias("spread"), F.percentile("z", 0.5).alias("global_crowding"))
-    star = spread.join(F.broadcast(table), "k")
-    star = star.join(F.broadcast(star.agg(F.max("spread").alias("_m")))).withColumn("scale_star", F.col("spread") == F.col("_m")).drop("_m")
-    return field, star
+        mad = max(1e-9, 1.4826 * float(np.median(np.abs(d - np.median(d)))))
+        cut[k] = (float(np.median(d)), mad, float(np.quantile((d - np.median(d)) / mad, 1 - alpha / len(scales))))
+    table = F.broadcast(spark.createDataFrame([(k, *v) for k, v in cut.items()], "k int, null_median double, null_mad double, cut double"))
+    of = mutual_density if mutual else mean_similarity
+    long = None
+    for k in scales:
+        part = of(edges, k).withColumn("k", F.lit(k))
+        long = part if long is None else long.union(part)
+    med = long.groupBy("k").agg(F.percentile("density", 0.5).alias("median"))
+    mad = long.join(F.broadcast(med), "k").groupBy("k").agg(F.first("median").alias("median"), F.greatest(1.4826 * F.percentile(F.abs(F.col("density") - F.col("median")), 0.5), F.lit(1e-9)).alias("mad"))
+    told = long.join(F.broadcast(mad), "k").join(table, "k").withColumn("z", (F.col("density") - F.col("median")) / F.col("mad"))
+    return told.select("id", "k", "density", "z", (F.col("z") > F.col("cut")).alias("crowded"), "median", "mad", "null_median", "null_mad", "cut")
+
+
+def scales_of(long: DataFrame) -> DataFrame:
+    """(k, median, mad, cut, spread, global_crowding, scale_star) of field(): the scale of the longest upper tail is scale_star."""
+    keys = ["k", "median", "mad", "cut"]
+    by = long.groupBy(*keys, "null_median", "null_mad").agg(((F.percentile("density", 0.99) - F.col("median")) / F.col("mad")).alias("spread"))
+    by = by.withColumn("global_crowding", (F.col("median") - F.col("null_median")) / F.col("null_mad"))
+    top = by.agg(F.max_by("k", F.struct("spread", -F.col("k"))).alias("_k"))
+    return by.join(F.broadcast(top)).select(*keys, "spread", "global_crowding", (F.col("k") == F.col("_k")).alias("scale_star"))
+
+
+def crowded_rows(long: DataFrame) -> DataFrame:
+    """(id, crowded): crowded at any scale."""
+    return long.groupBy("id").agg(F.max("crowded").alias("crowded"))
+
+
+def angular_pockets(rows: DataFrame, long: DataFrame, most: int = 2000) -> DataFrame:
+    """(pocket, size, concentration, isoscore_shrunk, z, members): groups of crowded rows by angle.
+
+    Few crowded rows (under 8 and 0.2 %) or small groups (under 5 and 0.1 %) make none. More than
+    `most` crowded rows are linked over the driver's bound: an error asks for a sample.
+    """
+    spark, kind = rows.sparkSession, rows.schema["id"].dataType.simpleString()
+    names = f"pocket int, size int, concentration double, isoscore_shrunk double, z double, members array<{kind}>"
+    n = rows.count()
+    star = scales_of(long).where("scale_star").first()
+    crowded = crowded_rows(long).where("crowded").select("id")
+    size = crowded.count()
+    if star is None or size < max(8, int(n * 0.002)):
+        return spark.createDataFrame([], names)
+    if size > most:
+        raise ValueError(f"more than {most} crowded rows: sample them first")
+    dense = {r["id"]: (r["density"], r["z"]) for r in long.where(F.col("k") == star["k"]).join(crowded, "id", "left_semi").collect()}
+    far = float(np.clip(1 - 0.5 * np.mean([d for d, _ in dense.values()]), 0.35, 0.95))
+    own = rows.join(crowded, "id", "left_semi")
+    ids, x = bounded(own, most)
+    at = {v.item() if hasattr(v, "item") else v: i for i, v in enumerate(ids)}
+    out = []
+    for _, g in angular_groups(own, 1 - far).groupby("group"):
+        members = sorted(v.item() if hasattr(v, "item") else v for v in g["id"])
+        if len(members) < max(5, int(n * 0.001)):
+            continue
+        e = numeric.eigenvalues(np.cov(x[[at[m] for m in members]].T))
+        out.append((len(members), float(np.mean([dense[m][0] for m in members])), numeric.shrunk_isoscore(e, len(members)), float(max(dense[m][1] for m in members)), members))
+    out.sort(key=lambda p: -p[3])
+    return spark.createDataFrame([(i, *p) for i, p in enumerate(out)], names)
 
 
 def angular_groups(rows: DataFrame, cosine: float) -> pd.DataFrame:

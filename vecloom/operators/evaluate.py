@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import numeric
+from ..functions import numeric, vec
+from ..sources.scratch import kept
+from .order import before, numbered
 
 
 def gold_ranks(scores: DataFrame, gold: DataFrame) -> DataFrame:
@@ -47,17 +48,65 @@ def ndcg(ranks: DataFrame, qrels: DataFrame, k: int = 10) -> DataFrame:
     return real.join(ideal, "q").select("q", (F.col("dcg") / F.col("ideal")).alias("ndcg"), "recall_100")
 
 
-def midranks(rows: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
-    w = Window.partitionBy(*(by or []))
-    ties = F.count(F.lit(1)).over(Window.partitionBy(*(by or []), value))
-    return rows.withColumn("midrank", F.rank().over(w.orderBy(value)) + (ties - 1) / 2)
+def least_golds(searches: DataFrame, rows: DataFrame) -> DataFrame:
+    """(q, id): for each search (id, label) the least other id of its label: two ids of each label are enough to tell."""
+    two = rows.where("label IS NOT NULL").groupBy("label").agg(F.min("id").alias("_first"))
+    rest = rows.join(two, "label").where("id <> _first").groupBy("label").agg(F.min("id").alias("_second"))
+    known = searches.select(F.col("id").alias("q"), "label").join(two, "label").join(rest, "label", "left")
+    return known.select("q", F.when(F.col("q") == F.col("_first"), F.col("_second")).otherwise(F.col("_first")).alias("id")).where("id IS NOT NULL")
+
+
+def ranks_of(searches: DataFrame, golds: DataFrame, rows: DataFrame) -> DataFrame:
+    """(q, rank): one more than the rows, but the search itself, that lie strictly above the search's gold; counted in blocks.
+
+    searches, rows: (id, vec) at unit length; golds: (q, id). Cosines within 1e-12 are equal.
+    """
+    from .pairs import counts_above
+
+    gold = golds.join(rows.select("id", F.col("vec").alias("_g")), "id").select(F.col("q").alias("id"), "_g")
+    asked = searches.join(gold, "id").select("id", "vec", (vec.dot(F.col("vec"), F.col("_g")) + 1e-12).alias("above"))
+    return counts_above(asked, rows).select(F.col("id").alias("q"), (F.col("n") + 1).alias("rank"))
+
+
+def label_hits(searches: DataFrame, rows: DataFrame, near: DataFrame) -> DataFrame:
+    """(q, rank, rel): ranked neighbours near (src, dst, rank) of searches, and whether they have the search's label."""
+    own = searches.select(F.col("id").alias("src"), F.col("label").alias("_ql"))
+    known = near.join(rows.select(F.col("id").alias("dst"), "label"), "dst").join(own, "src")
+    return known.select(F.col("src").alias("q"), F.col("dst").alias("id"), "rank", "cos", (F.col("label") == F.col("_ql")).alias("rel"))
+
+
+def label_golds(searches: DataFrame, rows: DataFrame) -> DataFrame:
+    """(q, n): how many other rows have a search's label; none are left out."""
+    sizes = rows.groupBy("label").agg((F.count(F.lit(1)) - 1).alias("n"))
+    return searches.select(F.col("id").alias("q"), "label").join(sizes, "label").where("n > 0").select("q", "n")
+
+
+def set_recall_of(hits: DataFrame, golds: DataFrame, k: int) -> DataFrame:
+    """set_recall() from hits (q, rank, rel) and the golds' numbers (q, n)."""
+    got = hits.where((F.col("rank") <= k) & F.col("rel")).groupBy("q").agg(F.count(F.lit(1)).alias("h"))
+    share = golds.join(got, "q", "left").select((F.coalesce("h", F.lit(0)) / F.col("n")).alias("share"))
+    return share.agg(F.avg("share").alias("set_recall"), F.avg(F.when(F.col("share") == 1, 1.0).otherwise(0.0)).alias("all_gold"))
+
+
+def ndcg_of(hits: DataFrame, golds: DataFrame, k: int = 10) -> DataFrame:
+    """(q, ndcg, recall_100) of equal gains, from hits (q, rank, rel) of 100 places or more and the golds' numbers (q, n)."""
+    gain = F.when(F.col("rank") <= k, 1 / F.log2(F.col("rank") + F.lit(1.0))).otherwise(0.0)
+    got = hits.where("rel").groupBy("q").agg(F.sum(gain).alias("dcg"), F.sum(F.when(F.col("rank") <= 100, 1).otherwise(0)).alias("h"))
+    ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.col("n"), F.lit(k)).cast("int")), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + F.lit(1.0)))
+    return golds.join(got, "q", "left").select("q", (F.coalesce("dcg", F.lit(0.0)) / ideal).alias("ndcg"), (F.coalesce("h", F.lit(0)) / F.col("n")).alias("recall_100"))
+
+
+def midranks(rows: DataFrame, value: str) -> DataFrame:
+    """rows with midrank, from 1: equal values have the mean of their ranks. Distinct values are ordered, not rows."""
+    counts = rows.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("_n"))
+    ranked = before(counts, [value], "_n", "_b").select(F.col(value).alias("_v"), (F.col("_b") + (F.col("_n") + 1) / 2).alias("midrank"))
+    return rows.join(ranked, F.col(value) == F.col("_v")).drop("_v")
 
 
 def auc(rows: DataFrame, score: str, positive: str) -> DataFrame:
     """One row (auc): chance that a positive row scores above another, ties half. Equal scores are one row first."""
     counts = rows.groupBy(score).agg(F.sum(F.when(F.col(positive), 1.0).otherwise(0.0)).alias("p"), F.sum(F.when(F.col(positive), 0.0).otherwise(1.0)).alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    won = counts.withColumn("w", F.col("p") * (below + F.col("n") / 2))
+    won = before(counts, [score], "n", "b").withColumn("w", F.col("p") * (F.col("b") + F.col("n") / 2))
     return won.agg((F.sum("w") / (F.sum("p") * F.sum("n"))).alias("auc"))
 
 
@@ -66,6 +115,20 @@ def spearman(rows: DataFrame, x: str, y: str) -> DataFrame:
     return midranks(a, y).agg(F.corr("_rx", "midrank").alias("rho"))
 
 
+def permutation_p(pairs: list[tuple[float, float]]) -> tuple[float, float]:
+    """(rho, p): Spearman's rho of a few pairs (9 at most), and the share of all orders with as large an absolute value."""
+    from itertools import permutations
+
+    if len(pairs) > 9:
+        raise ValueError("the exact test takes 9 pairs at most")
+    rank = lambda v: np.array([sum(y < x for y in v) + (sum(y == x for y in v) + 1) / 2 for x in v])
+    a, b = (rank([float(p[i]) for p in pairs]) for i in (0, 1))
+    rho = lambda y: float(np.corrcoef(a, y)[0, 1])
+    own = rho(b)
+    every = [abs(rho(b[list(o)])) >= abs(own) - 1e-12 for o in permutations(range(len(b)))]
+    return own, sum(every) / len(every)
+
+
 def rank_agreement(rows: DataFrame, x: str, y: str, id: str = "id") -> DataFrame:
     """One row (agreement): the share of pairs that both columns order alike. For small tables of results."""
     a = rows.select(F.col(id).alias("i"), F.col(x).alias("xa"), F.col(y).alias("ya"))
@@ -76,8 +139,9 @@ def rank_agreement(rows: DataFrame, x: str, y: str, id: str = "id") -> DataFrame
 
 def cohort(rows: DataFrame, base: str, after: str, share: float, id: str = "id") -> DataFrame:
     """One row: medians before and after of the items with the greatest base values."""
-    n = F.count(F.lit(1)).over(Window.partitionBy())
-    top = rows.withColumn("_r", F.row_number().over(Window.orderBy(F.col(base).desc(), id))).withColumn("_n", n).where(F.col("_r") <= F.ceil(F.col("_n") * share))
+    most = math.ceil(rows.count() * share)
+    slim = rows.select(id, base, after)
+    top = numbered(slim, [F.col(base).desc(), id], "_r").where(F.col("_r") < most)
     return top.agg(F.count(F.lit(1)).alias("n"), F.percentile(base, 0.5).alias("before"), F.percentile(after, 0.5).alias("after"))
 
 
@@ -92,21 +156,22 @@ def mcnemar(rows: DataFrame, before: str, after: str) -> dict:
     return {"fixed": r["fixed"], "broken": r["broken"], "p": numeric.binomial_tail(r["fixed"] or 0, (r["fixed"] or 0) + (r["broken"] or 0))}
 
 
-def bootstrap(values: np.ndarray, spark, reps: int = 10_000, seed: int = 0, clusters: np.ndarray | None = None) -> DataFrame:
-    """(mean, lo, hi): a bounded column's mean with its 95 % interval; clusters are drawn whole. Replicates are spread over tasks."""
-    names, at = np.unique(clusters if clusters is not None else np.arange(len(values)), return_inverse=True)
-    total, size = np.bincount(at, values, len(names)), np.bincount(at, minlength=len(names))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for rep in b["id"]:
-                k = np.random.default_rng([seed, int(rep)]).integers(0, len(names), len(names))
-                out.append(total[k].sum() / size[k].sum())
-            yield pd.DataFrame({"m": out})
-
-    draws = spark.range(0, reps, 1, 16).mapInPandas(run, "m double")
-    return draws.agg(F.lit(float(values.mean())).alias("mean"), F.percentile("m", 0.025).alias("lo"), F.percentile("m", 0.975).alias("hi"))
+def bootstrap(rows: DataFrame, value: str, id: str = "q", reps: int = 10_000, seed: int = 0, cluster: str | None = None) -> DataFrame:
+    """(mean, lo, hi): a column's mean with its 95 % interval over draws with replacement; clusters are drawn whole.
+
+    A draw picks the number that the MD5 of its replicate and place gives, so any engine draws the same.
+    The work is replicates times clusters, in parallel.
+    """
+    key = cluster or id
+    one = rows.groupBy(key).agg(F.sum(value).alias("_s"), F.count(value).alias("_c"))
+    own = kept(numbered(one, [key], "_k").select(F.col("_k").alias("k"), F.col("_s").alias("s"), F.col("_c").alias("c")))
+    n = max(1, own.count())
+    spark = rows.sparkSession
+    draws = spark.range(reps).select(F.col("id").alias("rep"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i"))
+    pick = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "rep", "i")), 1, 12), 16, 10).cast("bigint") % n
+    means = draws.select("rep", pick.alias("k")).join(F.broadcast(own) if n <= 200_000 else own, "k").groupBy("rep").agg((F.sum("s") / F.sum("c")).alias("m"))
+    mean = own.agg((F.sum("s") / F.sum("c")).alias("mean"))
+    return means.agg(F.percentile("m", 0.025).alias("lo"), F.percentile("m", 0.975).alias("hi")).join(F.broadcast(mean)).select("mean", "lo", "hi")
 
 
 def pair_scores(found: DataFrame, gold: DataFrame, thresholds: list[float]) -> DataFrame:

@@ -14,6 +14,16 @@ def graph(rows: DataFrame, k: int) -> DataFrame:
     return top_k(rows, rows, k)
 
 
+def euclidean_graph(rows: DataFrame, k: int) -> DataFrame:
+    """The k nearest by distance between the vectors as given; cos is still the cosine."""
+    from ..functions import vec
+
+    near = top_k(rows, rows, k, euclidean=True).drop("cos")
+    u = rows.select("id", vec.unit(F.col("vec")).alias("u"))
+    both = near.join(u.toDF("src", "p"), "src").join(u.toDF("dst", "q"), "dst")
+    return both.select("src", "dst", vec.dot(F.col("p"), F.col("q")).alias("cos"), "rank")
+
+
 def mutual(edges: DataFrame) -> DataFrame:
     """The edges whose reverse is there too, ranked anew."""
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
@@ -73,3 +83,40 @@ def overlap(a: DataFrame, b: DataFrame, k: int) -> DataFrame:
     x, y = (e.where(F.col("rank") <= k).select("src", "dst") for e in (a, b))
     both = x.join(y, ["src", "dst"]).groupBy("src").agg(F.count(F.lit(1)).alias("n"))
     return x.select("src").distinct().join(both, "src", "left").select(F.col("src").alias("id"), (F.coalesce("n", F.lit(0)) / F.lit(float(k))).alias("share"))
+
+
+def mutual_density(edges: DataFrame, k: int) -> DataFrame:
+    """(id, density): mean cosine to those of the first k that have the node among their own first k; without any, the least density of all."""
+    near = edges.where(F.col("rank") <= k)
+    back = near.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(1).alias("_m"))
+    own = near.join(back, ["src", "dst"], "left").groupBy(F.col("src").alias("id")).agg(F.avg(F.when(F.col("_m") == 1, F.col("cos"))).alias("density"))
+    return own.join(F.broadcast(own.agg(F.coalesce(F.min("density"), F.lit(0.0)).alias("_least")))).select("id", F.coalesce("density", "_least").alias("density"))
+
+
+def greedy_groups(edges: DataFrame, nodes: DataFrame, size: int = 2, most: int = 200_000) -> DataFrame:
+    """(group, place, id): disjoint groups of an anchor and its `size` nearest unused neighbours, anchors by mixed id.
+
+    Which group a node is in depends on all earlier ones, so the graph (bounded: more than `most` nodes
+    is an error) is walked on the driver.
+    """
+    from .sampling import mixed
+
+    order = [r["id"] for r in nodes.select("id", mixed(F.col("id")).alias("h")).orderBy("h", "id").limit(most + 1).collect()]
+    if len(order) > most:
+        raise ValueError(f"more than {most} nodes: sample them first")
+    near: dict = {}
+    for r in edges.orderBy("src", "rank").collect():
+        near.setdefault(r["src"], []).append(r["dst"])
+    used: set = set()
+    out = []
+    for anchor in order:
+        if anchor in used:
+            continue
+        own = [x for x in near.get(anchor, []) if x not in used][:size]
+        if len(own) < size:
+            continue
+        used.update([anchor, *own])
+        number = len(out) // (size + 1)
+        out += [(number, place, x) for place, x in enumerate([anchor, *own])]
+    kind = nodes.schema["id"].dataType.simpleString()
+    return nodes.sparkSession.createDataFrame(out, f"group int, place int, id {kind}")

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import numeric, vec
 from .moments import Moments
@@ -30,14 +30,15 @@ def grid(spark: SparkSession, lo: float, hi: float, points: int, name: str = "t"
 
 
 def exceedance(pairs: DataFrame, at: DataFrame) -> DataFrame:
-    """(k, t, share): of pairs with cos >= t. Pairs are counted into the grid's cells first."""
+    """(k, t, share): of pairs with cos >= t. Pairs are counted into the grid's cells in one pass."""
     points = [(r["k"], r["t"]) for r in at.orderBy("t").collect()]
-    n_below = sum((F.col("cos") >= t).cast("int") for _, t in points)
-    cells = pairs.select(n_below.alias("m")).groupBy("m").agg(F.count(F.lit(1)).alias("n"))
-    all_ = pairs.agg(F.count(F.lit(1)).alias("all"))
-    order = at.withColumn("rank", F.row_number().over(Window.orderBy("t")))
-    hit = order.join(F.broadcast(cells), F.col("m") >= F.col("rank"), "left").groupBy("k", "t").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
-    return hit.join(F.broadcast(all_)).select("k", "t", (F.col("n") / F.col("all")).alias("share"))
+    steps = np.array([t for _, t in points])
+    below = F.aggregate(F.array(*(F.lit(float(t)) for t in steps)), F.lit(0), lambda m, t: m + F.when(F.col("cos") >= t, 1).otherwise(0))
+    counts = np.zeros(len(points) + 1)
+    for r in pairs.select(below.alias("m")).groupBy("m").agg(F.count(F.lit(1)).alias("n")).collect():  # one row for each cell
+        counts[r["m"]] = r["n"]
+    share = counts[::-1].cumsum()[::-1][1:] / max(1.0, counts.sum())
+    return at.sparkSession.createDataFrame([(k, float(t), float(s)) for (k, t), s in zip(points, share, strict=True)], "k bigint, t double, share double")
 
 
 def collisions(pairs: DataFrame, n: Column | int, sigmas: list[float]) -> DataFrame:
@@ -47,9 +48,15 @@ def collisions(pairs: DataFrame, n: Column | int, sigmas: list[float]) -> DataFr
     return long.groupBy("sigma").agg(((F.lit(n) - 1) * F.avg("phi")).alias("expected"))
 
 
-def structured_collisions(pairs: DataFrame, variance: Column, distance: Column) -> DataFrame:
-    """pairs with phi under noise of any covariance: variance is that along the pair's direction."""
-    return pairs.withColumn("phi", vec.normal_cdf(-(distance * distance / 2) / F.sqrt(variance)))
+def structured_collisions(pairs: DataFrame, covariance: np.ndarray) -> DataFrame:
+    """pairs (va, vb, ...) with phi, the confusion under Gaussian noise of that covariance S: with u = vb - va
+    the normal distribution at -(u'u / 2) / sqrt(u'Su)."""
+    u = F.zip_with("vb", "va", lambda a, b: a - b)
+    rows = F.array(*(F.array(*(F.lit(float(x)) for x in r)) for r in covariance))
+    own = pairs.withColumn("_u", u)
+    su = F.transform(rows, lambda r: vec.dot(r, F.col("_u")))
+    var = F.greatest(vec.dot(F.col("_u"), su), F.lit(1e-30))
+    return own.withColumn("phi", vec.normal_cdf(-(vec.dot(F.col("_u"), F.col("_u")) / 2) / F.sqrt(var))).drop("_u")
 
 
 def cosines(pairs: DataFrame) -> np.ndarray:
@@ -61,18 +68,30 @@ def resolution(cos: np.ndarray, n: int, wanted: float = 1.0) -> float:
     return numeric.resolution(cos, n, wanted)
 
 
+def _tasks(spark: SparkSession, reps: int) -> int:
+    return max(1, min(reps, 2 * spark.sparkContext.defaultParallelism))
+
+
 def null_curves(spark: SparkSession, fit: Moments, pairs: int, at: np.ndarray, reps: int, kind: str = "fitted", seed: int = 0) -> DataFrame:
     """(rep, mean_chord, curve): replicates of a null, each a task's work. kind: "uniform", "spectrum" (mean zero) or "fitted"."""
-    mean, cov, d = (fit.mean if kind == "fitted" else 0 * fit.mean), fit.cov, fit.dim
+    mean, d = (fit.mean if kind == "fitted" else 0 * fit.mean), fit.dim
+    root = None if kind == "uniform" else numeric.square_root(fit.cov)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for rep in b["id"]:
                 random = np.random.default_rng([seed, int(rep)])
-                c = numeric.sphere_cosines(d, pairs, random) if kind == "uniform" else numeric.fitted_cosines(mean, cov, pairs, random)
+                c = numeric.sphere_cosines(d, pairs, random) if kind == "uniform" else numeric.fitted_cosines(mean, root, pairs, random)
                 yield pd.DataFrame({"rep": [rep], "mean_chord": [numeric.mean_chord(c)], "curve": [numeric.exceedance(c, at).tolist()]})
 
-    return spark.range(0, reps, 1, min(reps, 64)).mapInPandas(run, "rep bigint, mean_chord double, curve array<double>")
+    return spark.range(0, reps, 1, _tasks(spark, reps)).mapInPandas(run, "rep bigint, mean_chord double, curve array<double>")
+
+
+def density(values: DataFrame, value: str, at: list[float], width: Column, by: list[str] = ()) -> DataFrame:
+    """(by ..., x, density): the mean of Gaussian kernels at each x; width: a column of the rows."""
+    x = values.select(*by, value, width.alias("_w"), F.explode(F.array(*map(F.lit, at))).alias("x"))
+    z = (F.col("x") - F.col(value)) / F.col("_w")
+    return x.groupBy(*by, "x").agg(F.avg(F.exp(-z * z / 2) / (F.col("_w") * math.sqrt(2 * math.pi))).alias("density"))
 
 
 def envelope(curves: DataFrame) -> DataFrame:
@@ -100,11 +119,10 @@ def refit_bootstrap(spark: SparkSession, cos: np.ndarray, fit: Moments, at: floa
     mean, cov, pairs, n = fit.mean, fit.cov, len(cos), min(rows, max(2, fit.n))
 
     def excess(c: np.ndarray, mu: np.ndarray, sigma: np.ndarray, random: np.random.Generator) -> float:
-        return float((c >= at).mean() - (numeric.fitted_cosines(mu, sigma, pairs, random) >= at).mean())
+        return float((c >= at).mean() - (numeric.fitted_cosines(mu, numeric.square_root(sigma), pairs, random) >= at).mean())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        values, vectors = np.linalg.eigh(cov)
-        root = vectors * np.sqrt(np.clip(values, 0, None))
+        root = numeric.square_root(cov)
         for b in batches:
             out = []
             for rep in b["id"]:
@@ -117,5 +135,5 @@ def refit_bootstrap(spark: SparkSession, cos: np.ndarray, fit: Moments, at: floa
             yield pd.DataFrame({"e": out})
 
     own = excess(cos, mean, cov, np.random.default_rng([seed, reps]))
-    more = spark.range(0, reps, 1, min(reps, 64)).mapInPandas(run, "e double").where(F.col("e") >= own).count()
+    more = spark.range(0, reps, 1, _tasks(spark, reps)).mapInPandas(run, "e double").where(F.col("e") >= own).count()
     return own, (1 + more) / (1 + reps), reps

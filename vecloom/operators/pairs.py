@@ -90,6 +90,16 @@ def sums(left: DataFrame, right: DataFrame, of: Callable[[np.ndarray], np.ndarra
     return grid(left.select("id", "vec"), right, add, f"id {kind}{extra}, total double, n bigint", block).groupBy(*keys).agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
 
 
+def counts_above(left: DataFrame, right: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(id, n): for each row (id, vec, above) of left the rows of right, itself not counted, whose cosine is greater than `above`."""
+
+    def count(x: pd.DataFrame, y: pd.DataFrame, cos: np.ndarray) -> pd.DataFrame:
+        over = (cos > x["above"].to_numpy()[:, None]) & (x["id"].to_numpy()[:, None] != y["id"].to_numpy()[None, :])
+        return pd.DataFrame({"id": x["id"], "n": over.sum(axis=1)})
+
+    return grid(left, right.select("id", "vec"), count, f"id {_ids(left)}, n bigint", block).groupBy("id").agg(F.sum("n").alias("n"))
+
+
 def at_least(rows: DataFrame, cosine: float, block: int = BLOCK) -> DataFrame:
     """(a, b, cos), a < b: the pairs of that cosine or more."""
     kind = _ids(rows)

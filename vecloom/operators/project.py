@@ -51,18 +51,30 @@ def hot(counts: DataFrame, share: float) -> DataFrame:
     return counts.join(F.broadcast(cut)).withColumn("hot", F.col("n") >= F.col("_q")).drop("_q")
 
 
-def hexagons(points: DataFrame, width: float) -> DataFrame:
-    """(q, r, n): counts by the nearest centre of a hexagonal lattice with that spacing, of points in the unit box."""
+def _hexagon(width: float) -> tuple:
+    """The centre (q, r) that is nearest to (x, y): of the two candidate rows of centres the nearer one has it."""
     h = width * math.sqrt(3) / 2
-    b = boxed(points, ["x", "y"])
-    # the two candidate rows of centres; the nearer one has the point
-    a_r = F.rint(F.col("y") / (2 * h))
-    a_q = F.rint(F.col("x") / width)
-    b_r = F.floor(F.col("y") / (2 * h)) + 0.5
-    b_q = F.floor(F.col("x") / width) + 0.5
+    a_r, a_q = F.rint(F.col("y") / (2 * h)), F.rint(F.col("x") / width)
+    b_r, b_q = F.floor(F.col("y") / (2 * h)) + 0.5, F.floor(F.col("x") / width) + 0.5
     d = lambda q, r: (F.col("x") - q * width) ** 2 + (F.col("y") - r * 2 * h) ** 2
     first = d(a_q, a_r) <= d(b_q, b_r)
-    return b.select(F.when(first, a_q).otherwise(b_q).alias("q"), F.when(first, a_r).otherwise(b_r).alias("r")).groupBy("q", "r").agg(F.count(F.lit(1)).alias("n"))
+    return F.when(first, a_q).otherwise(b_q), F.when(first, a_r).otherwise(b_r)
+
+
+def hexagons(points: DataFrame, width: float) -> DataFrame:
+    """(q, r, n): counts by the nearest centre of a hexagonal lattice with that spacing, of points in the unit box."""
+    q, r = _hexagon(width)
+    return boxed(points, ["x", "y"]).groupBy(q.alias("q"), r.alias("r")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def shifted_hexagons(points: DataFrame, width: float) -> DataFrame:
+    """(q, r, mean, own): hexagons() averaged over nine lattices shifted by thirds of its periods."""
+    b = boxed(points, ["x", "y"])
+    thirds = F.explode(F.array(*map(F.lit, range(3))))
+    moved = b.select("x", "y", thirds.alias("a")).select("*", thirds.alias("b"))
+    at = moved.select((F.col("x") + F.col("a") * width / 3).alias("x"), (F.col("y") + F.col("b") * width * math.sqrt(3) / 3).alias("y"), ((F.col("a") == 0) & (F.col("b") == 0)).alias("own"))
+    q, r = _hexagon(width)
+    return at.groupBy(q.alias("q"), r.alias("r")).agg((F.count(F.lit(1)) / 9.0).alias("mean"), F.max("own").alias("own"))
 
 
 def blurred(counts: DataFrame, sizes: tuple[int, int]) -> DataFrame:

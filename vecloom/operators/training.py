@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import vec
+from .order import numbered
 from .sampling import mixed
 
 
@@ -20,17 +21,22 @@ def pair_table(rows: DataFrame) -> DataFrame:
     return up.union(up.select("j", "i", "cos"))
 
 
-def batched_pairs(rows: DataFrame, size: int) -> DataFrame:
-    """(batch, i, j, cos) of all ordered pairs of every batch of unit rows: batch k holds the ids from k * size to (k + 1) * size - 1."""
+def batched_pairs(rows: DataFrame, size: int, part: str | None = None) -> DataFrame:
+    """(batch[, part], i, j, cos) of all ordered pairs of every batch of unit rows: batch k holds the ids from k * size to (k + 1) * size - 1.
+
+    part: a boolean column that divides every batch in two.
+    """
     kind = rows.schema["id"].dataType.simpleString()
+    keys = ["batch"] + ([part] if part else [])
 
     def pairs(x: pd.DataFrame) -> pd.DataFrame:
         v, id = np.stack(x["vec"].to_list()), x["id"].to_numpy()
         i, j = np.nonzero(id[:, None] != id[None, :])
-        return pd.DataFrame({"batch": x["batch"].iloc[0], "i": id[i], "j": id[j], "cos": (v @ v.T)[i, j]})
+        return pd.DataFrame({**{k: x[k].iloc[0] for k in keys}, "i": id[i], "j": id[j], "cos": (v @ v.T)[i, j]})
 
-    dealt = rows.select(F.floor(F.col("id") / size).cast("bigint").alias("batch"), "id", "vec")
-    return dealt.groupBy("batch").applyInPandas(pairs, f"batch bigint, i {kind}, j {kind}, cos double")
+    dealt = rows.select(F.floor(F.col("id") / size).cast("bigint").alias("batch"), *keys[1:], "id", "vec")
+    extra = f"{part} boolean, " if part else ""
+    return dealt.groupBy(*keys).applyInPandas(pairs, f"batch bigint, {extra}i {kind}, j {kind}, cos double")
 
 
 def batched_edges(pairs: DataFrame) -> DataFrame:
@@ -80,7 +86,7 @@ def confusable_negatives(pairs: DataFrame, guard: DataFrame, lo: float, hi: floa
     if lo >= hi:
         raise ValueError("the window's lower end must be below its upper end")
     kept = pairs.where(F.col("cos").between(lo, hi)).join(guard, ["i", "j"], "left_anti")
-    order = Window.partitionBy("i").orderBy(mixed(F.col("j"), pairs.schema["j"].dataType), "j")
+    order = Window.partitionBy("i").orderBy(mixed(F.col("j")), "j")
     return kept.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= each).drop("_r")
 
 
@@ -90,9 +96,27 @@ def hard_negatives(near: DataFrame, gold: DataFrame, each: int) -> DataFrame:
     return near.join(gold, ["q", "id"], "left_anti").withColumn("rank", r).where(F.col("rank") <= each)
 
 
+def first_wrong(hits: DataFrame, each: int) -> DataFrame:
+    """(q, id, rank): the nearest of hits (q, id, cos, rel) that aren't relevant, ranked anew."""
+    r = F.row_number().over(Window.partitionBy("q").orderBy(F.col("cos").desc(), "id"))
+    return hits.where("NOT rel").withColumn("rank", r).where(F.col("rank") <= each)
+
+
+def other_groups(rows: DataFrame, each: int) -> DataFrame:
+    """(q, id, text): for every group q the `each` rows of least id of other groups.
+
+    They are among the `each` least of each group, so only those meet.
+    """
+    r = F.row_number().over(Window.partitionBy("q").orderBy("id", "text"))
+    least = rows.where("q IS NOT NULL").withColumn("_r", r).where(F.col("_r") <= each).drop("_r")
+    met = rows.where("q IS NOT NULL").select("q").distinct().join(least.withColumnRenamed("q", "_o"), F.col("q") != F.col("_o"))
+    again = F.row_number().over(Window.partitionBy("q").orderBy("id", "text"))
+    return met.withColumn("_r", again).where(F.col("_r") <= each).select("q", "id", "text")
+
+
 def training_rows(positives: DataFrame, negatives: DataFrame, n_positive: int = 3, n_negative: int = 5) -> DataFrame:
     """(q, anchor, positives, negatives, gold_numbers): ordered, cut, the last one repeated to fill."""
-    numbers = positives.select("id").distinct().withColumn("number", (F.row_number().over(Window.orderBy("id")) - 1).cast("bigint"))
+    numbers = numbered(positives.select("id").distinct(), ["id"], "number")
 
     def gathered(x: DataFrame, what: str, n: int, name: str) -> DataFrame:
         r = F.row_number().over(Window.partitionBy("q").orderBy("id", what))  # cut before they are gathered: a q may have any number of rows

@@ -2,21 +2,43 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """Write df to the folder of spark.checkpoint.dir and read it back; a folder of our own only where it is unset."""
-    spark = df.sparkSession
+def folder(spark: SparkSession) -> str:
+    """A new folder in that of spark.checkpoint.dir; in one of our own only where it is unset."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         at = os.path.join(tempfile.gettempdir(), f"vecloom-{os.getuid()}-{os.getpid()}")
     path = f"{at.rstrip('/')}/kept-{uuid.uuid4().hex}"
+    _made.add(path)
+    return path
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """Write df to a folder() and read it back; the files go when the driver ends."""
+    spark = df.sparkSession
+    path = folder(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+_made: set[str] = set()
+
+
+@atexit.register
+def _delete_all() -> None:
+    spark = SparkSession.getActiveSession()
+    for path in list(_made) if spark is not None else []:
+        try:
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        except Exception:  # noqa: BLE001  the JVM may be gone; the folder's owner then cleans it
+            return
