@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import evaluation, geometry, profile, texts
+from . import corpus, evaluation, geometry, profile, studies, texts
 from .registered import QUERIES, SQL
 
-assert evaluation and geometry and profile and texts  # importing them fills the catalogue
+assert corpus and evaluation and geometry and profile and studies and texts  # importing them fills the catalogue
 
 __all__ = ["QUERIES", "SQL"]

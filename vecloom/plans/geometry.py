@@ -11,9 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions import vec
 from ..operators import compare, neighbours, project, sampling, schema
-from ..operators.moments import moments
-from .profile import sampled
-from .registered import NEAR, UNIT, query, r6, raw, unit
+from . import context
+from .registered import NEAR, UNIT, query, r6, raw, table, unit
 
 
 def first(spark, sf_dir):
@@ -22,8 +21,7 @@ def first(spark, sf_dir):
 
 
 def axes(spark, sf_dir):
-    u = unit(spark, sf_dir)
-    return project.pca(u, moments(u), 3)
+    return context.once(spark, sf_dir, "axes", lambda: project.pca(context.units(spark, sf_dir), context.fit(spark, sf_dir, True), 3))
 
 
 _XYZ = f"WITH {UNIT}, xyz AS (SELECT id, v[1] AS x, v[2] AS y, v[3] AS z FROM e), b AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1, min(z) AS z0, max(z) AS z1 FROM xyz), n AS (SELECT id, (x - x0) / (x1 - x0) AS x, (y - y0) / (y1 - y0) AS y, (z - z0) / (z1 - z0) AS z FROM xyz, b)"
@@ -48,11 +46,17 @@ def voxels(spark, sf_dir):
     return project.cells(first(spark, sf_dir), ["x", "y", "z"], [9, 9, 9])
 
 
-@query("hexagons", f"""{_XYZ}, c AS (SELECT x, y, round_even(y / (0.05::DOUBLE * sqrt(3)), 0) AS ar, round_even(x / 0.05::DOUBLE, 0) AS aq, floor(y / (0.05::DOUBLE * sqrt(3))) + 0.5::DOUBLE AS br, floor(x / 0.05::DOUBLE) + 0.5::DOUBLE AS bq FROM n),
-    d AS (SELECT *, power(x - aq * 0.05::DOUBLE, 2) + power(y - ar * 0.05::DOUBLE * sqrt(3), 2) <= power(x - bq * 0.05::DOUBLE, 2) + power(y - br * 0.05::DOUBLE * sqrt(3), 2) AS f FROM c)
-    SELECT CASE WHEN f THEN aq ELSE bq END AS q, CASE WHEN f THEN ar ELSE br END AS r, count(*) AS n FROM d GROUP BY 1, 2""")
+_HEX = 0.05
+_SHIFTS = [(i, j) for i in range(3) for j in range(3)]
+
+
+@query("hexagons", f"""{_XYZ}, o AS (SELECT a, b, x + a * {_HEX}::DOUBLE / 3 AS x, y + b * {_HEX}::DOUBLE * sqrt(3) / 3 AS y FROM n, range(3) s(a), range(3) t(b)),
+    c AS (SELECT *, round_even(y / ({_HEX}::DOUBLE * sqrt(3)), 0) AS ar, round_even(x / {_HEX}::DOUBLE, 0) AS aq, floor(y / ({_HEX}::DOUBLE * sqrt(3))) + 0.5::DOUBLE AS br, floor(x / {_HEX}::DOUBLE) + 0.5::DOUBLE AS bq FROM o),
+    d AS (SELECT *, power(x - aq * {_HEX}::DOUBLE, 2) + power(y - ar * {_HEX}::DOUBLE * sqrt(3), 2) <= power(x - bq * {_HEX}::DOUBLE, 2) + power(y - br * {_HEX}::DOUBLE * sqrt(3), 2) AS f FROM c)
+    SELECT CASE WHEN f THEN aq ELSE bq END AS q, CASE WHEN f THEN ar ELSE br END AS r, round(count(*) / 9.0::DOUBLE, 6) AS mean, max(CASE WHEN a = 0 AND b = 0 THEN 1 ELSE 0 END) = 1 AS own FROM d GROUP BY 1, 2""")
 def hexagons(spark, sf_dir):
-    return project.hexagons(first(spark, sf_dir), 0.05)
+    """Mean counts over nine lattices shifted by thirds; own: whether the lattice in place has points there."""
+    return project.shifted_hexagons(first(spark, sf_dir), _HEX).select("q", "r", r6("mean").alias("mean"), "own")
 
 
 @query("grid_blurred", f"""{_XYZ}, g AS (SELECT {_cell('x', 12)}, {_cell('y', 10)}, count(*) AS n FROM n GROUP BY 1, 2), s AS (SELECT cx + dx AS cx, cy + dy AS cy, n FROM g, (SELECT unnest([-1, 0, 1]) AS dx), (SELECT unnest([-1, 0, 1]) AS dy))
@@ -130,7 +134,11 @@ def pca_contours(spark, sf_dir):
     return spark.createDataFrame(rows, "level double, x0 double, y0 double, x1 double, y1 double")
 
 
-@query("voxel_gap")
+_VOXELS = f"{_XYZ}, g AS (SELECT {_cell('x', 9)}, {_cell('y', 9)}, {_cell('z', 9)}, count(*) AS n FROM n GROUP BY 1, 2, 3)"
+_GAPS = " UNION ALL ".join(f"SELECT lead({a}) OVER (PARTITION BY {b}, {c} ORDER BY {a}) - {a} - 1 AS gap FROM g" for a, b, c in (("cx", "cy", "cz"), ("cy", "cx", "cz"), ("cz", "cx", "cy")))
+
+
+@query("voxel_gap", f"{_VOXELS}, h AS ({_GAPS}) SELECT round((SELECT count(*) FROM g) / 729.0::DOUBLE, 6) AS occupied, CAST((SELECT max(n) FROM g) AS INTEGER) AS hottest, CAST(coalesce(max(gap), 0) AS INTEGER) AS longest_gap FROM h")
 def voxel_gap(spark, sf_dir):
     """The share of voxels in use, the fullest one, and the longest run of empty ones between two in use."""
     rows = voxels(spark, sf_dir).collect()
@@ -142,14 +150,14 @@ def voxel_gap(spark, sf_dir):
         for line in np.moveaxis(g, axis, 2).reshape(-1, 9):
             used = np.flatnonzero(line)
             longest = max([longest, *(np.diff(used) - 1)]) if len(used) > 1 else longest
-    return spark.createDataFrame([(len(rows) / 729, int(g.max()), int(longest))], "occupied double, hottest int, longest_gap int")
+    return spark.createDataFrame([(round(len(rows) / 729, 6), int(g.max()), int(longest))], "occupied double, hottest int, longest_gap int")
 
 
 @query("knn_bridges")
 def knn_bridges(spark, sf_dir):
     """Components of the neighbour graph and sampled betweenness of its nodes."""
-    x = sampled(spark, sf_dir)
-    e = neighbours.undirected(neighbours.graph(x, 6))
+    x = context.units(spark, sf_dir)
+    e = neighbours.undirected(context.graph(spark, sf_dir, 6))
     score = project.betweenness([tuple(r) for r in e.collect()], [r["id"] for r in x.select("id").collect()], 60)
     table = spark.createDataFrame([(k, float(v)) for k, v in score.items()], "id bigint, betweenness double")
     return project.graph_components(e, x).join(table, "id")
@@ -168,10 +176,18 @@ def near_dup_groups(spark, sf_dir):
 
 
 def other(spark, sf_dir):
+    """The second embedding: `compare` of the folder if there is one, else the first with its dimensions turned."""
+    if context.exists(spark, f"{sf_dir}/compare.parquet"):
+        second = schema.vectors(table(spark, sf_dir, "compare"), schema.Columns("embedding", "vec_id", "label"))
+        return schema.unit(second)
     turned = F.concat(F.slice("vec", 2, F.size("vec") - 1), F.slice("vec", 1, 1))
     return unit(spark, sf_dir).withColumn("vec", F.transform(F.zip_with("vec", turned, lambda a, b: a + 0.3 * b), lambda x: x)).withColumn("vec", vec.unit(F.col("vec")))
 
 
+def other_graph(spark, sf_dir):
+    return context.once(spark, sf_dir, "other10", lambda: neighbours.graph(other(spark, sf_dir), 10))
+
+
 def cut(spark, sf_dir):
     return raw(spark, sf_dir).withColumn("vec", vec.truncate(F.col("vec"), 48))
 
@@ -205,8 +221,7 @@ _NEAR2 = f"WITH {_TWO}, pa AS (SELECT x.id AS i, y.id AS j, row_number() OVER (P
 
 @query("cmp_overlap", f"{_NEAR2} SELECT pa.i AS id, round(count(pb.j) / 10.0::DOUBLE, 6) AS share FROM pa LEFT JOIN pb ON pa.i = pb.i AND pa.j = pb.j AND pb.r <= 10 WHERE pa.r <= 10 GROUP BY 1")
 def cmp_overlap(spark, sf_dir):
-    a, b = (neighbours.graph(sampling.sample(x), 10) for x in (unit(spark, sf_dir), other(spark, sf_dir)))
-    return neighbours.overlap(a, b, 10).select("id", r6("share").alias("share"))
+    return neighbours.overlap(context.graph(spark, sf_dir, 10), other_graph(spark, sf_dir), 10).select("id", r6("share").alias("share"))
 
 
 _CKA = f"""WITH {UNIT}, l AS (SELECT id, unnest(range(len(v))) AS pos, unnest(v) AS x FROM u), m AS (SELECT id, unnest(range(48)) AS pos, unnest(list_transform(v[1:48], lambda x: x / sqrt(list_dot_product(v[1:48], v[1:48])))) AS x FROM e),
@@ -224,23 +239,56 @@ def cmp_cka_linear(spark, sf_dir):
     (SELECT sum(CASE WHEN x.id = y.id THEN 0 ELSE sqrt(greatest(2 - 2 * list_dot_product(x.v, y.v), 0)) END) / count(*) FROM u x, u y) AS xx, (SELECT sum(CASE WHEN x.id = y.id THEN 0 ELSE sqrt(greatest(2 - 2 * list_dot_product(x.v, y.v), 0)) END) / count(*) FROM b x, b y) AS yy)
     SELECT round(greatest(2 * xy - xx - yy, 0), 6) AS energy FROM d""")
 def cmp_energy(spark, sf_dir):
-    return compare.energy(sampling.sample(unit(spark, sf_dir)), sampling.sample(other(spark, sf_dir))).select(r6("energy").alias("energy"))
+    return compare.energy(context.units(spark, sf_dir), other(spark, sf_dir)).select(r6("energy").alias("energy"))
+
+
+_KERNELS = f"""WITH {_TWO}, x AS MATERIALIZED (SELECT p.id AS i, q.id AS j, list_sum(list_transform(list_zip(p.v, q.v), lambda z: power(z[1] - z[2], 2))) AS d FROM u p, u q), y AS MATERIALIZED (SELECT p.id AS i, q.id AS j, list_sum(list_transform(list_zip(p.v, q.v), lambda z: power(z[1] - z[2], 2))) AS d FROM b p, b q), z AS MATERIALIZED (SELECT p.id AS i, q.id AS j, list_sum(list_transform(list_zip(p.v, q.v), lambda z: power(z[1] - z[2], 2))) AS d FROM u p, b q),
+    sx AS (SELECT quantile_cont(d, 0.5) AS s FROM x WHERE i < j), sy AS (SELECT quantile_cont(d, 0.5) AS s FROM y WHERE i < j), sz AS (SELECT quantile_cont(d, 0.5) AS s FROM (SELECT d FROM x WHERE i < j UNION ALL SELECT d FROM y WHERE i < j UNION ALL SELECT d FROM z)),
+    kx AS (SELECT i, j, exp(-d / (2 * s)) AS k FROM x, sx), ky AS (SELECT i, j, exp(-d / (2 * s)) AS k FROM y, sy),
+    cx AS (SELECT i, j, k - avg(k) OVER (PARTITION BY i) - avg(k) OVER (PARTITION BY j) + avg(k) OVER () AS k FROM kx), cy AS (SELECT i, j, k - avg(k) OVER (PARTITION BY i) - avg(k) OVER (PARTITION BY j) + avg(k) OVER () AS k FROM ky), n AS (SELECT count(*) AS n FROM u)
+    SELECT round((SELECT sum(a.k * b.k) / sqrt(sum(a.k * a.k) * sum(b.k * b.k)) FROM cx a JOIN cy b USING (i, j)), 6) AS rbf_cka,
+    round((SELECT sum(exp(-d / (2 * s))) FROM x, sz WHERE i <> j) / (n * (n - 1.0::DOUBLE)) + (SELECT sum(exp(-d / (2 * s))) FROM y, sz WHERE i <> j) / (n * (n - 1.0::DOUBLE)) - 2 * (SELECT avg(exp(-d / (2 * s))) FROM z, sz), 6) AS mmd FROM n"""
+
+
+@query("cmp_kernels", _KERNELS)
+def cmp_kernels(spark, sf_dir):
+    """Kernel scores; of more than 8192 items a sample, as the kernels are held on the driver."""
+    x, y = compare.matrices(compare.align(unit(spark, sf_dir), other(spark, sf_dir)))
+    return spark.createDataFrame([(compare.rbf_cka(x, y), compare.mmd(x, y))], "rbf_cka double, mmd double").select(r6("rbf_cka").alias("rbf_cka"), r6("mmd").alias("mmd"))
 
 
 @query("cmp_scores")
 def cmp_scores(spark, sf_dir):
-    """Kernel scores on a bounded sample, and the rotation's residual."""
+    """The scorecard: agreement of kernels and of the rotation, each from 0 to 1."""
     both = compare.align(unit(spark, sf_dir), other(spark, sf_dir))
-    x, y = compare.matrices(both, 2000)
-    return spark.createDataFrame([(compare.block_cka(both), compare.rbf_cka(x, y), compare.mmd(x, y), compare.procrustes(both))], "cka double, rbf_cka double, mmd double, procrustes double")
+    x, y = compare.matrices(both)
+    card = (compare.block_cka(both), compare.rbf_cka(x, y), 1 - min(1.0, max(0.0, compare.mmd(x, y))), 1 - min(1.0, max(0.0, compare.procrustes(both) / 2)))
+    return spark.createDataFrame([card], "cka double, rbf_cka double, mmd_card double, procrustes_card double")
 
 
-@query("cmp_drift_grid", f"{_XYZ}, l AS (SELECT n.x, n.y, e.v[4] AS d FROM n JOIN e USING (id)) SELECT {_cell('x', 30)}, {_cell('y', 30)}, count(*) AS n, round(avg(d), 6) AS drift FROM l GROUP BY 1, 2")
+@query("cmp_drift_grid", f"WITH {_TWO}, xy AS (SELECT u.id, u.v[1] AS x, u.v[2] AS y, b.v[1] - u.v[1] AS dx, b.v[2] - u.v[2] AS dy, list_distance(u.v, b.v) AS d FROM u JOIN b USING (id)), m AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM xy), n AS (SELECT id, (x - x0) / (x1 - x0) AS x, (y - y0) / (y1 - y0) AS y, d, dx, dy FROM xy, m), g AS (SELECT {_cell('x', 30)}, {_cell('y', 30)}, count(*) AS n, avg(d) AS drift, avg(dx) AS dx, avg(dy) AS dy FROM n GROUP BY 1, 2), q AS (SELECT quantile_cont(drift, 0.6) AS q60, quantile_cont(drift, 0.95) AS q95 FROM g) SELECT cx, cy, n, round(drift, 6) AS drift, round(dx, 6) AS dx, round(dy, 6) AS dy, drift >= q60 AS over60, drift >= q95 AS over95 FROM g, q")
 def cmp_drift_grid(spark, sf_dir):
-    """The mean of a value over the cells of a plane; the value here is the fourth dimension."""
-    p = project.boxed(raw(spark, sf_dir).select(F.col("vec")[0].alias("x"), F.col("vec")[1].alias("y"), F.col("vec")[3].alias("d")), ["x", "y"])
-    at = [F.least(F.floor(F.col(c) * 30), F.lit(29)).cast("bigint").alias(f"c{c}") for c in "xy"]
-    return p.groupBy(*at).agg(F.count(F.lit(1)).alias("n"), r6(F.avg("d")).alias("drift"))
+    """Mean drift and its mean arrow over the cells of the first set's plane, with the cells at or above two quantiles."""
+    both = compare.align(unit(spark, sf_dir), other(spark, sf_dir))
+    far = compare.drift(both).select("id", F.col("drift").alias("d"))
+    at = both.select("id", F.col("va")[0].alias("x"), F.col("va")[1].alias("y"), (F.col("vb")[0] - F.col("va")[0]).alias("dx"), (F.col("vb")[1] - F.col("va")[1]).alias("dy")).join(far, "id")
+    g = compare.drift_cells(project.boxed(at, ["x", "y"]), 30)
+    return g.select("cx", "cy", "n", r6("drift").alias("drift"), r6("dx").alias("dx"), r6("dy").alias("dy"), "over60", "over95")
+
+
+@query("cmp_overlap_hist", f"{_NEAR2}, o AS (SELECT pa.i AS id, count(pb.j) / 10.0::DOUBLE AS share FROM pa LEFT JOIN pb ON pa.i = pb.i AND pa.j = pb.j AND pb.r <= 10 WHERE pa.r <= 10 GROUP BY 1) SELECT CAST(least(floor(share * 26), 25) AS INTEGER) AS bin, count(*) AS n FROM o GROUP BY 1")
+def cmp_overlap_hist(spark, sf_dir):
+    """The items by the share of neighbours that both sets have, in 26 bins."""
+    share = neighbours.overlap(context.graph(spark, sf_dir, 10), other_graph(spark, sf_dir), 10)
+    return share.groupBy(F.least(F.floor(F.col("share") * 26), F.lit(25)).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("cmp_overlap_by_k", f"{_NEAR2} SELECT k, round(CAST(count(pb.j) AS DOUBLE) / (k * count(DISTINCT pa.i)), 6) AS share FROM (SELECT unnest([1, 2, 5, 10]) AS k) JOIN pa ON pa.r <= k LEFT JOIN pb ON pa.i = pb.i AND pa.j = pb.j AND pb.r <= k GROUP BY k")
+def cmp_overlap_by_k(spark, sf_dir):
+    """The mean share for several numbers of neighbours."""
+    a, b = context.graph(spark, sf_dir, 10), other_graph(spark, sf_dir)
+    parts = [neighbours.overlap(a, b, k).agg(r6(F.avg("share")).alias("share")).select(F.lit(k).alias("k"), "share") for k in (1, 2, 5, 10)]
+    return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
 
 
 @query("wide_columns", f"WITH {UNIT} SELECT id, round(sqrt(v[1] * v[1] + v[2] * v[2]), 6) AS norm FROM e")
@@ -255,7 +303,7 @@ assert NEAR
 
 @query("knn_mesh", f"WITH {NEAR}, m AS (SELECT least(i, j) AS a, greatest(i, j) AS b, min(greatest(1 - c, 1e-6)) AS d FROM k WHERE r <= 6 GROUP BY 1, 2), g AS (SELECT a AS id FROM m UNION ALL SELECT b FROM m) SELECT (SELECT count(*) FROM m) AS edges, round((SELECT max(d) FROM m), 6) AS longest, (SELECT max(n) FROM (SELECT count(*) AS n FROM g GROUP BY id)) AS hub_degree")
 def knn_mesh(spark, sf_dir):
-    e = neighbours.undirected(neighbours.graph(sampled(spark, sf_dir), 6))
+    e = neighbours.undirected(context.graph(spark, sf_dir, 6))
     ends = e.select(F.col("a").alias("id")).union(e.select("b")).groupBy("id").count()
     return e.agg(F.count(F.lit(1)).alias("edges"), r6(F.max("dist")).alias("longest")).join(ends.agg(F.max("count").alias("hub_degree")))
 
@@ -274,7 +322,7 @@ def cmp_shift(spark, sf_dir):
 
     out = None
     for side, rows in (("a", unit(spark, sf_dir)), ("b", other(spark, sf_dir))):
-        s = occupancy.summary(sampling.pair_cosines(sampling.sample(rows), DRAWS))
+        s = occupancy.summary(sampling.pair_cosines(rows, DRAWS))
         s = s.select(F.lit(side).alias("side"), r6("mean_cos").alias("mean"), r6("sd_cos").alias("sd"), r6("uniformity").alias("uniformity"))
         out = s if out is None else out.union(s)
     return out

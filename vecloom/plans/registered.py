@@ -26,6 +26,11 @@ s AS (SELECT t, a.id AS a, b.id AS b, a.label AS la, b.label AS lb, a.m, list_do
 DRAWS = 20_000
 
 
+def mixed(c: str, seed: int = 0) -> str:
+    """The SQL of sampling.mixed()."""
+    return f"md5(CAST({c} AS VARCHAR) || ':{seed}')"
+
+
 def phi(cosine: str, sigma: str) -> str:
     """The SQL of the confusion of a pair of cosine `cosine` under noise `sigma`."""
     z = f"(sqrt(greatest(2 - 2 * {cosine}, 0)) / (2 * {sigma}) / sqrt(2))"
