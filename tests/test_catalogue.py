@@ -11,7 +11,7 @@ def test_query_equals_its_sql(spark, name):
     same(QUERIES[name](spark, DIR), SQL[name], DIR)
 
 
-@pytest.mark.parametrize("name", ["eig_spectrum", "rank_metrics", "diagnose", "sigma_star", "null_envelope", "local_anisotropy", "pca_hull", "pca_voids", "voxel_gap", "cmp_scores", "mst_edges"])
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL) - {"pockets", "angular_pockets"}))
 def test_query_has_rows(spark, name):
     assert QUERIES[name](spark, DIR).count() > 0
 

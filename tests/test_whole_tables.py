@@ -35,15 +35,15 @@ def ranks(u, label, q):
 def test_every_hundredth_search(spark, data):
     at, u, label = data
     want = {q: ranks(u, label, q) for q in range(0, N, 100)}
-    assert {r.q: r["rank"] for r in QUERIES["gold_rank_all"](spark, at).collect()} == {q: g for q, (_, g) in want.items()}
+    assert {r.q: r["rank"] for r in QUERIES["gold_rank"](spark, at).collect()} == {q: g for q, (_, g) in want.items()}
     assert np.isclose(QUERIES["bootstrap_ci"](spark, at).first()["mean"], np.mean([1 / g for _, g in want.values()]))
-    assert QUERIES["recall_mrr_all"](spark, at).first()["n"] == len(want)
+    assert QUERIES["recall_mrr"](spark, at).first()["n"] == len(want)
     rel = {q: [label[j] == label[q] for j in o] for q, (o, _) in want.items()}
-    assert np.isclose(QUERIES["set_recall_all"](spark, at).first()["set_recall"], np.mean([sum(x[:50]) / sum(x) for x in rel.values()]), atol=1e-6)
+    assert np.isclose(QUERIES["set_recall"](spark, at).first()["set_recall"], np.mean([sum(x[:50]) / sum(x) for x in rel.values()]), atol=1e-6)
     dcg = {q: sum(1 / np.log2(k + 2) for k in range(10) if x[k]) / sum(1 / np.log2(k + 2) for k in range(10)) for q, x in rel.items()}
-    assert {r.q: r.ndcg for r in QUERIES["ndcg10_all"](spark, at).collect()} == pytest.approx(dcg, abs=2e-6)
+    assert {r.q: r.ndcg for r in QUERIES["ndcg10"](spark, at).collect()} == pytest.approx(dcg, abs=2e-6)
     hard = {(q, j, k + 1) for q, (o, _) in want.items() for k, j in enumerate([j for j in o[:20] if label[j] != label[q]][:5])}
-    assert {(r.q, r.id, r["rank"]) for r in QUERIES["hard_negatives_all"](spark, at).collect()} == hard
+    assert {(r.q, r.id, r["rank"]) for r in QUERIES["hard_negatives"](spark, at).collect()} == hard
 
 
 def test_every_batch(spark, data):
@@ -69,20 +69,36 @@ def test_every_batch(spark, data):
         soft = lambda m: (lambda z: z - np.log(np.exp(z).sum(1, keepdims=True)))(np.where(off, m / 0.05, -1e9))
         o, m = soft(c), soft(d)
         preserved[b // 200] = np.where(off, np.exp(o) * (o - m), 0).sum(1).mean()
-    assert {(r.i, r.j) for r in QUERIES["guard_pairs_all"](spark, at).collect()} == guard
-    for name, want in (("confusion_loss_all", confusion), ("uniformity_loss_all", uniform), ("preservation_loss_all", preserved)):
+    assert {(r.i, r.j) for r in QUERIES["guard_pairs"](spark, at).collect()} == guard
+    for name, want in (("confusion_loss", confusion), ("uniformity_loss", uniform), ("preservation_loss", preserved)):
         assert {r.batch: r.loss for r in QUERIES[name](spark, at).collect()} == pytest.approx(want, abs=2e-6), name
-    got = QUERIES["confusable_negatives_all"](spark, at).collect()
+    got = QUERIES["confusable_negatives"](spark, at).collect()
     assert Counter(r.i for r in got) == kept and not {(r.i, r.j) for r in got} & guard
 
 
 def test_every_document(spark, data):
-    got = {r.q: (r.positive_1, r.positive_last, r.number_1) for r in QUERIES["training_rows_all"](spark, data[0]).collect()}
-    assert got == {"de": ("s0", "s2", 0), "en": ("s2", "s4", 100)}
+    got = {r.q: (r.positive_1, r.positive_3, r.number_1, r.number_3, r.negative_1, r.negative_5) for r in QUERIES["training_rows"](spark, data[0]).collect()}
+    assert got == {"de": ("s0", "s2", 0, 2, "s2", "s6"), "en": ("s2", "s4", 100, 102, "s0", "s4")}
 
 
-@pytest.mark.parametrize("name", ["near_dup_groups", "dedup_f1", "gold_rank", "recall_mrr", "set_recall", "ndcg10", "hard_negatives"])
-def test_no_sample(spark, data, monkeypatch, name):
-    whole = sampling.sample
-    monkeypatch.setattr(sampling, "sample", lambda rows, size=100, **k: whole(rows, size, **k))
+@pytest.mark.parametrize("name", ["near_dup_groups", "dedup_f1", "gold_rank", "recall_mrr", "set_recall", "ndcg10", "hard_negatives", "knn10", "item_collisions", "cmp_overlap", "dtm_field", "pair_cos_stats", "silhouette_cosine", "crowding_rank"])
+def test_no_query_samples(spark, data, monkeypatch, name):
+    monkeypatch.setattr(sampling, "sample", lambda *a, **k: pytest.fail("a sample"))
     same(QUERIES[name](spark, data[0]), SQL[name], data[0])
+
+
+def test_neighbours_of_more_rows_than_any_sample(spark):
+    """Ranks of golds in 25,000 rows, by blocks, against brute force."""
+    from vecloom.operators import evaluate, synthetic
+
+    x = synthetic.mixture(25_000, 8, 7, 0.5).round(3)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    rows = synthetic.table(spark, u, [i % 7 for i in range(len(u))])
+    q = rows.where("id % 2500 = 0")
+    golds = evaluate.least_golds(q, rows)
+    want = {}
+    for i in range(0, 25_000, 2500):
+        gold = next(j for j in range(25_000) if j != i and j % 7 == i % 7)
+        c = u @ u[i]
+        want[i] = 1 + int(((c > c[gold] + 1e-12) & (np.arange(25_000) != i)).sum())
+    assert {r.q: r["rank"] for r in evaluate.ranks_of(q, golds, rows).collect()} == want

@@ -7,10 +7,16 @@ from dataclasses import dataclass, field, fields, replace
 
 #: Views in order, and whether a report shows them unless told otherwise.
 VIEWS = {
-    "diagnose": True, "rank_metrics": True, "cos_hist": True, "eig_spectrum": True, "pair_cos_stats": True, "k_curve": True, "rank_envelope": True, "expected_collisions_grid": True, "sigma_star": True, "stolarsky_z": True,
-    "nn_sparsity": True, "nn_margin": True, "dtm_ecdf": True, "pockets": True, "local_anisotropy": True, "crowding_rank": True, "shells": True, "radial_density": True, "axis_spread": True, "within_between": True, "separability": True,
+    "diagnose": True, "isotropy": True, "rank_metrics": True, "cos_hist": True, "cos_density": True, "eig_spectrum": True, "pair_cos_stats": True, "k_curve": True, "rank_envelope": True, "expected_collisions_grid": True, "bandwidth_curve": True, "sigma_star": True, "stolarsky_z": True,
+    "nn_sparsity": True, "nn_margin": True, "margin_hist": True, "dtm_ecdf": True, "dtm_tails": True, "pockets": True, "local_anisotropy": True, "field_hist": True, "crowding_rank": True, "shells": True, "radial_density": True, "axis_spread": True, "within_between": True, "wb_density": True, "separability": True,
     "label_analysis": True, "pca_peaks": True, "grid_hot": False, "pca_contours": False, "hexagons": False, "knn_undirected": False, "knn_bridges": False, "pca_hull": False, "pca_voids": False, "density_ratio": False, "qq_iso": False,
-    "camera": False, "voxels": False, "voxel_gap": False, "mst_edges": False, "mst_hot_edges": False, "cmp_overlap": False, "cmp_scores": False, "cmp_drift_grid": False, "cmp_drift": False, "uniformity_loss": False,
+    "camera": False, "voxels": False, "voxel_gap": False, "mst_edges": False, "mst_hot_edges": False, "curve_export": False, "angular_pockets": False, "cluster_stability": False, "eigengap": False,
+}
+#: Views of two embeddings, shown where a second one is given.
+COMPARED = ("cmp_overlap_hist", "cmp_overlap_by_k", "cmp_scores", "cmp_kernels", "cmp_drift_grid", "cmp_drift", "cmp_density", "cmp_uniformity")
+#: Views of all pairs of rows: of more rows than `sample` they take a sample.
+PAIRWISE = {
+    "nn_sparsity", "nn_margin", "margin_hist", "dtm_ecdf", "dtm_tails", "pockets", "local_anisotropy", "field_hist", "crowding_rank", "separability", "label_analysis", "knn_undirected", "knn_bridges", "mst_edges", "mst_hot_edges", "curve_export", "angular_pockets", "cluster_stability", "eigengap",
 }
 
 

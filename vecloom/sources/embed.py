@@ -69,3 +69,11 @@ def embed_new(texts: DataFrame, client: Client, out: str, model: str, batch: int
         todo = keyed
     embed(todo, client, batch).write.mode("append").parquet(out)
     return spark.read.parquet(out).join(keyed.select("id", "digest", "model"), ["id", "digest", "model"], "left_semi")
+
+
+def embed_to(texts: DataFrame, client: Client, out: str, batch: int = 64, prefix: str = "") -> None:
+    """Embed texts (id, text, label) and write them: as JSON lines to a name that ends so, else as Parquet. A label that no row has is left out."""
+    done = embed(texts, client, batch, prefix)
+    if "label" in texts.columns and texts.where("label IS NOT NULL").isEmpty():
+        done = done.drop("label")
+    done.write.json(out) if out.endswith((".jsonl", ".json")) else done.write.parquet(out)
