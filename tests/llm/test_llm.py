@@ -325,6 +325,41 @@ def test_embedding_links(spark):
     assert lattice.near_duplicates(spark.createDataFrame([], "vec_id bigint, embedding array<float>, label int")).count() == 0
 
 
+@pytest.mark.parametrize("number", [0, 1, 2, 3])
+def test_lattice_recall(number):
+    """Pairs at the threshold itself share a cell of some table, in few and many dimensions."""
+    s = lattice.SETTINGS[number]
+    r = np.random.default_rng(number)
+    for dim in (8 * s.blocks, 64, 400):
+        a = r.standard_normal((1500, dim))
+        a /= np.linalg.norm(a, axis=1, keepdims=True)
+        z = r.standard_normal(a.shape)
+        z -= (z * a).sum(1, keepdims=True) * a
+        b = 0.98 * a + np.sqrt(1 - 0.98**2) * z / np.linalg.norm(z, axis=1, keepdims=True)
+        found = np.zeros(1500, bool)
+        for p in lattice.projections(dim, s.tables, s.blocks):
+            (ra, ca, pa_), (rb, cb, pb) = (lattice.cells(x, p, s.scale, s.reach) for x in (a, b))
+            own_a, own_b = dict(zip(ra[~pa_].tolist(), ca[~pa_].tolist(), strict=True)), dict(zip(rb[~pb].tolist(), cb[~pb].tolist(), strict=True))
+            for i, c in zip(ra.tolist(), ca.tolist(), strict=True):
+                found[i] |= own_b[i] == c
+            for i, c in zip(rb.tolist(), cb.tolist(), strict=True):
+                found[i] |= own_a[i] == c
+        assert found.mean() >= 0.999, (dim, found.mean())
+    assert [lattice.setting_for(n, 64).blocks for n in (10**4, 10**8, 10**10)] == [2, 3, 4] and lattice.setting_for(10**9, 12).blocks == 1
+
+
+def test_lattice_meets_few_strangers():
+    x = np.random.default_rng(0).standard_normal((4000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    s = lattice.SETTINGS[1]
+    met = 0
+    for p in lattice.projections(64, 2, s.blocks):
+        rows, cell, probe = lattice.cells(x, p, s.scale, s.reach)
+        stored = Counter(cell[~probe].tolist())
+        met += sum(stored[c] for c in cell.tolist()) - len(x)
+    assert met / 2 * s.tables / (4000 * 3999) < 2 * s.met
+
+
 # 5
 
 
