@@ -227,3 +227,46 @@ def test_embedding_verb_and_flags(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "o")).columns == ["id", "text", "embedding"]
     c = settings(parser().parse_args(["report", "s", "o", "--metric", "euclidean", "--k", "7", "--sample", "99", "--show", "voxels", "--hide", "shells", "--compare", "b"]))
     assert (c.metric, c.k, c.sample, c.shows("voxels"), c.shows("shells")) == ("euclidean", 7, 99, True, False)
+
+
+def test_hull_and_voids_of_all_points(spark):
+    from vecloom.operators import project
+
+    p = np.random.default_rng(2).random((800, 2))
+    t = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(p)], "id bigint, x double, y double").repartition(5)
+    got = project.hull(np.array([(r.x, r.y) for r in project.hull_candidates(t).collect()]))
+    assert np.allclose(sorted(map(tuple, got)), sorted(map(tuple, project.hull(p))))
+    box = (p - p.min(0)) / (p.max(0) - p.min(0))
+    x, y, r = project.voids(t, 24, 18)[0]
+    g = np.array([((i + 0.5) / 24, (j + 0.5) / 18) for j in range(18) for i in range(24)])
+    assert np.isclose(r, np.sqrt(((g[:, None] - box[None]) ** 2).sum(2)).min(1).max())
+    assert project.voids(t.limit(0)) == []
+
+
+def test_polylines_join_segments():
+    from vecloom.operators import project
+
+    y, x = np.mgrid[0:30, 0:30]
+    lines = project.polylines(project.contours(-((x - 14.5) ** 2 + (y - 14.5) ** 2).astype(float), -60.0))
+    assert len(lines) == 1 and np.allclose(lines[0][0], lines[0][-1]) and len(lines[0]) > 40
+    assert np.allclose(project.smoothed(np.ones((9, 7))), 1)
+
+
+def test_betweenness_and_bridges():
+    from vecloom.operators import project
+
+    path = [(i, i + 1, 1.0) for i in range(5)]
+    nodes, edges = project.betweenness(path, list(range(6)), 6)
+    assert nodes[2] == nodes[3] == max(nodes.values()) and edges[2, 3] == max(edges.values()) == 18
+    at = {i: (float(i), 0.0) for i in range(6)}
+    assert project.bridges(path, at, dict.fromkeys(range(6), 0), sources=6)[0][:2] == (2, 3)
+    apart = project.bridges([(0, 1, 1.0)], {0: (0.0, 0.0), 1: (1.0, 0.0), 2: (4.0, 0.0)}, {0: 0, 1: 0, 2: 2})
+    assert apart == [(1, 2, 3.0, 0.0)]
+
+
+def test_texts_of_packed_lines(spark, tmp_path):
+    import gzip
+
+    with gzip.open(tmp_path / "q.jsonl.gz", "wt") as f:
+        f.write('{"text": "a", "k": 1}\n{"text": "b", "k": 2}\n')
+    assert {(r.id, r.text) for r in read_texts(spark, str(tmp_path / "q.jsonl.gz"), id="k").collect()} == {("1", "a"), ("2", "b")}

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -147,24 +149,43 @@ def area(polygon: np.ndarray) -> float:
     return float(abs((x * np.roll(y, -1) - y * np.roll(x, -1)).sum()) / 2)
 
 
-def hull_candidates(points: DataFrame, directions: int = 64) -> DataFrame:
-    """The points that lie farthest in some direction: a bounded outline, whose hull is within 0.2 % of the points' own."""
-    turn = [2 * math.pi * i / directions for i in range(directions)]
-    far = points.agg(*(F.max_by(F.struct("x", "y"), F.col("x") * math.cos(t) + F.col("y") * math.sin(t)).alias(f"p{i}") for i, t in enumerate(turn)))
-    return far.select(F.explode(F.array(*(f"p{i}" for i in range(directions)))).alias("p")).select("p.x", "p.y").distinct()
+def hull_candidates(points: DataFrame) -> DataFrame:
+    """(x, y): the corners of the hulls of parts of the points; the hull of all is theirs."""
 
+    def corners(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = np.zeros((0, 2))
+        for b in batches:
+            own = hull(np.vstack([own, b[["x", "y"]].to_numpy()]))
+        if len(own):
+            yield pd.DataFrame(own, columns=["x", "y"])
 
-def voids(points: DataFrame, nx: int = 60, ny: int = 45, most: int = 8, least: float = 0.18) -> list[tuple[float, float, float]]:
-    """Greedy empty discs (x, y, radius) in the unit box: grid points far from every occupied fine cell."""
-    fine = cells(points, ["x", "y"], [4 * nx, 4 * ny]).select("cx", "cy").collect()  # as many rows as the grid has cells
-    p = np.array([((r["cx"] + 0.5) / (4 * nx), (r["cy"] + 0.5) / (4 * ny)) for r in fine])
+    # twice: of every task's points, and of at most 64 groups of tasks' corners
+    first = points.select("x", "y").where("x IS NOT NULL AND y IS NOT NULL").mapInPandas(corners, "x double, y double")
+    return first.repartition(64).mapInPandas(corners, "x double, y double")
+
+
+def voids(points: DataFrame, nx: int = 120, ny: int = 90, most: int = 8, least: float = 0.18) -> list[tuple[float, float, float]]:
+    """Greedy empty discs (x, y, radius) in the unit box: grid points far from every point. Each task keeps the grid's least distances."""
     gx, gy = np.meshgrid((np.arange(nx) + 0.5) / nx, (np.arange(ny) + 0.5) / ny)
     at = np.column_stack([gx.ravel(), gy.ravel()])
-    near = np.min([((at - q) ** 2).sum(axis=1) for q in p], axis=0) ** 0.5
+
+    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best = np.full(len(at), np.inf)
+        for b in batches:
+            p = b[["x", "y"]].drop_duplicates().to_numpy()
+            for i in range(0, len(p), 256):
+                best = np.minimum(best, ((at[:, None, :] - p[None, i : i + 256]) ** 2).sum(axis=2).min(axis=1))
+        if np.isfinite(best).any():
+            yield pd.DataFrame({"k": np.arange(len(at)), "d": best})
+
+    rows = boxed(points, ["x", "y"]).select("x", "y").mapInPandas(near, "k int, d double").groupBy("k").agg(F.min("d").alias("d")).collect()  # a row for each grid point
+    dist = np.zeros(len(at))
+    for r in rows:
+        dist[r["k"]] = math.sqrt(r["d"])
     out: list[tuple[float, float, float]] = []
-    for i in np.argsort(-near):
-        r = float(near[i])
-        if len(out) == most or (out and r < least * out[0][2]):
+    for i in np.argsort(-dist, kind="stable"):
+        r = float(dist[i])
+        if len(out) == most or not r or (out and r < least * out[0][2]):
             break
         if all((at[i][0] - x) ** 2 + (at[i][1] - y) ** 2 > (r + s) ** 2 for x, y, s in out):
             out.append((float(at[i][0]), float(at[i][1]), r))
@@ -216,6 +237,40 @@ def contours(grid: np.ndarray, level: float) -> list[tuple[tuple[float, float],
     return out
 
 
+def polylines(segments: list[tuple[tuple[float, float], tuple[float, float]]], digits: int = 9) -> list[list[tuple[float, float]]]:
+    """Segments joined at equal ends; a closed line ends where it begins."""
+    key = lambda p: (round(p[0], digits), round(p[1], digits))
+    ends: dict = {}
+    for k, (p, q) in enumerate(segments):
+        ends.setdefault(key(p), []).append(k)
+        ends.setdefault(key(q), []).append(k)
+    left, out = set(range(len(segments))), []
+
+    def follow(line: list) -> list:
+        while k := next((i for i in ends.get(key(line[-1]), ()) if i in left), None) if left else None:
+            left.discard(k)
+            p, q = segments[k]
+            line.append(q if key(p) == key(line[-1]) else p)
+        return line
+
+    for k in range(len(segments)):
+        if k in left:
+            left.discard(k)
+            line = follow(list(segments[k]))
+            out.append(follow(line[::-1])[::-1])
+    return out
+
+
+def smoothed(grid: np.ndarray, sigma: float = 1.2) -> np.ndarray:
+    """Gaussian smoothing, edges clamped."""
+    r = math.ceil(3 * sigma)
+    taps = np.exp(-0.5 * (np.arange(-r, r + 1) / sigma) ** 2)
+    for axis in (0, 1):
+        wide = np.pad(grid, [(r, r) if a == axis else (0, 0) for a in (0, 1)], mode="edge")
+        grid = sum(t * np.take(wide, range(i, i + grid.shape[axis]), axis=axis) for i, t in enumerate(taps / taps.sum()))
+    return grid
+
+
 def dense(counts: DataFrame, sizes: tuple[int, int], value: str = "n") -> np.ndarray:
     """The grid as an array on the driver: as large as the grid."""
     out = np.zeros(sizes)
@@ -224,17 +279,19 @@ def dense(counts: DataFrame, sizes: tuple[int, int], value: str = "n") -> np.nda
     return out
 
 
-def betweenness(edges, nodes: list, sources: int = 220, seed: int = 0) -> dict:
-    """Sampled shortest-path betweenness (Brandes) on a bounded undirected graph of (a, b, dist) rows."""
+def betweenness(edges, nodes: list, sources: int = 220, seed: int = 0) -> tuple[dict, dict]:
+    """Sampled shortest-path betweenness (Brandes) of the nodes and of the edges (a, b) of a bounded undirected graph of (a, b, dist) rows."""
     import heapq
 
     near: dict = {v: [] for v in nodes}
+    lines = {}
     for a, b, d in edges:
         near[a].append((b, d))
         near[b].append((a, d))
+        lines[a, b] = lines[b, a] = (a, b)
     random = np.random.default_rng(seed)
     start = [nodes[i] for i in random.permutation(len(nodes))[:sources]]
-    score = dict.fromkeys(nodes, 0.0)
+    score, over = dict.fromkeys(nodes, 0.0), dict.fromkeys(lines.values(), 0.0)
     for s in start:
         dist, paths, before, order, heap = {s: 0.0}, {s: 1.0}, {s: []}, [], [(0.0, str(s), s)]
         done = set()
@@ -257,11 +314,36 @@ def betweenness(edges, nodes: list, sources: int = 220, seed: int = 0) -> dict:
         share = dict.fromkeys(order, 0.0)
         for v in reversed(order):
             for p in before[v]:
-                share[p] += paths[p] / paths[v] * (1 + share[v])
+                part = paths[p] / paths[v] * (1 + share[v])
+                share[p] += part
+                over[lines[p, v]] += part
             if v != s:
                 score[v] += share[v]
     scale = len(nodes) / max(1, len(start))
-    return {v: x * scale for v, x in score.items()}
+    return {v: x * scale for v, x in score.items()}, {e: x * scale for e, x in over.items()}
+
+
+def bridges(edges, at: dict, roots: dict, least: int = 6, sources: int = 60) -> list[tuple]:
+    """(a, b, gap, score) on a bounded graph of (a, b, dist) rows: of one component the edges of most betweenness and
+    span, of several the nearest nodes of every two in the plane. at: node -> (x, y); roots: node -> component."""
+    span = lambda a, b: math.dist(at[a], at[b])
+    groups: dict = {}
+    for v, r in roots.items():
+        groups.setdefault(r, []).append(v)
+    if len(groups) > 1:
+        out = []
+        names = sorted(groups)
+        for i, g in enumerate(names):
+            p = np.array([at[v] for v in groups[g]])
+            for h in names[i + 1 :]:
+                q = np.array([at[v] for v in groups[h]])
+                best = min(((float(d.min()), k + divmod(int(d.argmin()), len(q))[0], int(d.argmin()) % len(q)) for k in range(0, len(p), 512) for d in [((p[k : k + 512, None] - q[None]) ** 2).sum(axis=2)]), key=lambda x: x[0])
+                out.append((groups[g][best[1]], groups[h][best[2]], math.sqrt(best[0]), 0.0))
+        return sorted(out, key=lambda x: x[2])
+    _, over = betweenness(edges, list(at), sources)
+    most, widest = max(over.values(), default=1.0) or 1.0, max((span(a, b) for a, b in over), default=1.0) or 1.0
+    told = [(a, b, span(a, b), x / most * (0.4 + 0.6 * span(a, b) / widest)) for (a, b), x in over.items()]
+    return sorted(told, key=lambda x: (-x[3], x[0], x[1]))[: max(least, len(groups))]
 
 
 def graph_components(edges: DataFrame, nodes: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

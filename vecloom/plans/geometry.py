@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import vec
 from ..operators import compare, neighbours, project, sampling, schema
 from . import context
-from .registered import NEAR, UNIT, query, r6, raw, table, unit
+from .registered import NEAR, UNIT, mixed, query, r6, raw, table, unit
 
 
 def first(spark, sf_dir):
@@ -126,14 +126,24 @@ def pca_peaks(spark, sf_dir):
     return spark.createDataFrame(project.peaks(project.dense(g, (84, 60)), 0.01), "cx int, cy int, height double, prominence double")
 
 
+def _levels(spark, sf_dir):
+    g = project.smoothed(project.dense(project.cells(axes(spark, sf_dir), ["x", "y"], [96, 60]), (96, 60)))
+    return [(float(q), project.contours(g, q)) for q in np.quantile(g[g > 1e-9], [0.3, 0.45, 0.6, 0.75, 0.88, 0.96])]
+
+
 @query("pca_contours")
 def pca_contours(spark, sf_dir):
-    g = project.dense(project.blurred(project.cells(axes(spark, sf_dir), ["x", "y"], [96, 60]), (96, 60)), (96, 60), "v")
-    levels = np.quantile(g[g > 0], [0.3, 0.45, 0.6, 0.75, 0.88, 0.96])
-    rows = [(float(q), *map(float, (*a, *b))) for q in levels for a, b in project.contours(g, q)]
+    rows = [(q, *map(float, (*a, *b))) for q, lines in _levels(spark, sf_dir) for a, b in lines]
     return spark.createDataFrame(rows, "level double, x0 double, y0 double, x1 double, y1 double")
 
 
+@query("pca_polylines")
+def pca_polylines(spark, sf_dir):
+    """The level lines as joined points."""
+    rows = [(q, k, [[float(x), float(y)] for x, y in line], line[0] == line[-1]) for q, lines in _levels(spark, sf_dir) for k, line in enumerate(project.polylines(lines))]
+    return spark.createDataFrame(rows, "level double, line int, points array<array<double>>, closed boolean")
+
+
 _VOXELS = f"{_XYZ}, g AS (SELECT {_cell('x', 9)}, {_cell('y', 9)}, {_cell('z', 9)}, count(*) AS n FROM n GROUP BY 1, 2, 3)"
 _GAPS = " UNION ALL ".join(f"SELECT lead({a}) OVER (PARTITION BY {b}, {c} ORDER BY {a}) - {a} - 1 AS gap FROM g" for a, b, c in (("cx", "cy", "cz"), ("cy", "cx", "cz"), ("cz", "cx", "cy")))
 
@@ -153,14 +163,42 @@ def voxel_gap(spark, sf_dir):
     return spark.createDataFrame([(round(len(rows) / 729, 6), int(g.max()), int(longest))], "occupied double, hottest int, longest_gap int")
 
 
+def _paths(spark, sf_dir):
+    """A sample of 4096 rows at most, its undirected neighbour graph, and that graph on the driver: paths are followed there."""
+    x = sampling.sample(context.units(spark, sf_dir), 4096)
+    e = context.once(spark, sf_dir, "path_edges", lambda: neighbours.undirected(neighbours.graph(x, 6)))
+    return x, e, [tuple(r) for r in e.collect()]
+
+
 @query("knn_bridges")
 def knn_bridges(spark, sf_dir):
     """Components of the neighbour graph and sampled betweenness of its nodes."""
-    x = context.units(spark, sf_dir)
-    e = neighbours.undirected(context.graph(spark, sf_dir, 6))
-    score = project.betweenness([tuple(r) for r in e.collect()], [r["id"] for r in x.select("id").collect()], 60)
-    table = spark.createDataFrame([(k, float(v)) for k, v in score.items()], "id bigint, betweenness double")
-    return project.graph_components(e, x).join(table, "id")
+    x, e, rows = _paths(spark, sf_dir)
+    score, _ = project.betweenness(rows, [r["id"] for r in x.select("id").collect()], 60)
+    scores = spark.createDataFrame([(k, float(v)) for k, v in score.items()], "id bigint, betweenness double")
+    return project.graph_components(e, x).join(scores, "id")
+
+
+@query("bridge_edges")
+def bridge_edges(spark, sf_dir):
+    """The edges that hold the graph together, or the gaps between its components."""
+    x, e, rows = _paths(spark, sf_dir)
+    at = {r["id"]: (r["x"], r["y"]) for r in axes(spark, sf_dir).join(x.select("id"), "id", "left_semi").collect()}
+    roots = {r["id"]: r["root"] for r in project.graph_components(e, x).collect()}
+    return spark.createDataFrame(project.bridges(rows, at, roots), "a bigint, b bigint, gap double, score double")
+
+
+@query("scatter_hot", f"WITH {NEAR}, d AS (SELECT i AS id, round(avg(c), 9) AS d FROM k WHERE r <= 10 GROUP BY i), t AS (SELECT quantile_cont(d, 0.985) AS t FROM d) SELECT id, d >= t AS hot FROM d, t")
+def scatter_hot(spark, sf_dir):
+    """Rows whose local density is at or above its 98.5th percentile."""
+    d = neighbours.mean_similarity(context.graph(spark, sf_dir, 10), 10).withColumn("density", F.round("density", 9))
+    return d.join(F.broadcast(d.agg(F.percentile("density", 0.985).alias("t")))).select("id", (F.col("density") >= F.col("t")).alias("hot"))
+
+
+@query("live_overlay", f"WITH {NEAR}, pt AS MATERIALIZED (SELECT id FROM u ORDER BY {mixed('id')}, id LIMIT 8000), nb AS (SELECT i, j, row_number() OVER (PARTITION BY i ORDER BY c DESC, j) AS n FROM k WHERE i IN (SELECT id FROM pt) AND j IN (SELECT id FROM pt)) SELECT i AS src, j AS dst FROM nb WHERE n <= 3")
+def live_overlay(spark, sf_dir):
+    """The neighbour graph of a sample of 8000 points, three each."""
+    return neighbours.graph(sampling.sample(context.units(spark, sf_dir), 8000), 3).select("src", "dst")
 
 
 @query("near_dup_groups", f"""WITH RECURSIVE {UNIT}, g AS (SELECT a.id AS a, b.id AS b FROM u a JOIN u b ON a.id <> b.id AND list_dot_product(a.v, b.v) >= 0.4),

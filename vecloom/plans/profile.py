@@ -13,7 +13,7 @@ from ..operators import crowding, neighbours, occupancy, sampling, schema, separ
 from ..operators.moments import moments
 from ..operators.order import numbered
 from . import context
-from .registered import DRAWN, DRAWS, NEAR, PAIRS, UNIT, phi, query, r6, raw, table, unit
+from .registered import DRAWN, DRAWS, NEAR, PAIRS, UNIT, mixed, phi, query, r6, raw, table, unit
 
 SIGMA = 0.3
 FIRST = 1000  # ids of the rows whose all-pairs statistics are listed; the sample's size bounds them
@@ -350,6 +350,33 @@ def angular_pockets(spark, sf_dir):
 _MUTUAL = NEAR + ", m AS (SELECT * FROM k WHERE r <= 10), d AS (SELECT a.i AS id, avg(a.c) FILTER (b.i IS NOT NULL) AS d FROM m a LEFT JOIN m b ON a.i = b.j AND a.j = b.i GROUP BY a.i)"
 
 
+@query("crowding_map")
+def crowding_map(spark, sf_dir):
+    """The crowding rank of every row, and whether it lies in a pocket (told on 4096 rows at most)."""
+    members = pockets(spark, sf_dir).select(F.explode("members").alias("id")).distinct().withColumn("in_pocket", F.lit(True))
+    return crowding_rank(spark, sf_dir).join(members, "id", "left").select("id", "crowding", F.coalesce("in_pocket", F.lit(False)).alias("in_pocket"))
+
+
+@query("k_curve_view")
+def k_curve_view(spark, sf_dir):
+    """The curve on 260 points beside the envelope of 99 uniform nulls and the mean of nulls with the rows' moments."""
+    at = np.linspace(-0.5, 1, 260)
+    m = context.fit(spark, sf_dir, True)
+    own = occupancy.exceedance(drawn(spark, sf_dir), occupancy.grid(spark, -0.5, 1.0, 260))
+    flat = occupancy.envelope(occupancy.null_curves(spark, m, DRAWS, at, 99, "uniform")).select("k", "upper")
+    fit = occupancy.envelope(occupancy.null_curves(spark, m, DRAWS, at, 19)).select("k", F.col("mean").alias("fitted"))
+    return own.join(flat, "k").join(fit, "k")
+
+
+@query("dtm_scaled", f"WITH {UNIT}, m AS MATERIALIZED (SELECT id, v FROM u ORDER BY {mixed('id')}, id LIMIT 6000), s AS (SELECT a.id, sum({phi('list_dot_product(a.v, b.v)', '0.3::DOUBLE')}) AS x FROM m a JOIN m b ON a.id <> b.id GROUP BY 1) SELECT id, round(x * ((SELECT count(*) FROM u) - 1.0::DOUBLE) / ((SELECT count(*) FROM m) - 1.0::DOUBLE), 5) AS collisions FROM s")
+def dtm_scaled(spark, sf_dir):
+    """Collisions among a sample of 6000 rows, scaled to the whole table."""
+    part = sampling.sample(context.units(spark, sf_dir), 6000)
+    n, m = context.shape(spark, sf_dir)[0], part.count()
+    c = crowding.item_collisions(part, SIGMA)
+    return c.select("id", r6(F.col("collisions") * (n - 1.0) / (m - 1.0), 5).alias("collisions"))
+
+
 @query("mutual_density", f"WITH {_MUTUAL} SELECT id, round(coalesce(d, (SELECT min(d) FROM d), 0), 6) AS density FROM d")
 def mutual_density(spark, sf_dir):
     return neighbours.mutual_density(context.graph(spark, sf_dir, 10), 10).select("id", r6("density").alias("density"))

@@ -44,6 +44,19 @@ def citation_match(spark, sf_dir):
     return prepare.matched(docs, pages, ["lang", "n"]).select("doc_id", "page_id")
 
 
+@query("citation_questions", r"""WITH p AS (SELECT page_id, regexp_extract(url, '/([a-z]{2})/', 1) AS lang, TRY_CAST(regexp_extract(url, '/[a-z]{2}/([0-9]+)', 1) AS BIGINT) AS n FROM pages), o AS (SELECT lang, n FROM p GROUP BY 1, 2 HAVING count(*) = 1), q AS (SELECT doc_id, lang, trim(regexp_replace(regexp_replace(regexp_replace(left(text, 80), '^[\s"'']*(?:\d+[.)]\s*)?', ''), '["'']+\s*$', ''), '\s+', ' ', 'g'), ' ') AS question FROM documents),
+    m AS (SELECT q.doc_id, q.lang, question, p.page_id, row_number() OVER (PARTITION BY q.lang ORDER BY q.doc_id) AS r FROM q JOIN p ON q.lang = p.lang AND q.doc_id = p.n JOIN o ON o.lang = p.lang AND o.n = p.n WHERE NOT regexp_matches(question, '§|\bC\.?F\.?R\b|\bU\.?S\.?C\b|(?i:\bpart\s+\d+|\bsection\s+\d+|\bversion\s+\d+)'))
+    SELECT doc_id, lang, question, page_id FROM m WHERE r <= 5""")
+def citation_questions(spark, sf_dir):
+    """Questions led to the one page they cite: matched, cleaned, without those that give it away, five a language."""
+    from ..operators import sampling
+
+    found = citation_match(spark, sf_dir)
+    q = table(spark, sf_dir, "documents").select("doc_id", "lang", prepare.cleaned(F.substring("text", 1, 80)).alias("question"))
+    kept = q.join(found, "doc_id").where(~prepare.leaks(F.col("question")))
+    return sampling.capped(kept, ["lang"], [F.col("doc_id")], 5).select("doc_id", "lang", "question", "page_id")
+
+
 @query("distractors", "SELECT CAST(item_id AS BIGINT) AS id, 'gold' AS role FROM benchmark UNION ALL SELECT doc_id, 'distractor' FROM documents WHERE source <> 'src3'")
 def distractors(spark, sf_dir):
     gold = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("bigint").alias("id"), F.lit("").alias("source"))

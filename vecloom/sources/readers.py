@@ -112,7 +112,8 @@ def _sidecar(spark, values, name, n):
 
 def read_texts(spark: SparkSession, source: str, text: str = "text", id: str | None = None, label: str | None = None) -> DataFrame:
     """(id, text, label) of json lines, csv, parquet or plain text lines; without ids the rows get one by content, unique over all files."""
-    kind = Path(source).suffix if not Path(source).is_dir() else Path(next(iter(sorted(Path(source).iterdir())))).suffix
+    at = Path(source) if not Path(source).is_dir() else next(p for p in sorted(Path(source).iterdir()) if p.name[0] not in "._")
+    kind = Path(at.stem).suffix if at.suffix == ".gz" else at.suffix
     form = {".jsonl": spark.read.json, ".json": spark.read.json, ".csv": lambda p: spark.read.csv(p, header=True, multiLine=True, escape='"'), ".parquet": spark.read.parquet, ".txt": lambda p: spark.read.text(p).withColumnRenamed("value", text)}
     df = form[kind](source)
     own = F.col(id).cast("string") if id else F.concat_ws("-", F.sha2(F.col(text), 256), F.monotonically_increasing_id().cast("string"))
