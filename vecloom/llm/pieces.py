@@ -20,7 +20,6 @@ import numpy as np
 
 NONE = -np.inf
 SPACE = "▁"
-_WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 EDGE = (0, 0)  # the state of a position that nothing crosses
 Piece = tuple[int, int]  # start and end, or offsets from an edge
 
@@ -36,9 +35,12 @@ class Model:
         self.starts = {p[:n] for p in self.pieces for n in range(1, len(p))}
         self.worst = min((s for _, s in self.pieces.values()), default=0.0) - 10
         self.plain_words = not any(SPACE in p.lstrip(SPACE) or "\n" in p[1:] or "\n" in p[:-1] for p in self.pieces)
+        self.scores = {p: s for p, (_, s) in self.pieces.items()}
         self.fits: dict[tuple[str, str], bool] = {}
         self.segments: dict[str, tuple[float, bytes]] = {}
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.runs = self._runs()
 
     @classmethod
     def load(cls, path: str) -> Model:
@@ -77,16 +79,46 @@ class Model:
 
     def merge(self, s: str) -> list[str]:
         """Plain BPE of a short string: the best-scored adjacent pair first, the leftmost of equals."""
-        parts = list(s)
-        while True:
-            best, at = NONE, -1
-            for i in range(len(parts) - 1):
-                got = self.pieces.get(parts[i] + parts[i + 1])
-                if got and got[1] > best:
-                    best, at = got[1], i
-            if at < 0:
-                return parts
+        return self._merged(list(s), -1) or []
+
+    def fit(self, before: str, piece: str) -> bool:
+        """Whether BPE makes just these two pieces of their joined text: it stops at the first merge across."""
+        return len(self._merged([*before, *piece], len(before) - 1) or ()) == 2
+
+    def _merged(self, parts: list[str], across: int) -> list[str] | None:
+        """parts merged to the end; None once the pair of number `across` would be merged."""
+        get = self.scores.get
+        score = [get(x + y, NONE) for x, y in zip(parts, parts[1:], strict=False)]
+        while score and (best := max(score)) > NONE:
+            at = score.index(best)
+            if at == across:
+                return None
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del score[at]
+            if at:
+                score[at - 1] = get(parts[at - 1] + parts[at], NONE)
+            if at < len(score):
+                score[at] = get(parts[at] + parts[at + 1], NONE)
+            across -= at < across
+        return parts
+
+    def _runs(self) -> re.Pattern | None:
+        """The pattern of runs of letters or of others, each with the space before it, if no piece joins the two kinds.
+
+        Characters that would join them count as others. None: the vocabulary doesn't fall apart like this.
+        """
+        letter = re.compile(r"[^\W\d_]")
+        others: set[str] = set()
+        kind = lambda c: c not in others and letter.match(c) is not None
+        for _ in range(4):
+            crossing = {c for pair in self.joined if SPACE not in pair and kind(pair[0]) != kind(pair[1]) for c in pair if kind(c)}
+            if not crossing:
+                out = "".join(map(re.escape, sorted(others)))
+                return re.compile(rf" ?[^\W\d_{out}]+| ?(?:[\W\d_{out}](?<! ))+| ")
+            others |= crossing
+            if len(others) > 16:
+                break
+        return None
 
     def weight(self, before: str | None, piece: str) -> float:
         """The score of entering a piece after another (None: after an edge)."""
@@ -96,7 +128,7 @@ class Model:
         if key not in self.fits:
             if len(self.fits) > 4 * self.limit:
                 self.fits.clear()
-            self.fits[key] = self.merge(key[0] + piece) == ([before, piece] if before else [piece])
+            self.fits[key] = self.fit(before, piece) if before else len(self.merge(piece)) == 1
         return 0.0 if self.fits[key] else NONE
 
     def crossed(self, s: str, p: int) -> bool:
@@ -177,24 +209,28 @@ class Model:
     def encode_many(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit integers: the scan with one chunk.
 
-        Where no piece goes on into a space, every word with the spaces before it has edges.
+        Where no piece goes on into a space, and none joins letters with others, every run of either kind
+        with the space before it has edges. Runs' ids are kept in two generations of bounded size.
         """
-        if not self.plain_words:
+        if not self.plain_words or self.runs is None or not self.prefix:
             return [self._by_cuts(self.normal(x)) for x in texts]
-        cut = [_WORDS.findall(self.normal(x)) if not x or x[0] == " " or not self.prefix or "  " in x or SPACE in x else x.split(" ") for x in texts]
-        plain = [not x or x[0] == " " or not self.prefix or "  " in x or SPACE in x for x in texts]  # these words bring their spaces along
+        cut = [self.runs.findall(" " + x) if x and "  " not in x and SPACE not in x and x[0] != " " else None for x in texts]
         every: set[str] = set()
-        for words, own in zip(cut, plain, strict=True):
-            every.update((w[1:] if w[:1] == SPACE and w[1:2] != SPACE else SPACE + w for w in words) if own else words)
+        for words in cut:
+            every.update(words or ())
         new = every.difference(self.words)
-        if len(self.words) + len(new) > self.limit:
-            self.words, new = {}, every
-        short = [w for w in new if len(w) < 64 and w[:1] != SPACE]
-        long = {w for w in new if len(w) >= 64 or w[:1] == SPACE}
-        self.words.update(zip(short, self._many([SPACE + w for w in short]), strict=True))
-        self.words.update((w, self._by_cuts(w[1:] if w[:1] == SPACE else SPACE + w)) for w in long)
+        if known := new.intersection(self.older):
+            self.words.update((w, self.older[w]) for w in known)
+            new -= known
+        if len(self.words) + len(new) > self.limit // 2:
+            self.older, self.words = self.words, {}
+            self.words.update((w, self.older[w]) for w in every.difference(new))
+        short = [w for w in new if len(w) < 64]
+        long = {w for w in new if len(w) >= 64}
+        self.words.update(zip(short, self._many([w.replace(" ", SPACE) for w in short]), strict=True))
+        self.words.update((w, self._by_cuts(w.replace(" ", SPACE))) for w in long)
         find = self.words.__getitem__
-        out = [b"".join(map(find, (w[1:] if w[:1] == SPACE and w[1:2] != SPACE else SPACE + w for w in words) if own else words)) for words, own in zip(cut, plain, strict=True)]
+        out = [self._by_cuts(self.normal(x)) if words is None else b"".join(map(find, words)) for x, words in zip(texts, cut, strict=True)]
         for w in long:
             del self.words[w]
         return out
@@ -356,7 +392,7 @@ class _Tables:
             made = np.zeros(len(new), bool)
             for k, pair in enumerate(new.tolist()):
                 p, q = (pair >> 32) - 1, self._string(pair & 0xFFFFFFFF)
-                made[k] = self.model.merge(q) == [q] if p < 0 else self.model.merge(self._string(p) + q) == [self._string(p), q]
+                made[k] = len(self.model.merge(q)) == 1 if p < 0 else self.model.fit(self._string(p), q)
             out[miss] = made[back]
             put = (new.astype(np.uint64) * self.MIX) >> np.uint64(64 - self.PAIR_BITS)
             self.pairs[put], self.good[put] = new, made
