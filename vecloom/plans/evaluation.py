@@ -208,12 +208,14 @@ def cluster_bootstrap_ci(spark, sf_dir):
     return out.select(*(r6(c).alias(c) for c in out.columns))
 
 
-@query("spearman_exact")
+@query("spearman_exact", """WITH t AS (SELECT n_regionkey AS x, sum(n_nationkey) AS y FROM nation GROUP BY 1), r AS (SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0 AS a, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0 AS b, row_number() OVER (ORDER BY x) AS i FROM t), l AS (SELECT list(a ORDER BY i) AS a, list(b ORDER BY i) AS b, count(*) AS n FROM r),
+    p AS (SELECT [i, j, k, m, o] AS p FROM range(1, 6) t1(i), range(1, 6) t2(j), range(1, 6) t3(k), range(1, 6) t4(m), range(1, 6) t5(o) WHERE i <> j AND i <> k AND i <> m AND i <> o AND j <> k AND j <> m AND j <> o AND k <> m AND k <> o AND m <> o),
+    c AS (SELECT p, corr(av, bv) AS rho FROM (SELECT p, unnest(a) AS av, unnest(list_transform(p, lambda x: b[x])) AS bv FROM p, l) GROUP BY p), own AS (SELECT rho FROM c WHERE p = [1, 2, 3, 4, 5]) SELECT round((SELECT rho FROM own), 6) AS rho, round(avg(CASE WHEN abs(rho) >= abs((SELECT rho FROM own)) - 1e-12 THEN 1.0::DOUBLE ELSE 0 END), 6) AS p FROM c""")
 def spearman_exact(spark, sf_dir):
     """Rho of regions' counts of nations and their numbers, with the exact permutation test (few rows: all orders are tried)."""
     n = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.count(F.lit(1)).alias("c"), F.sum("n_nationkey").alias("s"))
     rho, p = evaluate.permutation_p([(r["n_regionkey"], r["s"]) for r in n.collect()])
-    return spark.createDataFrame([(rho, p)], "rho double, p double")
+    return spark.createDataFrame([(round(rho, 6), round(p, 6))], "rho double, p double")
 
 
 @query("dedup_f1", f"WITH {PAIRS}, f AS (SELECT i, j, c FROM p WHERE i < j AND c >= 0.3), g AS (SELECT i, j FROM p WHERE i < j AND li = lj), t AS (SELECT unnest([0.3, 0.35, 0.4]::DOUBLE[]) AS threshold), h AS (SELECT threshold, count(g.i) AS tp, count(*) AS n FROM t JOIN f ON c >= threshold LEFT JOIN g USING (i, j) GROUP BY 1) SELECT threshold, round(tp / CAST(n AS DOUBLE), 6) AS precision, round(tp / CAST((SELECT count(*) FROM g) AS DOUBLE), 6) AS recall, round(2.0::DOUBLE * tp / (n + (SELECT count(*) FROM g)), 6) AS f1 FROM h")
