@@ -158,3 +158,29 @@ def scan(docs: DataFrame, templates: list | None = None, base: dict[str, str] |
 
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(read(spark, sf_dir, "documents")).drop("placements")
+
+
+def _op7_sql() -> str:
+    """The same by joining every word with every place of a template: no index, no blocks."""
+    rows = []
+    for t, (label, notice, phrase) in enumerate(TEMPLATES):
+        words, key = notice.split(), phrase.split()
+        at = next(i for i in range(len(words)) if words[i : i + len(key)] == key)
+        rows.append(f"({t}, '{label}', '{notice}', {at}, {len(key)})")
+    base = ", ".join(f"('{label}', '{phrase}')" for phrase, label in BASE.items())
+    return rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+k AS (SELECT doc_id, unnest(range(len(w))) AS place, unnest(w) AS word FROM d),
+m(t, label, notice, a, n_key) AS (VALUES {", ".join(rows)}), x AS (SELECT t, label, a, n_key, string_split(notice, ' ') AS w FROM m),
+tw AS (SELECT t, label, a, n_key, len(w) AS n, unnest(range(len(w))) AS q, unnest(w) AS word FROM x),
+h AS (SELECT doc_id, label, CAST(count(*) AS DOUBLE) / n AS coverage FROM k JOIN tw USING (word) GROUP BY doc_id, t, label, n, n_key, place - q HAVING count(*) FILTER (q >= a AND q < a + n_key) = n_key AND count(*) >= {COVERAGE} * n - 1e-9),
+b(label, phrase) AS (VALUES {base}), bw AS (SELECT label, phrase, len(string_split(phrase, ' ')) AS n, unnest(range(len(string_split(phrase, ' ')))) AS q, unnest(string_split(phrase, ' ')) AS word FROM b),
+f AS (SELECT doc_id, label, place - q AS at_word FROM k JOIN bw USING (word) GROUP BY doc_id, label, phrase, n, place - q HAVING count(*) = n),
+fa AS (SELECT doc_id, count(*) AS n_base, min(at_word) AS first_word, max(at_word) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM f GROUP BY 1),
+la AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM f UNION ALL SELECT doc_id, label FROM h) GROUP BY 1), sc AS (SELECT doc_id, max(coverage) AS coverage FROM h GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+    CASE WHEN n_base > 0 THEN 1 ELSE coalesce(coverage, 0) END AS score FROM d LEFT JOIN fa USING (doc_id) LEFT JOIN la USING (doc_id) LEFT JOIN sc USING (doc_id)
+"""
+
+
+OP7_SQL = _op7_sql()

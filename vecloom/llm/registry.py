@@ -21,4 +21,5 @@ SQL = {
     "op1_fingerprints": fingerprints.OP1_SQL,
     "op4_lattice": lattice.OP4_SQL,
     "op6_url_filters": url_filters.OP6_SQL,
+    "op7_licenses": licenses.OP7_SQL,
 }
