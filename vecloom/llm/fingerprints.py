@@ -111,14 +111,19 @@ def _points(ids: DataFrame, wanted: int) -> Counter:
     return Counter(ids.agg(F.percentile_approx("k", at or [0.5], 20 * MAX_RANGES).alias("q")).first()["q"] or [])
 
 
+def _longs(values: list[int]) -> Column:
+    """An array that folds to one literal, however long."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+
+
 def _range_of(k: Column, points: list[int]) -> Column:
     """Number of split points at or below k, found in two steps of about a root each."""
     if not points:
         return F.lit(0)
     step = max(1, int(len(points) ** 0.5))
     firsts = points[step - 1 :: step]
-    coarse = F.size(F.filter(F.array(*map(F.lit, firsts)), lambda x: x <= k))
-    fine = F.size(F.filter(F.slice(F.array(*map(F.lit, points)), coarse * step + 1, F.lit(step)), lambda x: x <= k))
+    coarse = F.size(F.filter(_longs(firsts), lambda x: x <= k))
+    fine = F.size(F.filter(F.slice(_longs(points), coarse * step + 1, F.lit(step)), lambda x: x <= k))
     return coarse * step + fine
 
 
