@@ -290,6 +290,30 @@ def test_near_copies(spark):
     assert simhash.near_duplicates(docs(spark, [])).count() == 0
 
 
+def test_similar_sets_are_found(spark):
+    """Recall of pairs by their similarity, against brute force; nothing below the threshold is linked."""
+    r = random.Random(11)
+    texts = []
+    for _ in range(150):
+        words = [f"w{r.randint(0, 3000)}" for _ in range(r.choice((30, 120, 400)))]
+        copy = list(words)
+        for at in r.sample(range(len(words)), max(1, round(len(words) * r.uniform(0.005, 0.03)))):
+            copy[at] = f"x{r.randint(0, 10**9)}"
+        texts += [" ".join(words), " ".join(copy)]
+    _, found = simhash.similar(docs(spark, list(enumerate(texts))))
+    root = {x.doc_id: x.component for x in found.collect()}
+    sets = [set(simhash.shingle_set(t).tolist()) for t in texts]
+    near = lost = 0
+    for k in range(0, 300, 2):
+        j = len(sets[k] & sets[k + 1]) / len(sets[k] | sets[k + 1])
+        assert j >= 0.8 or root[k] != root[k + 1]
+        near += j >= 0.8
+        lost += j >= 0.8 and root[k] != root[k + 1]
+    assert near > 60 and lost <= 1
+    five = lambda t: {" ".join(t.split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))}
+    assert all(len(s) == len(five(t)) for s, t in zip(sets, texts, strict=True))
+
+
 def test_components_of_a_long_path(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (100, 100)], "a bigint, b bigint")
     got = {r.node: r.root for r in components(e).collect()}
@@ -430,6 +454,27 @@ def test_urls(spark, keys_a_block, most):
     assert url_filters.judge(pages, rules.limit(0)).where("verdict = 'block'").count() == 0
 
 
+@pytest.mark.parametrize("most", [1 << 16, 0])
+def test_a_long_list_of_urls(spark, most):
+    """100,000 listed URLs in over 3,000 blocks: the plain join's verdicts, and few false positives."""
+    n = 100_000
+    listed = spark.range(n).selectExpr("concat('h', id, '.site', id % 977, '.com') AS host", "concat('/p', id % 50) AS path", "if(id % 3 = 0, 'allow', 'block') AS verdict")
+    urls = [f"http://{'www.' if i % 2 else ''}h{i * 37}.site{i * 37 % 977}.com/p{i * 37 % 50 + (i % 5 == 0)}x" for i in range(4000)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filters.judge(pages, listed, most=most).collect()}
+    for i, u in enumerate(urls):
+        k = i * 37
+        host, path = f"h{k}.site{k % 977}.com", f"/p{k % 50}"
+        fits = k < n and u.split(".com", 1)[1].startswith(path)
+        assert got[i] == ((host + path, "allow" if k % 3 == 0 else "block") if fits else (None, "allow")), u
+    keys = listed.select(F.concat("host", F.lit("\x00"), "path").alias("key"))
+    table, blocks = url_filters.bloom(keys, "key")
+    assert blocks == n // 32 and table.count() == blocks
+    strange = spark.range(50_000).selectExpr("concat('other', id) AS key")
+    assert url_filters.may_hold(strange, table, blocks, "key", most).count() < 0.02 * 50_000
+    assert url_filters.may_hold(keys, table, blocks, "key", most).count() == n
+
+
 # 7
 
 
