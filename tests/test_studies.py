@@ -27,6 +27,14 @@ def test_running_sums_by_ranges(spark):
         assert {r.a: r.n for r in order.numbered(rows, [F.col("a").desc()], "n", most=most).collect()} == {a: 999 - a for a in value}
 
 
+def test_quantiles_by_places(spark):
+    x = np.random.default_rng(1).integers(0, 40, 999).astype(float)
+    rows = spark.createDataFrame([(float(v),) for v in x] + [(None,)], "x double")
+    at = [0.0, 0.1, 0.333, 0.5, 0.985, 1.0]
+    for most in (10, 10**6):
+        assert np.allclose(order.quantiles(rows, "x", at, most), np.quantile(x, at))
+
+
 def test_quotas_take_the_least_hashes(spark):
     import hashlib
 

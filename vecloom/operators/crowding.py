@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import numeric
+from .order import quantiles
 from .pairs import sums
 
 #: Rows at most for the trees, which are built on the driver.
@@ -230,8 +231,13 @@ def field(rows: DataFrame, edges: DataFrame, dim: int, scales: tuple[int, ...] =
     for k in scales:
         part = of(edges, k).withColumn("k", F.lit(k))
         long = part if long is None else long.union(part)
-    med = long.groupBy("k").agg(F.percentile("density", 0.5).alias("median"))
-    mad = long.join(F.broadcast(med), "k").groupBy("k").agg(F.first("median").alias("median"), F.greatest(1.4826 * F.percentile(F.abs(F.col("density") - F.col("median")), 0.5), F.lit(1e-9)).alias("mad"))
+    middle = {}
+    for k in scales:
+        d = long.where(F.col("k") == k)
+        med = quantiles(d, "density", [0.5])[0] or 0.0
+        spread = quantiles(d.select(F.abs(F.col("density") - med).alias("a")), "a", [0.5])[0] or 0.0
+        middle[k] = (med, max(1.4826 * spread, 1e-9))
+    mad = spark.createDataFrame([(k, *v) for k, v in middle.items()], "k int, median double, mad double")
     told = long.join(F.broadcast(mad), "k").join(table, "k").withColumn("z", (F.col("density") - F.col("median")) / F.col("mad"))
     return told.select("id", "k", "density", "z", (F.col("z") > F.col("cut")).alias("crowded"), "median", "mad", "null_median", "null_mad", "cut")
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .order import quantiles
 from .pairs import top_k
 
 
@@ -57,7 +58,7 @@ def margins(edges: DataFrame) -> DataFrame:
 def sparsity(edges: DataFrame) -> DataFrame:
     """(id, dist, isolated): distance to the first neighbour; isolated: at the 90th percentile or beyond."""
     first = edges.where("rank = 1").select(F.col("src").alias("id"), (1 - F.col("cos")).alias("dist"))
-    return first.join(F.broadcast(first.agg(F.percentile("dist", 0.9).alias("_p")))).select("id", "dist", (F.col("dist") >= F.col("_p")).alias("isolated"))
+    return first.select("id", "dist", (F.col("dist") >= F.lit(quantiles(first, "dist", [0.9])[0])).alias("isolated"))
 
 
 def purity(edges: DataFrame, rows: DataFrame) -> DataFrame:

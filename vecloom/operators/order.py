@@ -36,3 +36,21 @@ def before(rows: DataFrame, order: list[Column | str], value: Column | str, out:
 def numbered(rows: DataFrame, order: list[Column | str], out: str, most: int = ONE_TASK) -> DataFrame:
     """rows numbered from 0 in a total order."""
     return before(rows, order, F.lit(1), out, most).withColumn(out, F.col(out).cast("bigint"))
+
+
+def quantiles(rows: DataFrame, value: str, at: list[float], most: int = ONE_TASK) -> list[float | None]:
+    """Exact quantiles with linear interpolation; of many rows by their places in the order, not by one task's table of values."""
+    known = rows.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v"))
+    if known.limit(most + 1).count() <= most:
+        return known.agg(F.percentile("v", F.array(*map(F.lit, at))).alias("q")).first()["q"] or [None] * len(at)
+    counts = kept(before(known.groupBy("v").agg(F.count(F.lit(1)).alias("n")), ["v"], "n", "b", most))
+    n = counts.agg(F.sum("n")).first()[0]
+    wanted = sorted({int(q * (n - 1)) + k for q in at for k in (0, 1)})
+    hit = counts.select("v", "b", F.explode(F.filter(F.array(*map(F.lit, wanted)), lambda p: (p >= F.col("b")) & (p < F.col("b") + F.col("n")))).alias("p"))
+    value_at = {r["p"]: r["v"] for r in hit.collect()}
+    out = []
+    for q in at:
+        low = int(q * (n - 1))
+        part = q * (n - 1) - low
+        out.append(value_at[low] + (part * (value_at[low + 1] - value_at[low]) if part else 0.0))
+    return out

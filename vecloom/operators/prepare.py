@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .order import numbered
+from .sampling import capped
 
 #: A question that names its source gives the answer away.
 LEAK = r"§|\bC\.?F\.?R\b|\bU\.?S\.?C\b|(?i:\bpart\s+\d+|\bsection\s+\d+|\bversion\s+\d+)"
@@ -30,7 +30,8 @@ def items(rows: DataFrame, ids: list[str], titles: list[str], texts: list[str])
 
 def matched(questions: DataFrame, documents: DataFrame, on: list[str]) -> DataFrame:
     """Questions with the one document of the same key; keys of several documents match nothing."""
-    once = documents.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*on))).where("_n = 1").drop("_n")
+    rest = [c for c in documents.columns if c not in on]
+    once = documents.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"), *(F.first(c).alias(c) for c in rest)).where("_n = 1").drop("_n")
     return questions.join(once, on)
 
 
@@ -46,10 +47,11 @@ def with_distractors(gold: DataFrame, corpus: DataFrame, by: str, left_out) -> D
 
 
 def siblings(rows: DataFrame, by: list[str], id: str, take: int = 2) -> DataFrame:
-    """Up to `take` rows of each group of two or more."""
-    n = F.count(F.lit(1)).over(Window.partitionBy(*by))
-    r = F.row_number().over(Window.partitionBy(*by).orderBy(id))
-    return rows.withColumns({"_n": n, "_r": r}).where((F.col("_n") >= 2) & (F.col("_r") <= take)).drop("_n", "_r")
+    """Up to `take` rows of each group of two or more. Tasks keep `take` rows a group before any shuffle."""
+    first = capped(rows, by, [F.col(id)], take)
+    many = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).where("_n >= 2").toDF(*(f"_by{i}" for i in range(len(by))), "_n")
+    same = [F.col(c).eqNullSafe(F.col(f"_by{i}")) for i, c in enumerate(by)]
+    return first.join(many, same, "left_semi")
 
 
 def dense_ids(rows: DataFrame, key: str, out: str = "number") -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from ..functions import vec
 from .moments import Moments
+from .order import quantiles
 
 
 def axes(m: Moments, k: int) -> np.ndarray:
@@ -104,8 +105,8 @@ def shells(points: DataFrame, names: list[str], n: int = 6) -> DataFrame:
     mean = points.agg(*(F.avg(c).alias(f"_m{c}") for c in names))
     r = F.sqrt(sum((F.col(c) - F.col(f"_m{c}")) ** 2 for c in names))
     far = points.join(F.broadcast(mean)).select("id", r.alias("radius"))
-    cut = far.agg(F.percentile("radius", F.array(*(F.lit(i / n) for i in range(1, n)))).alias("_q"))
-    return far.join(F.broadcast(cut)).select("id", "radius", F.size(F.filter("_q", lambda q: q < F.col("radius"))).alias("shell"))
+    cut = F.array(*(F.lit(q).cast("double") for q in quantiles(far, "radius", [i / n for i in range(1, n)])))
+    return far.select("id", "radius", F.size(F.filter(cut, lambda q: q < F.col("radius"))).alias("shell"))
 
 
 def radial(shell: DataFrame, bins: int = 22, power: int = 3) -> DataFrame:

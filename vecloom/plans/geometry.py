@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vec
 from ..operators import compare, neighbours, project, sampling, schema
+from ..operators.order import quantiles
 from . import context
 from .registered import NEAR, UNIT, mixed, query, r6, raw, table, unit
 
@@ -192,7 +193,7 @@ def bridge_edges(spark, sf_dir):
 def scatter_hot(spark, sf_dir):
     """Rows whose local density is at or above its 98.5th percentile."""
     d = neighbours.mean_similarity(context.graph(spark, sf_dir, 10), 10).withColumn("density", F.round("density", 9))
-    return d.join(F.broadcast(d.agg(F.percentile("density", 0.985).alias("t")))).select("id", (F.col("density") >= F.col("t")).alias("hot"))
+    return d.select("id", (F.col("density") >= F.lit(quantiles(d, "density", [0.985])[0])).alias("hot"))
 
 
 @query("live_overlay", f"WITH {NEAR}, pt AS MATERIALIZED (SELECT id FROM u ORDER BY {mixed('id')}, id LIMIT 8000), nb AS (SELECT i, j, row_number() OVER (PARTITION BY i ORDER BY c DESC, j) AS n FROM k WHERE i IN (SELECT id FROM pt) AND j IN (SELECT id FROM pt)) SELECT i AS src, j AS dst FROM nb WHERE n <= 3")
