@@ -13,6 +13,7 @@ a row each; empty tables give empty results; other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Iterator
 
@@ -83,23 +84,22 @@ def _states(chunks: DataFrame, path: str) -> DataFrame:
     return made.groupBy("doc").applyInPandas(combine, "doc bigint, k bigint, entry bigint, leave bigint")  # a string's length bounds the group
 
 
-def encode_chunks(docs: DataFrame, path: str | None = None, key: str = "doc_id", text: str = "text", giant: int = GIANT, chunk: int = CHUNK) -> DataFrame:
-    """(key, doc, k, ids binary): little-endian unsigned 32-bit ids of each chunk of each document, k from 0.
-
-    doc is null for documents of one chunk; giant ones' chunks have a number in common.
-    """
-    path = path or tokenizer_path(MODEL)
-    small_batches(docs.sparkSession)
+def _whole(docs: DataFrame, path: str, key: str, text: str, giant: int) -> DataFrame:
+    """(key, ids binary) of documents of one chunk."""
     kind = docs.schema[key].dataType.simpleString()
-    schema = f"`{key}` {kind}, doc bigint, k bigint, ids binary"
-    names = [key, "doc", "k", "ids"]
 
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_of(path)
         for b in batches:
-            ids = model.encode_many([x or "" for x in b.column(1).to_pylist()])
-            n = len(ids)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.nulls(n, pa.int64()), pa.array([0] * n, pa.int64()), pa.array(ids, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.encode_many([x or "" for x in b.column(1).to_pylist()]), pa.binary())], names=[key, "ids"])
+
+    return docs.select(key, text).where(F.coalesce(F.length(text), F.lit(0)) <= giant).mapInArrow(run, f"`{key}` {kind}, ids binary")
+
+
+def _giant(docs: DataFrame, path: str, key: str, text: str, giant: int, chunk: int) -> DataFrame:
+    """(key, doc, k, ids binary): the ids of every chunk of giant documents."""
+    kind = docs.schema[key].dataType.simpleString()
+    names = [key, "doc", "k", "ids"]
 
     def back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_of(path)
@@ -109,31 +109,42 @@ def encode_chunks(docs: DataFrame, path: str | None = None, key: str = "doc_id",
                 ids.append(model.back(w, a, b, model.edge_states(w, a)[i], model.edge_states(w, b)[o]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column("doc"), batch.column("k"), pa.array(ids, pa.binary())], names=names)
 
-    small = docs.select(key, text).where(F.coalesce(F.length(text), F.lit(0)) <= giant).mapInArrow(whole, schema)
     chunks = materialize(_chunks(docs, key, text, path, giant, chunk))
     states = materialize(_states(chunks, path))
     known = chunks.join(states, ["doc", "k"]).select(key, "doc", "k", "window", "a", "b", "entry", "leave")
-    return small.union(known.mapInArrow(back, schema))
+    return known.mapInArrow(back, f"`{key}` {kind}, doc bigint, k bigint, ids binary")
+
+
+def encode_chunks(docs: DataFrame, path: str | None = None, key: str = "doc_id", text: str = "text", giant: int = GIANT, chunk: int = CHUNK) -> DataFrame:
+    """(key, doc, k, ids binary): little-endian unsigned 32-bit ids of each chunk of each document, k from 0.
+
+    doc is null for documents of one chunk; giant ones' chunks have a number in common.
+    """
+    path = path or tokenizer_path(MODEL)
+    small_batches(docs.sparkSession)
+    one = _whole(docs, path, key, text, giant).select(key, F.lit(None).cast("bigint").alias("doc"), F.lit(0).cast("bigint").alias("k"), "ids")
+    return one.union(_giant(docs, path, key, text, giant, chunk))
 
 
 def encode(docs: DataFrame, path: str | None = None, key: str = "doc_id", text: str = "text", giant: int = GIANT, chunk: int = CHUNK) -> DataFrame:
     """(key, ids array<bigint>) of every document."""
-    parts = encode_chunks(docs, path, key, text, giant, chunk)
+    path = path or tokenizer_path(MODEL)
+    small_batches(docs.sparkSession)
+    kind = docs.schema[key].dataType.simpleString()
 
     def join(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("k")
-        return rows.iloc[:1].assign(k=0, ids=b"".join(rows["ids"]))[[key, "doc", "k", "ids"]]
+        return rows.iloc[:1].assign(ids=b"".join(rows["ids"]))[[key, "ids"]]
 
-    one, many = parts.where("doc IS NULL"), parts.where("doc IS NOT NULL")
-    packed = one.union(many.groupBy("doc").applyInPandas(join, parts.schema))
-    kind = docs.schema[key].dataType.simpleString()
+    many = _giant(docs, path, key, text, giant, chunk).groupBy("doc").applyInPandas(join, f"`{key}` {kind}, ids binary")  # a string's length bounds the group
+    packed = _whole(docs, path, key, text, giant).union(many)
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = [np.frombuffer(x, "<u4").astype(np.int64) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int64()))], names=[key, "ids"])
 
-    return packed.select(key, "ids").mapInArrow(unpack, f"`{key}` {kind}, ids array<bigint>")
+    return packed.mapInArrow(unpack, f"`{key}` {kind}, ids array<bigint>")
 
 
 def decode(coded: DataFrame, path: str | None = None, key: str = "doc_id", ids: str = "ids") -> DataFrame:
@@ -153,7 +164,7 @@ def decode(coded: DataFrame, path: str | None = None, key: str = "doc_id", ids:
 def digest(docs: DataFrame, path: str | None = None, key: str = "doc_id", text: str = "text", giant: int = GIANT, chunk: int = CHUNK) -> DataFrame:
     """(key, n_ids, ids_crc32, decoded_bytes, decoded_crc32, exact) of every document's ids and what they decode to.
 
-    exact: the decoded text is the document's (null: empty).
+    exact: the decoded text is the document's (null: empty), by its bytes; of giant ones by SHA-256.
     """
     path = path or tokenizer_path(MODEL)
     small_batches(docs.sparkSession)
@@ -161,34 +172,34 @@ def digest(docs: DataFrame, path: str | None = None, key: str = "doc_id", text:
     fields = "n_ids bigint, ids_crc32 bigint, decoded_bytes bigint, decoded_crc32 bigint"
     own = docs.select(key, F.col(text).alias("text"))
 
-    def sums(model: Model, parts: list[bytes]) -> tuple[int, int, int, int]:
-        """Of a document's chunks in turn; the first chunk's first space is the model's own."""
-        n, crc, size, plain_crc = 0, 0, 0, 0
-        for i, ids in enumerate(parts):
-            n, crc = n + len(ids) // 4, zlib.crc32(ids, crc)
-            chars = model.plain(np.frombuffer(ids, "<u4").tolist(), strip=not i)
-            size, plain_crc = size + len(chars), zlib.crc32(chars, plain_crc)
-        return n, crc, size, plain_crc
-
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_of(path)
         for b in batches:
             texts = [x or "" for x in b.column(1).to_pylist()]
-            got = [sums(model, [ids]) for ids in model.encode_many(texts)]
-            exact = [(len(raw), zlib.crc32(raw)) == x[2:] for x, raw in zip(got, (t.encode() for t in texts), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(v, pa.int64()) for v in zip(*got, strict=True)), pa.array(exact)], names=[key, "n_ids", "ids_crc32", "decoded_bytes", "decoded_crc32", "exact"])
+            rows = []
+            for ids, t in zip(model.encode_many(texts), texts, strict=True):
+                chars = model.plain(np.frombuffer(ids, "<u4").tolist())
+                rows.append((len(ids) // 4, zlib.crc32(ids), len(chars), zlib.crc32(chars), chars == t.encode()))
+            n, crc, size, plain_crc, exact = zip(*rows, strict=True) if rows else [()] * 5
+            longs = [pa.array(v, pa.int64()) for v in (n, crc, size, plain_crc)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *longs, pa.array(exact, pa.bool_())], names=[key, "n_ids", "ids_crc32", "decoded_bytes", "decoded_crc32", "exact"])
 
     def chained(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("k")
-        got = sums(model_of(path), list(rows["ids"]))
-        return pd.DataFrame({key: rows[key].iloc[:1], "n_ids": [got[0]], "ids_crc32": [got[1]], "decoded_bytes": [got[2]], "decoded_crc32": [got[3]], "doc": rows["doc"].iloc[:1]})
+        """Of a document's chunks in turn; the first chunk's first space is the model's own."""
+        model, sha = model_of(path), hashlib.sha256()
+        n, crc, size, plain_crc = 0, 0, 0, 0
+        for i, ids in enumerate(rows.sort_values("k")["ids"]):
+            n, crc = n + len(ids) // 4, zlib.crc32(ids, crc)
+            chars = model.plain(np.frombuffer(ids, "<u4").tolist(), strip=not i)
+            size, plain_crc = size + len(chars), zlib.crc32(chars, plain_crc)
+            sha.update(chars)
+        return pd.DataFrame({key: rows[key].iloc[:1], "n_ids": [n], "ids_crc32": [crc], "decoded_bytes": [size], "decoded_crc32": [plain_crc], "sha": [sha.hexdigest()]})
 
     small = own.where(F.coalesce(F.length("text"), F.lit(0)) <= giant).mapInArrow(whole, f"`{key}` {kind}, {fields}, exact boolean")
-    large = encode_chunks(own.where(F.length("text") > giant), path, key, "text", giant, chunk)
-    told = large.groupBy("doc").applyInPandas(chained, f"`{key}` {kind}, {fields}, doc bigint").drop("doc")
-    want = own.where(F.length("text") > giant).select(F.col(key).alias("_key"), F.octet_length("text").cast("bigint").alias("_n"), F.crc32("text").alias("_crc")).distinct()
-    match = F.col(key).eqNullSafe(F.col("_key")) & (F.col("decoded_bytes") == F.col("_n")) & (F.col("decoded_crc32") == F.col("_crc"))
-    checked = told.join(want, match, "left").withColumn("exact", F.col("_n").isNotNull()).drop("_key", "_n", "_crc")
+    large = _giant(own.where(F.length("text") > giant), path, key, "text", giant, chunk)
+    told = large.groupBy("doc").applyInPandas(chained, f"`{key}` {kind}, {fields}, sha string")
+    want = own.where(F.length("text") > giant).select(F.col(key).alias("_key"), F.sha2("text", 256).alias("_sha")).distinct()
+    checked = told.join(want, F.col(key).eqNullSafe(F.col("_key")) & (F.col("sha") == F.col("_sha")), "left").withColumn("exact", F.col("_sha").isNotNull()).drop("_key", "_sha", "sha")
     return small.union(checked)
 
 
