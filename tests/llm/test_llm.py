@@ -706,6 +706,41 @@ def test_sharding(spark):
     assert sharding.shard(docs(spark, [])).count() == 0
 
 
+# texts beyond every block
+
+
+@pytest.fixture(scope="module")
+def huge():
+    r = random.Random(12)
+    words = [f"wort{r.randint(0, 9999)}{r.choice(['', '.', ','])}" for _ in range(150_000)]
+    text = " ".join(words)
+    cut = (1 << 20) - 40
+    return text[:cut] + " released under the MIT license a@b.org 2020-02-29 " + text[cut:]
+
+
+def test_huge_texts(spark, huge, model, library):
+    assert len(huge) > 1 << 20
+    assert simhash.simhash(huge) == slow_simhash(huge)
+    index = licenses.Index(licenses.TEMPLATES, licenses.BASE, {})
+    own = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", huge.lower())
+    at = next(i for i in range(len(own)) if own[i : i + 2] == ["mit", "license"])
+    assert index.scan(huge.encode())[:4] == (len(own), 1, at, at)
+    tokenizer = tokens.PieceIds(tokens.tokenizer_path())
+    assert tokenizer.packed([huge.encode()])[0].tolist() == tokenizer.whole.encode(huge, add_special_tokens=False).ids
+    assert by_chunks(model, huge, sentencepieces.CHUNK) == np.array(library.encode(huge), "<u4").tobytes()
+    there, back = pseudonyms.Pseudonyms(b"k"), pseudonyms.Pseudonyms(b"k", invert=True)
+    new, found = there.text(huge)
+    assert found == {"email": 1, "date": 1} and back.text(new)[0] == huge
+    d = docs(spark, [(1, huge), (2, huge + " more"), (3, None)])
+    assert {(r.doc_id, r.component_id) for r in simhash.near_duplicates(d).collect()} >= {(1, 1), (2, 1)}
+    cover, _ = check_packing(packing.pack(d).collect(), {i: tokenizer.whole.encode(t or "", add_special_tokens=False).ids + [1] for i, t in [(1, huge), (2, huge + " more"), (3, None)]})
+    assert set(cover) == {1, 2, 3}
+    assert {r.shard for r in sharding.shard(d).collect()} <= set(range(8))
+    import corpus_pipeline
+
+    assert sorted(r.doc_id for r in corpus_pipeline.without_near_copies(spark, d, "").collect()) == [1, 3]
+
+
 # the pipeline
 
 
