@@ -112,6 +112,40 @@ def retrieval_variants(spark, sf_dir):
     return retrieval.by_variant({"plain": x, "turned": other(spark, sf_dir)}, golds, {"closed": closed, "open": x}, asked)
 
 
+_VARIANT_SQL = """{0}), rk AS (SELECT q, max(rank) FILTER (variant = 'plain') AS b, max(rank) FILTER (variant = 'turned') AS a FROM ranks WHERE corpus = 'open' GROUP BY q)"""
+
+
+def _both(spark, sf_dir):
+    """(q, b, a): ranks among all rows of the plain and of the turned searches."""
+    r = retrieval_variants(spark, sf_dir).where("corpus = 'open'")
+    pick = lambda v: F.max(F.when(F.col("variant") == v, F.col("rank")))
+    return r.groupBy("q").agg(pick("plain").alias("b"), pick("turned").alias("a"))
+
+
+def _ranks_cte() -> str:
+    from .registered import SQL
+
+    head, _, tail = SQL["retrieval_variants"].rpartition(" SELECT a.variant")
+    return f"{head}, ranks AS (SELECT a.variant{tail}"
+
+
+@query("retrieval_mcnemar", _VARIANT_SQL.format(_ranks_cte()) + """, n AS (SELECT count(*) FILTER (b > 10 AND a <= 10) AS fixed, count(*) FILTER (b <= 10 AND a > 10) AS broken FROM rk), m AS (SELECT fixed, broken, fixed + broken AS n, least(fixed, broken) AS k FROM n)
+    SELECT fixed, broken, round(CASE WHEN n = 0 THEN 1 ELSE least(1, 2 * (SELECT sum(exp(lgamma(n + 1.0) - lgamma(i + 1.0) - lgamma(n - i + 1.0) - n * ln(2))) FROM range(k + 1) x(i))) END, 6) AS p FROM m""")
+def retrieval_mcnemar(spark, sf_dir):
+    """Searches that gain or lose a hit among the first ten when they are put otherwise, with the exact test."""
+    r = evaluate.mcnemar(_both(spark, sf_dir).select((F.col("b") <= 10).alias("x"), (F.col("a") <= 10).alias("y")), "x", "y")
+    return spark.createDataFrame([(r["fixed"] or 0, r["broken"] or 0, float(r["p"]))], "fixed bigint, broken bigint, p double").withColumn("p", r6("p"))
+
+
+@query("retrieval_agreement", _VARIANT_SQL.format(_ranks_cte()) + """, o AS (SELECT rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2.0 AS x, rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2.0 AS y FROM rk)
+    SELECT (SELECT count(*) FROM rk) AS n, round((SELECT corr(x, y) FROM o), 6) AS rho, round((SELECT avg(CASE WHEN sign(p.b - q.b) = sign(p.a - q.a) THEN 1.0::DOUBLE ELSE 0 END) FROM rk p JOIN rk q ON p.q < q.q), 6) AS agreement""")
+def retrieval_agreement(spark, sf_dir):
+    """How alike the two ways order the searches by their ranks."""
+    w = context.once(spark, sf_dir, "both_ranks", lambda: _both(spark, sf_dir))
+    n = w.agg(F.count(F.lit(1)).alias("n"))
+    return n.join(evaluate.spearman(w, "b", "a").select(r6("rho").alias("rho"))).join(evaluate.rank_agreement(w, "b", "a", "q").select(r6("agreement").alias("agreement")))
+
+
 _CUT = 0.4
 _ROUTED = f"""WITH RECURSIVE {UNIT}, q AS (SELECT id, label, v FROM u WHERE id % 100 = 0 AND label % 2 = 1), g AS (SELECT q.id AS q, min(u.id) AS id FROM q JOIN u ON u.label = q.label AND u.id <> q.id GROUP BY 1),
     ed AS (SELECT a.id AS a, b.id AS b FROM u a JOIN u b ON a.id <> b.id AND a.label % 2 = b.label % 2 AND list_dot_product(a.v, b.v) >= {_CUT}), r(id, root) AS (SELECT id, id FROM u UNION SELECT ed.b, r.root FROM r JOIN ed ON ed.a = r.id), c AS (SELECT id, min(root) AS root FROM r GROUP BY id),
