@@ -25,6 +25,37 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+_tables: dict[str, dict] = {}
+
+
+def worker_tables(operator: str) -> dict:
+    """What tasks of an operator keep in a Python worker for the next ones."""
+    return _tables.setdefault(operator, {})
+
+
+def turn_to(operator: str | None = None) -> None:
+    """For the begin of a task in a Python worker: tables that other operators left there go, and free memory with them."""
+    gone = [own for name, own in _tables.items() if name != operator and own]
+    for own in gone:
+        own.clear()
+    if gone:
+        give_back()
+
+
+def give_back() -> None:
+    """Return a worker's free memory to the system, as its next task may be another operator's."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; one of our own only where it is unset (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
@@ -102,7 +133,7 @@ def number(df: DataFrame, group: list[str], order: list[str], out: str) -> DataF
     return numbered.join(starts, key).withColumn(out, F.col("_own") + F.col("_start")).drop("_slice", "_own", "_start")
 
 
-def sized(df: DataFrame, most: int = 200_000) -> DataFrame:
+def sized(df: DataFrame, most: int = 50_000) -> DataFrame:
     """df, marked for broadcast if it has at most so many rows; give a materialized table of narrow rows."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import read, small_batches
+from .common import give_back, read, small_batches, turn_to
 
 ORDER, SAMPLE_DOCS, SAMPLE_BYTES, MAX_LANGUAGES = 4, 300, 1 << 16, 256
 UNDETERMINED = "und"
@@ -148,6 +148,7 @@ def identify(docs: DataFrame, trees: Trees, keep: list[str] | None = None, text:
     shared = spark.sparkContext.broadcast(trees)  # bounded by the sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn_to()
         known = shared.value
         scorer = Scorer(known)
         for b in batches:
@@ -160,6 +161,8 @@ def identify(docs: DataFrame, trees: Trees, keep: list[str] | None = None, text:
                 names[letters] = np.array(known.names, object)[bits.argmin(axis=1)]
                 score[letters] = 1 / rel.sum(axis=1)
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(names, pa.string()), pa.array(score)], names=[*keep, "lang_pred", "score"])
+        del scorer
+        give_back()
 
     return docs.select(*keep, F.col(text).alias("_text")).mapInArrow(run, f"{schema}, lang_pred string, score double")
 

@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free_name, read, small_batches
+from .common import free_name, read, small_batches, turn_to
 
 #: The setting of a session that holds the key of the registered queries.
 KEY_SETTING = "spark.vecloom.pseudonyms.key"
@@ -279,6 +279,7 @@ def pseudonymize(docs: DataFrame, key: bytes, text: str = "text", found: str = "
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn_to()
         own = Pseudonyms(key, invert)
         for b in batches:
             done = [(None, Counter()) if x is None else own.text(x) for x in b.column(at).to_pylist()]

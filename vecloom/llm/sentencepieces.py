@@ -24,19 +24,20 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, read, small_batches
+from .common import materialize, read, small_batches, turn_to, worker_tables
 from .pieces import Model, edges
 from .tokens import tokenizer_path
 
 MODEL, GIANT, CHUNK = "piece_bpe_32k.model", 1 << 16, 1 << 14
-_kept: dict[str, Model] = {}
 
 
 def model_of(path: str) -> Model:
-    """One for each Python process: a reused worker keeps its memos."""
-    if path not in _kept:
-        _kept[path] = Model.load(path)
-    return _kept[path]
+    """One for each Python process: a reused worker keeps its memos until it turns to another operator."""
+    turn_to("pieces")
+    kept = worker_tables("pieces")
+    if path not in kept:
+        kept[path] = Model.load(path)
+    return kept[path]
 
 
 def _chunks(docs: DataFrame, key: str, text: str, path: str, giant: int, chunk: int) -> DataFrame:

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .cells import least_links, linked, with_classes
-from .common import PLACE, discard, materialize, named, read, sized, small_batches, unsigned_hex
+from .common import PLACE, discard, give_back, materialize, named, read, sized, small_batches, turn_to, unsigned_hex
 from .components import components
 
 WORDS, SEED, BITS = 4, 42, 4
@@ -46,6 +46,8 @@ ROW_COST, WIDE_ROW_COST = 10, 30
 #: Hashes that are counted at once: bounds memory on long texts.
 BLOCK = 1 << 14
 SET_WORDS, SIMILARITY, RECALL = 5, 0.8, 0.99
+#: Words whose hashes a task keeps.
+MEMO = 100_000
 #: Standard deviations beyond the expected distance that the two words' test allows.
 SLACK = 4.0
 #: Fine cells of similar(), and segments that each has at least.
@@ -251,11 +253,12 @@ def marked(docs: DataFrame, longs: int, width: int, n_grids: int, words: int = S
     names = [*keep, "set", "s0", "s1", "cells"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn_to()
         known: dict[bytes, int] = {}
         for b in batches:
             node, s, cells = [], [], []
             for x in b.column(len(keep)).to_pylist():
-                if len(known) > 200_000:
+                if len(known) > MEMO:
                     known.clear()
                 own = shingle_set(x, words, known)
                 f = long_fingerprint(own, longs)
@@ -264,6 +267,8 @@ def marked(docs: DataFrame, longs: int, width: int, n_grids: int, words: int = S
                 cells.append(cell_numbers(_unary(f), masks)[:n_grids])
             made = [pa.array(node, pa.int64()), *(pa.array([x[i] for x in s], pa.int64()) for i in (0, 1)), pa.array(cells, pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *made], names=names)
+        known.clear()
+        give_back()
 
     fields = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
     return docs.select(*keep, text).mapInArrow(run, f"{fields}`set` bigint, s0 bigint, s1 bigint, cells array<int>")
@@ -273,12 +278,13 @@ def _jaccard(pairs: DataFrame, similarity: float, words: int) -> DataFrame:
     """(a, b): the rows (a, b, x, y) whose texts x and y have similar sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn_to()
         known: dict[bytes, int] = {}
         for batch in batches:
             keep = []
             last: tuple[str | None, np.ndarray] | None = None
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                if len(known) > 200_000:
+                if len(known) > MEMO:
                     known.clear()
                 if last is None or last[0] != x:
                     last = (x, shingle_set(x, words, known))
@@ -286,6 +292,8 @@ def _jaccard(pairs: DataFrame, similarity: float, words: int) -> DataFrame:
                 both = len(np.intersect1d(p, q, assume_unique=True))
                 keep.append(both >= similarity * (len(p) + len(q) - both) - 1e-9)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        known.clear()
+        give_back()
 
     return pairs.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 

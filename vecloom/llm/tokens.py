@@ -9,6 +9,8 @@ import unicodedata
 import numpy as np
 import regex
 
+from .common import turn_to, worker_tables
+
 WORD = "word_bpe_49k.json"
 
 
@@ -182,11 +184,10 @@ class PieceIds:
         self.used += len(ids)
 
 
-_kept: dict[str, PieceIds] = {}
-
-
 def piece_ids(path: str) -> PieceIds:
-    """One for each Python process: a reused worker keeps its tables."""
-    if path not in _kept:
-        _kept[path] = PieceIds(path)
-    return _kept[path]
+    """One for each Python process: a reused worker keeps its tables until it turns to another operator."""
+    turn_to("tokens")
+    kept = worker_tables("tokens")
+    if path not in kept:
+        kept[path] = PieceIds(path)
+    return kept[path]
