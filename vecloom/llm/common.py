@@ -66,14 +66,25 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+#: Whether the shuffle files of a query go once it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back.
 
     This cuts the lineage like checkpoint() but computes df once. The files outlive any
-    executor; they go when the driver ends, or earlier by discard().
+    executor; they go when the driver ends, or earlier by discard(). The shuffle files of the
+    writing go at its end: nothing reads them again.
     """
-    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     _written.add(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._vecloom_path = path
