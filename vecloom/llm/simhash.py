@@ -12,10 +12,12 @@ get more blocks: smaller cells, more grids.
 
 similar() links texts whose shingle sets have a Jaccard similarity of at least `similarity`. Their
 fingerprints are of many words, majorities over the distinct shingles: at similarity 0.8
-two bits differ with chance p = 0.15, so two segments have equal counts with chance
-(1 - p)^2 + p^2 / 2. Disjoint groups of `width` segments are the grids, as many as find a pair at the
-threshold itself with chance RECALL; closer pairs are missed far less. What meets is tested by two
-words of the fingerprints, then verified on the whole sets.
+two bits differ with chance p = 0.15. The segments of its grids have one bit, whose count is the bit
+itself: segments of two agree with chance (1 - p)^2 + p^2 / 2 and by accident with 3 / 8, those of
+one with 1 - p and 1 / 2, so that one-bit segments find the same pairs with a number of grids that grows as n to
+the power 0.23 and not 0.32. Disjoint groups of `width` bits are the grids, as many as find a pair at the
+threshold itself with chance RECALL; closer pairs are missed far less. What meets is tested by the Manhattan
+distance of two words of the fingerprints, then verified on the whole sets.
 
 Defined results: a null text counts as empty; a text without words has fingerprint zero (and an
 empty set) and links like any other. Equal fingerprints, or equal sets, are one node of the join, so copies
@@ -48,10 +50,16 @@ BLOCK = 1 << 14
 SET_WORDS, SIMILARITY, RECALL = 5, 0.8, 0.99
 #: Words whose hashes a task keeps.
 MEMO = 100_000
+#: Bytes of text in each of the two parts of a block of pairs, and bytes that any text counts besides its own.
+BLOCK_BYTES, TEXT_BYTES = 2 << 20, 4096
+#: Doublings of the way to a family's least node; what is further off is another family.
+HOPS = 3
 #: Standard deviations beyond the expected distance that the two words' test allows.
 SLACK = 4.0
-#: Fine cells of similar(), and segments that each has at least.
-FINE, FINE_SEGMENTS = 6, 20
+#: Fine cells of similar(), and bits that each has at least.
+FINE, FINE_BITS = 6, 26
+#: Bits of a grid of similar(): a cell's number is an int.
+WIDTHS = range(4, 32)
 _LANES, _PLACES = np.uint64(0x0101010101010101), np.arange(8, dtype=np.uint64)
 
 
@@ -191,14 +199,18 @@ def differing(similarity: float) -> float:
 
 
 def plan(n: int, similarity: float = SIMILARITY, recall: float = RECALL) -> tuple[int, int]:
-    """(segments in a grid, grids): what costs least for n sets and finds a pair at the threshold with chance `recall`."""
-    p = differing(similarity)
-    same = (1 - p) ** 2 + p * p / 2
+    """(bits in a grid, grids): what costs least for n sets and finds a pair at the threshold with chance `recall`."""
+    same = 1 - differing(similarity)
     grids = lambda w: math.ceil(math.log(1 - recall) / math.log(1 - same**w))
-    width = min(range(4, SEGMENTS + 1), key=lambda w: grids(w) * (WIDE_ROW_COST + n / 2 * 0.375**w))
+    width = min(WIDTHS, key=lambda w: grids(w) * (WIDE_ROW_COST + n / 2 * 0.5**w))
     return width, grids(width)
 
 
+def longs_for(width: int, n_grids: int) -> int:
+    """The longs of a fingerprint that hold the grids' bits, two at least."""
+    return max(2, -(-width * n_grids // 64))
+
+
 def shingle_set(text: str | None, words: int = SET_WORDS, known: dict[bytes, int] | None = None) -> np.ndarray:
     """The sorted distinct hashes of a text's shingles; a text of fewer words is one shingle. known: a memo of words."""
     tokens = words_of(text)
@@ -232,24 +244,15 @@ def long_fingerprint(shingles: np.ndarray, longs: int) -> np.ndarray:
     return out
 
 
-def _unary(x: np.ndarray) -> np.ndarray:
-    """segment_counts() of an array."""
-    low = np.uint64(0x5555555555555555)
-    even, odd = x & low, (x >> np.uint64(1)) & low
-    return even | odd | ((even & odd) << np.uint64(1))
-
-
-def cell_numbers(counts: np.ndarray, masks: np.ndarray) -> np.ndarray:
-    """The cell in each grid, as a 32-bit number: two cells of one grid that share a number only bring more pairs together."""
-    own = mixed(counts[:, None] & masks[None, :]).reshape(-1)
-    return (own >> np.uint64(32)).astype(np.uint32).view(np.int32)
+def cell_numbers(fingerprint: np.ndarray, width: int, n_grids: int) -> np.ndarray:
+    """The cell in each grid: grid i has the bits from i * width of the longs one after the other."""
+    bits = np.unpackbits(fingerprint.view(np.uint8), bitorder="little")[: width * n_grids]
+    return bits.reshape(n_grids, width) @ (np.int32(1) << np.arange(width, dtype=np.int32))
 
 
 def marked(docs: DataFrame, longs: int, width: int, n_grids: int, words: int = SET_WORDS, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """(keep ..., set, s0, s1, cells): set names a text's set, s0 and s1 are longs of its fingerprint, cells its cell in each grid."""
     small_batches(docs.sparkSession)
-    each = SEGMENTS // width
-    masks = np.array([_mask(range(i * width, (i + 1) * width)) for i in range(each)], np.uint64)
     names = [*keep, "set", "s0", "s1", "cells"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,7 +267,7 @@ def marked(docs: DataFrame, longs: int, width: int, n_grids: int, words: int = S
                 f = long_fingerprint(own, longs)
                 node.append(xxhash.xxh64_intdigest(own.tobytes(), SEED) - (1 << 63))
                 s.append(f[:2].view(np.int64).tolist())
-                cells.append(cell_numbers(_unary(f), masks)[:n_grids])
+                cells.append(cell_numbers(f, width, n_grids))
             made = [pa.array(node, pa.int64()), *(pa.array([x[i] for x in s], pa.int64()) for i in (0, 1)), pa.array(cells, pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *made], names=names)
         known.clear()
@@ -274,28 +277,62 @@ def marked(docs: DataFrame, longs: int, width: int, n_grids: int, words: int = S
     return docs.select(*keep, text).mapInArrow(run, f"{fields}`set` bigint, s0 bigint, s1 bigint, cells array<int>")
 
 
-def _jaccard(pairs: DataFrame, similarity: float, words: int) -> DataFrame:
-    """(a, b): the rows (a, b, x, y) whose texts x and y have similar sets."""
+def alike(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether the sets of each pair of places a, b have that Jaccard similarity."""
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    every, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    each = np.split(ids, np.cumsum(sizes)[:-1])
+    both, own, last = np.zeros(len(a), np.int64), np.zeros(len(every), bool), -1
+    for k in np.argsort(a, kind="stable").tolist():
+        if a[k] != last:
+            own[each[last]] = False
+            last = a[k]
+            own[each[last]] = True
+        both[k] = np.count_nonzero(own[each[b[k]]])
+    return both >= similarity * (sizes[a] + sizes[b] - both) - 1e-9
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def blocks_of(pairs: DataFrame, sizes: DataFrame, families: DataFrame) -> DataFrame:
+    """(a, b, block): pairs whose ends have one family share a block as long as BLOCK_BYTES hold it.
+
+    sizes: (node, bytes); families: (node, family), a node that isn't there is its own. A larger family is
+    divided by hash, and its pairs are dealt to blocks of two parts: so a text goes to as many blocks
+    as its family has parts, however many pairs it has. Small families share a block.
+    """
+    weight = F.coalesce("bytes", F.lit(0)) + TEXT_BYTES
+    own = materialize(sizes.join(sized(families), "node", "left").select("node", F.coalesce("family", "node").alias("family"), weight.alias("w")))
+    shared = max(1, -(-(own.agg(F.sum("w")).first()[0] or 0) // BLOCK_BYTES))
+    large = materialize(own.groupBy("family").agg(F.ceil(F.sum("w") / BLOCK_BYTES).alias("parts")).where("parts > 1"))
+    part = F.when(F.col("parts").isNull(), F.xxhash64(F.pmod(F.xxhash64("family"), F.lit(shared)))).otherwise(F.xxhash64("family", F.pmod(F.xxhash64("node"), "parts")))
+    home = materialize(own.join(sized(large), "family", "left").select("node", part.alias("home")))
+    met = pairs.join(sized(home).toDF("a", "ha"), "a").join(sized(home).toDF("b", "hb"), "b")
+    out = materialize(met.select("a", "b", F.xxhash64(F.least("ha", "hb"), F.greatest("ha", "hb")).alias("block")))
+    for t in (own, large, home):
+        discard(t)
+    return out
+
+
+def _jaccard(pairs: DataFrame, texts: DataFrame, similarity: float, words: int) -> DataFrame:
+    """(a, b): the rows (a, b, block) whose texts have similar sets. texts: (node, text); a block makes each of its sets once."""
+
+    def run(met: pa.Table, own: pa.Table) -> pa.Table:
         turn_to()
         known: dict[bytes, int] = {}
-        for batch in batches:
-            keep = []
-            last: tuple[str | None, np.ndarray] | None = None
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                if len(known) > MEMO:
-                    known.clear()
-                if last is None or last[0] != x:
-                    last = (x, shingle_set(x, words, known))
-                p, q = last[1], shingle_set(y, words, known)
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(both >= similarity * (len(p) + len(q) - both) - 1e-9)
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        at, sets = {}, []
+        for node, x in zip(own.column("node").to_pylist(), own.column("text").to_pylist(), strict=True):
+            if len(known) > MEMO:
+                known.clear()
+            at[node] = len(sets)
+            sets.append(shingle_set(x, words, known))
+        a, b = (np.fromiter(map(at.__getitem__, met.column(c).to_pylist()), np.int64, len(met)) for c in ("a", "b"))
+        out = met.select(["a", "b"]).filter(pa.array(alike(sets, a, b, similarity)))
         known.clear()
+        del sets
         give_back()
+        return out
 
-    return pairs.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
+    ends = pairs.select(F.col("block").alias("of"), F.col("a").alias("node")).union(pairs.select("block", "b")).distinct()
+    return pairs.groupBy("block").cogroup(ends.join(texts, "node").select("of", "node", "text").groupBy("of")).applyInArrow(run, "a bigint, b bigint")
 
 
 def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, words: int = SET_WORDS) -> tuple[DataFrame, DataFrame]:
@@ -303,8 +340,7 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity
     rows = named(docs)
     n = max(1, rows.count())
     width, n_grids = plan(n, similarity)
-    longs = max(2, -(-n_grids // (SEGMENTS // width)))
-    marks = materialize(marked(rows, longs, width, n_grids, words, text, (*PLACE, key)))
+    marks = materialize(marked(rows, longs_for(width, n_grids), width, n_grids, words, text, (*PLACE, key)))
     first = F.min_by(F.struct(*PLACE, "s0", "s1", "cells"), F.struct(*PLACE))
     # a written table: a node keeps its number
     nodes = materialize(marks.groupBy("set").agg(first.alias("f")).select("set", "f.*").withColumn("node", F.monotonically_increasing_id()))
@@ -315,12 +351,13 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity
     near = lambda x, y: (sum(manhattan(segment_counts(a), segment_counts(b)) for a, b in zip(x, y, strict=True)) <= most) & (sum(F.bit_count(a.bitwiseXOR(b)) for a, b in zip(x, y, strict=True)) <= most)
     sketch = ("s0", "s1")
 
-    def check(pairs: DataFrame) -> DataFrame:
+    def check(pairs: DataFrame, families: DataFrame) -> DataFrame:
         ends = materialize(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
         wanted = materialize(nodes.select("node", *PLACE).join(sized(ends), "node", "left_semi"))
         texts = materialize(rows.select(*PLACE, F.col(text).alias("text")).join(sized(wanted), list(PLACE)).select("node", "text"))
-        out = materialize(_jaccard(pairs.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b"), similarity, words))
-        for t in (ends, wanted, texts):
+        met = blocks_of(pairs, texts.select("node", F.octet_length("text").alias("bytes")), families)
+        out = materialize(_jaccard(met, texts, similarity, words))
+        for t in (ends, wanted, texts, met):
             discard(t)
         return out
 
@@ -328,14 +365,19 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity
         """Each node with its least partner first; then only the pairs that this didn't connect."""
         pairs = materialize(pairs)
         one = materialize(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
-        done = check(one)
+        # near least partners are of one family: edited copies of one text, whose pairs grow as the square of their number
+        families = one.select(F.col("b").alias("node"), F.col("a").alias("family"))
+        for _ in range(HOPS):
+            families = families.join(families.toDF("family", "next"), "family", "left").select("node", F.coalesce("next", "family").alias("family"))
+        families = materialize(families)
+        done = check(one, families)
         root = sized(materialize(components(done)))
         far = pairs.join(root.toDF("a", "ra"), "a", "left").join(root.toDF("b", "rb"), "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
         rest = materialize(far.join(one, ["a", "b"], "left_anti"))
-        return done if rest.isEmpty() else done.union(check(rest))
+        return done if rest.isEmpty() else done.union(check(rest, families))
 
-    # copies with few edits share cells of many segments, where hardly anything else lies: they are classes before the grids meet
-    group = -(-FINE_SEGMENTS // width)
+    # copies with few edits share cells of many bits, where hardly anything else lies: they are classes before the grids meet
+    group = -(-FINE_BITS // width)
     joint = [F.xxhash64(*(F.col("cells")[min(n_grids - 1, i * group + j)] for j in range(group))) for i in range(min(FINE, max(1, n_grids // group)))]
     fine = nodes.select("node", *sketch, F.posexplode(F.array(*joint)).alias("t", "c"))
     known = materialize(least_links(fine, sketch, near, verify))
