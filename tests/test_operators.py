@@ -1,4 +1,5 @@
 import math
+import time
 
 import numpy as np
 import pandas as pd
@@ -164,6 +165,21 @@ def test_ranks_with_ties(spark):
     assert numeric.binomial_tail(0, 12) == pytest.approx(2 / 4096)
 
 
+def test_sign_test_of_many_draws():
+    """As the exact integers have it, and within a second where their number's square would take hours."""
+    from fractions import Fraction
+
+    for n in (1, 2, 7, 40, 1001, 3000):
+        for k in {0, 1, n // 3, n // 2 - n // 50, n // 2, n}:
+            least = min(k, n - k)
+            want = min(Fraction(1), Fraction(2 * sum(math.comb(n, i) for i in range(least + 1)), 2**n))
+            assert numeric.binomial_tail(k, n) == pytest.approx(float(want), rel=1e-9, abs=1e-300)
+    began = time.time()
+    assert numeric.binomial_tail(4_998_000, 10_000_000) == pytest.approx(0.2059, abs=1e-3)  # z = -1.2646
+    assert numeric.binomial_tail(1_000_000, 10_000_000) == 0
+    assert time.time() - began < 1
+
+
 def test_validation(spark):
     bad = spark.createDataFrame([(1, [1.0, 2.0], "a"), (1, [float("nan"), 1.0], "a"), (2, None, "a"), (3, [1.0], "a"), (4, [0.0, 0.0], "a")], "id bigint, vec array<double>, label string")
     r = schema.validate(bad).first()
