@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import numeric, vec
-from .pairs import sums
+from .pairs import repeated, scan, sums
 
 
 def labelled(rows: DataFrame) -> DataFrame:
@@ -80,12 +80,46 @@ def largest_groups(labels: DataFrame, most: int, least_prefix: int = 6) -> DataF
 def silhouette(rows: DataFrame) -> DataFrame:
     """(id, label, silhouette) by cosine distance; a group of one row has 0."""
     own = labelled(rows)
+    if not repeated(own):
+        return _silhouette(own)
     dist = sums(own, own, lambda c: 1 - c, by="label").withColumnRenamed("label", "g")
     mean = dist.where("n > 0").withColumn("d", F.col("total") / F.col("n")).join(own.select("id", "label"), "id")
     ab = mean.groupBy("id", "label").agg(F.max(F.when(F.col("g") == F.col("label"), F.col("d"))).alias("a"), F.min(F.when(F.col("g") != F.col("label"), F.col("d"))).alias("b"))
     return ab.select("id", "label", F.when(F.col("a").isNull() | F.col("b").isNull(), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b", F.lit(1e-12))).alias("silhouette"))
 
 
+class _Apart:
+    """Mean cosine distance of each of a block's rows to its own group, itself not counted, and to the nearest other."""
+
+    def __init__(self, x: dict):
+        self.x = x
+        self.own, self.other = np.full(len(x["id"]), np.nan), np.full(len(x["id"]), np.inf)
+
+    def meet(self, y: dict, s: int, t: int, c: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+        n = y["n"][t : t + c.shape[1]]
+        d = n - c
+        p = self.x["vec"][s + i]
+        alone = n[j] < 2
+        self.own[s + i] = np.where(alone, np.nan, (d[i, j] - 1 + (p * p).sum(axis=1)) / np.maximum(n[j] - 1, 1))
+        d /= n
+        d[i, j] = np.inf
+        np.minimum(self.other[s : s + len(c)], d.min(axis=1), out=self.other[s : s + len(c)])
+
+    def end(self) -> dict:
+        a, b = self.own, self.other
+        told = ~np.isnan(a) & np.isfinite(b)
+        value = np.zeros(len(a))
+        value[told] = (b[told] - a[told]) / np.maximum(np.maximum(a[told], b[told]), 1e-12)
+        return {"id": self.x["id"], "label": self.x["label"], "silhouette": value}
+
+
+def _silhouette(own: DataFrame) -> DataFrame:
+    """silhouette() where no id stands twice: a row's distances to a group add up to the group's size less its product with the group's sum."""
+    groups = group_sums(own).select(F.col("label").alias("id"), "n", F.col("s").alias("vec"))
+    kind = [own.schema[c].dataType.simpleString() for c in ("id", "label")]
+    return scan(own.select("id", "label", "vec"), groups, _Apart, f"id {kind[0]}, label {kind[1]}, silhouette double", key="label")
+
+
 def within_between(pairs: DataFrame) -> DataFrame:
     """(same, n, mean, sd) of sampled pair cosines (la, lb, cos)."""
     known = pairs.where(F.col("la").isNotNull() & F.col("lb").isNotNull())
@@ -97,8 +131,12 @@ def by_label(rows: DataFrame, purity: DataFrame) -> DataFrame:
     from pyspark.sql.window import Window
 
     own = labelled(rows)
-    pair = sums(own, own, lambda c: c, by="label").withColumnRenamed("label", "g").join(own.select("id", "label"), "id").where("g = label")
-    intra = pair.groupBy("label").agg((F.sum("total") / F.sum("n")).alias("intra"))
+    if repeated(own):
+        pair = sums(own, own, lambda c: c, by="label").withColumnRenamed("label", "g").join(own.select("id", "label"), "id").where("g = label")
+        intra = pair.groupBy("label").agg((F.sum("total") / F.sum("n")).alias("intra"))
+    else:  # the cosines of all pairs of a group add up to its sum's square less its rows' squares
+        square = vec.dot(F.col("s"), F.col("s")) - F.aggregate("q", F.lit(0.0), lambda a, x: a + x)
+        intra = group_sums(own).where("n > 1").select("label", (square / (F.col("n") * (F.col("n") - 1))).alias("intra"))
     other = centroid_cosines(rows).where("g1 <> g2").withColumn("_r", F.row_number().over(Window.partitionBy("g1").orderBy(F.col("cos").desc(), "g2"))).where("_r = 1")
     n = own.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
     return n.join(intra, "label", "left").join(purity.groupBy("label").agg(F.avg("purity").alias("purity")), "label", "left").join(other.select(F.col("g1").alias("label"), F.col("g2").alias("nearest"), F.col("cos").alias("nearest_cos")), "label", "left")

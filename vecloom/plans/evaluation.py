@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import vec
-from ..operators import crowding, evaluate, sampling, training
+from ..operators import evaluate, sampling, training
 from ..operators.pairs import at_least, top_k
 from . import context
 from .registered import PAIRS, UNIT, mixed, phi, query, r6, raw, table, unit
@@ -85,7 +85,7 @@ def preservation_loss(spark, sf_dir):
 
 @query("resolution_weights", f"WITH {PAIRS}, s AS (SELECT i AS id, sum({phi('c', '0.3::DOUBLE')}) AS x FROM p GROUP BY i) SELECT id, round(0.9::DOUBLE * x / sum(x) OVER () + 0.1::DOUBLE / count(*) OVER (), 7) AS weight FROM s")
 def resolution_weights(spark, sf_dir):
-    return training.resolution_weights(crowding.item_collisions(context.units(spark, sf_dir), 0.3)).select("id", r6("weight", 7).alias("weight"))
+    return training.resolution_weights(context.collisions(spark, sf_dir)).select("id", r6("weight", 7).alias("weight"))
 
 
 @query("confusable_negatives", f"WITH {_BATCH}, w AS (SELECT i, j, c, row_number() OVER (PARTITION BY i ORDER BY {mixed('j')}, j) AS r FROM q WHERE c BETWEEN 0.1 AND 0.25 AND NOT EXISTS (FROM h WHERE h.i = q.i AND h.j = q.j)) SELECT i, j, round(c, 6) AS cos FROM w WHERE r <= 4")
