@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vecloom.functions import numeric
-from vecloom.operators import crowding, neighbours, pairs, separability
+from vecloom.operators import compare, crowding, neighbours, pairs, separability
 
 
 def rows(spark, x, ids=None, labels=None):
@@ -102,3 +102,31 @@ def test_silhouette_by_group_sums(spark):
         assert r.silhouette == pytest.approx(0 if a is None else (b - a) / max(a, b), abs=1e-12)
     twice = separability.silhouette(t.union(t.where("id = 0")))
     assert twice.where("id = 0").count() == 1
+
+
+@pytest.mark.parametrize("n", [3, 50, 131])
+def test_kernel_scores_of_all_items(spark, n, monkeypatch):
+    """As the kernels' matrices have it; no item is left out, and no matrix of pairs is made."""
+    monkeypatch.setattr(pairs, "_tasks", lambda r: 4)
+    monkeypatch.setattr(pairs, "TILE", 16)
+    monkeypatch.setattr(pairs, "BLOCK", 32)
+    monkeypatch.setattr(compare, "matrices", None)
+    x = crowding.uniform(n, 6, 8)
+    y = x + 0.4 * crowding.uniform(n, 6, 9)
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    both = compare.align(rows(spark, x), rows(spark, y))
+    assert compare.kernel_scores(both) == pytest.approx((compare.rbf_cka(x, y), compare.mmd(x, y)), abs=1e-9)
+
+
+def test_kernel_scores_beyond_a_sample(spark):
+    """8,300 items, more than the 8,192 that were taken before."""
+    x = crowding.uniform(8300, 3, 10)
+    both = spark.createDataFrame([(str(i), [float(v) for v in r], [float(v) for v in r[::-1]]) for i, r in enumerate(x)], "id string, va array<double>, vb array<double>")
+    k = lambda z: np.exp(-np.maximum(2 - 2 * z @ z.T, 0) / (2 * np.median(np.maximum(2 - 2 * z @ z.T, 0)[np.triu_indices(len(z), 1)])))
+    a = k(x)
+    a -= a.mean(0)
+    a -= a.mean(1)[:, None]
+    b = k(x[:, ::-1])
+    b -= b.mean(0)
+    b -= b.mean(1)[:, None]
+    assert compare.kernel_scores(both)[0] == pytest.approx((a * b).sum() / np.sqrt((a * a).sum() * (b * b).sum()), abs=1e-9)
