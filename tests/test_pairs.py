@@ -130,3 +130,32 @@ def test_kernel_scores_beyond_a_sample(spark):
     b -= b.mean(0)
     b -= b.mean(1)[:, None]
     assert compare.kernel_scores(both)[0] == pytest.approx((a * b).sum() / np.sqrt((a * a).sum() * (b * b).sum()), abs=1e-9)
+
+
+def closest_first(x, cosine):
+    """Average linkage by taking the two closest groups again and again."""
+    groups = [[i] for i in range(len(x))]
+    c = x @ x.T
+    while len(groups) > 1:
+        value, a, b = max((c[np.ix_(p, q)].mean(), i, j) for i, p in enumerate(groups) for j, q in enumerate(groups[:i]))
+        if value < cosine:
+            break
+        groups[b] = groups[b] + groups.pop(a)
+    return sorted(sorted(g) for g in groups)
+
+
+@pytest.mark.parametrize("cosine", [-2.0, 0.1, 0.5, 0.9, 2.0])
+def test_groups_by_angle(cosine):
+    x = crowding.uniform(45, 4, 11)
+    assert crowding.angular_groups(x, cosine) == closest_first(x, cosine)
+
+
+def test_pockets_of_more_than_2000_crowded_rows(spark):
+    """More were an error before."""
+    x = crowding.uniform(2300, 16, 12)
+    x[100:] = crowding.uniform(1, 16, 13) + 0.3 * x[100:]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    t = rows(spark, x)
+    long = t.select("id", F.lit(5).alias("k"), F.lit(0.9).alias("density"), F.lit(4.0).alias("z"), (F.col("id") >= 100).alias("crowded"), *(F.lit(1.0).alias(c) for c in ("median", "mad", "null_median", "null_mad", "cut")))
+    got = crowding.angular_pockets(t, long).collect()
+    assert sum(p["size"] for p in got) > 2000 and all(m >= 100 for p in got for m in p["members"])
