@@ -159,3 +159,18 @@ def test_pockets_of_more_than_2000_crowded_rows(spark):
     long = t.select("id", F.lit(5).alias("k"), F.lit(0.9).alias("density"), F.lit(4.0).alias("z"), (F.col("id") >= 100).alias("crowded"), *(F.lit(1.0).alias(c) for c in ("median", "mad", "null_median", "null_mad", "cut")))
     got = crowding.angular_pockets(t, long).collect()
     assert sum(p["size"] for p in got) > 2000 and all(m >= 100 for p in got for m in p["members"])
+
+
+@pytest.mark.parametrize("modes", [1, 2, 5])
+def test_eigengap_of_all_nodes(spark, modes):
+    """1,500 nodes in groups with few links between: beyond what all eigenvalues are computed for, and what a sample held."""
+    random = np.random.default_rng(14)
+    n = 1500
+    a, b = random.integers(0, n, (2, 15 * n))
+    keep = (a != b) & ((a % modes == b % modes) | (random.random(len(a)) < 0.02))
+    a, b = np.concatenate([a[keep], np.arange(n)]), np.concatenate([b[keep], (np.arange(n) + modes) % n])
+    want = separability.laplacian_values(a, b, n, 13, dense=n)
+    got = separability.laplacian_values(a, b, n, 13)
+    assert np.diff(got).argmax() == np.diff(want).argmax() == modes - 1 and np.abs(got - want).max() < 1e-2
+    e = spark.createDataFrame([(int(p) * 7, int(q) * 7) for p, q in zip(a, b, strict=True)], "src bigint, dst bigint")
+    assert separability.eigengap(e).first()["n_modes"] == modes
